@@ -41,7 +41,7 @@ UNWANTED = (
 WANTED = (
     "news.daily.com/world/2024 blog.travel.org/spain/3 www.library.edu/books wiki.science.org/article/physics docs.python.org/3/library "
     "university.edu/research/paper www.museum.org/history/12.html garden.org/plants/rose cooking.com/recipes/bread m.weather.com/today "
-    "health.gov/advice/flu www.city.gov/services school.org/math/lesson news.example.org/fr/128 thesis.edu/2019/45.html blog.code.net/post/17 "
+    "health.gov/advice/flu www.city.gov/services school.org/math/lesson thesis.edu/2019/45.html blog.code.net/post/17 "
     "forum.bikes.com/thread/88 recipes.net/soup/9 music.org/jazz/albums film.com/reviews/77 maps.org/europe/en trainlines.net/timetable "
     "encyclopedia.org/wiki/tree poetry.net/en/55 www.thehen.org/en/12/ another.net/de/900.html history.info/rome/caesar painting.org/oil "
     "shop.books.com/novel/5 journal.science.com/vol/3 m.theredon.com/fr/67#top blog.tionand.org/en/8 www.tinhered.net/de/31 onthere.org/es/4.html "
