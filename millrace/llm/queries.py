@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from millrace.llm import quality_rules, url_filter
+from millrace.llm import quality_rules, toxicity, url_filter, word_bpe
 
 QUERIES = {
+    "op5_toxicity": toxicity.op5_toxicity,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_bpe": word_bpe.op8_bpe,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 ORACLES = {
