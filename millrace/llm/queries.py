@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from millrace.llm import quality_rules, toxicity, url_filter, word_bpe
+from millrace.llm import quality_rules, site_style, toxicity, url_filter, word_bpe
 
 QUERIES = {
+    "op1_html": site_style.op1_html,
     "op5_toxicity": toxicity.op5_toxicity,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_bpe": word_bpe.op8_bpe,
