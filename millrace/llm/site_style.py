@@ -10,8 +10,9 @@ many pages each of its text features occurs. Importance joins two entropies:
   text that every page repeats has importance 0, text of one page has 1;
 
 ``composite = g**l * presentation + (1 - g**l) * content`` with ``l`` the number of
-styles. A branch of ``MIN_PAGES`` pages or more whose importance is below ``LEAST`` is
-noise and leaves every page of the host. Element names and classes that say what a
+styles. A branch of ``MIN_PAGES`` pages or more is noise if its importance is below
+``LEAST`` and all beneath it is too, that is, its content is below ``LEAST_CONTENT``:
+one frame around texts of their own is no noise. Noise leaves every page of the host. Element names and classes that say what a
 branch is (navigation, footer, advert, form, comment) decide before entropy does, so
 hosts with one page lose theirs too; an article's own paragraphs and headings are never
 noise by entropy, since copies of an article would else erase each other; and entropy
@@ -42,7 +43,7 @@ from pyspark.sql import functions as F
 from millrace.llm.text import pieces, strings
 from millrace.workspace import Written, table
 
-GAMMA, LEAST, MIN_PAGES = 0.9, 0.2, 5
+GAMMA, LEAST, LEAST_CONTENT, MIN_PAGES = 0.9, 0.3, 0.4, 5
 DEPTH = 8
 BROADCAST_ROWS = 20_000
 
@@ -318,7 +319,7 @@ def style_tree(parsed: DataFrame) -> DataFrame:
 def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, text, n_chars, n_removed of every row: blocks joined by newline."""
     parsed = Written(parse_pages(pages, key, url, html), "pages").df
-    noise = style_tree(parsed).where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < LEAST)).groupBy("host").agg(F.collect_set("branch").alias("noise"))
+    noise = style_tree(parsed).where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < LEAST) & (F.col("content") < LEAST_CONTENT)).groupBy("host").agg(F.collect_set("branch").alias("noise"))
     noise = Written(noise, "noise").df
     size = noise.agg(F.coalesce(F.sum(F.size("noise") + 8), F.lit(0))).first()[0]
     small = F.broadcast(noise) if size <= BROADCAST_ROWS else noise
