@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import metric_join, quality_rules, site_style, toxicity, url_filter, word_bpe
+from millrace.llm import metric_join, ppm, quality_rules, site_style, toxicity, url_filter, word_bpe
 
 QUERIES = {
     "op1_html": site_style.op1_html,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_bpe": word_bpe.op8_bpe,
+    "op9_ppm": ppm.op9_ppm,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 ORACLES = {
