@@ -81,3 +81,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def slots(spark: SparkSession) -> int:
     """How many tasks run at once, as far as the session can tell."""
     return max(1, spark.sparkContext.defaultParallelism)
+
+
+def partitions(spark: SparkSession) -> int:
+    """How many partitions to deal a keyed job table to: as the session says, with a few for every slot."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * slots(spark))
