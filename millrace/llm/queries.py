@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from millrace.llm import metric_join, ppm, quality_rules, site_style, toxicity, url_filter, word_bpe
+from millrace.llm import lsh_forest, metric_join, ppm, quality_rules, site_style, toxicity, url_filter, word_bpe
 
 QUERIES = {
     "op1_html": site_style.op1_html,
     "op2_metric_join": metric_join.op2_metric_join,
+    "op4_jaccard_join": lsh_forest.op4_jaccard_join,
     "op5_toxicity": toxicity.op5_toxicity,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_bpe": word_bpe.op8_bpe,
