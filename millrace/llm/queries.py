@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from millrace.llm import lsh_forest, metric_join, mixing, ppm, quality_rules, site_style, toxicity, url_filter, word_bpe
+from millrace.llm import lsh_forest, metric_join, mixing, ppm, quality_rules, site_style, token_counts, toxicity, url_filter, word_bpe
 
 QUERIES = {
     "op1_html": site_style.op1_html,
     "op2_metric_join": metric_join.op2_metric_join,
+    "op3_token_counts": token_counts.op3_token_counts,
     "op4_jaccard_join": lsh_forest.op4_jaccard_join,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_mixing": mixing.op6_mixing,
