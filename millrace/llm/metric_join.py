@@ -5,9 +5,10 @@ Vectors are brought to length 1, where cosine >= c means a distance of at most
 A cell that holds too many vectors is split around pivots drawn from it: every vector is
 at home with its nearest pivot and is copied to each other pivot p that it could have a
 partner at, by the triangle inequality: ``d(v, p) <= d(v, nearest) + 2 r``; two vectors
-within r of each other thus share the home cell of either. Cells are split again until
-they fit or no longer shrink; then each joins independently, a block of home rows
-against a block of all rows at a time, so that no task holds an unbounded cell. Links are
+within r of each other thus share the home cell of either. Cells are split again while
+that at least halves the pairs to compare (in many dimensions the inequality may spare
+nothing; such a split is not kept); then each cell joins independently, two blocks of its
+rows at a time, so that no task holds an unbounded cell. Links are
 counted where a row is at home, never listed; what leaves a block is one edge per row at
 most, and components come from those.
 
@@ -28,12 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.grouping import forest
 from millrace.plans.components import connected_components
-from millrace.workspace import Written, slots, table
+from millrace.workspace import Written, partitions, table
 
 LEAST_COSINE = 0.98
 #: Rows of a block, of a cell that is not split, pivots of a split, and times a cell is split.
-BLOCK, CELL, PIVOTS, LEVELS = 512, 4096, 16, 4
+BLOCK, CELL, PIVOTS, LEVELS = 1024, 4096, 16, 4
 SLACK = 1e-9  # for the rounding of distances
 
 
@@ -42,16 +44,19 @@ def _matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1) if len(col) else np.empty((0, 0))
 
 
-def unit_vectors(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
-    """(row id, label, unit vector) of the rows that can link."""
+def linkable(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
+    """(id, label, vector) of the rows that can link."""
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
-    d = df.select(F.col(key).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("_e"))
-    d = d.where(F.col("label").isNotNull() & F.col("_e").isNotNull() & F.forall("_e", finite))
-    # Divided by the greatest component first, so that no square overflows or vanishes.
-    d = d.withColumn("_m", F.array_max(F.transform("_e", F.abs))).where("_m > 0")
-    d = d.withColumn("_s", F.transform("_e", lambda x: x / F.col("_m")))
-    d = d.withColumn("_n", F.sqrt(F.aggregate("_s", F.lit(0.0), lambda a, x: a + x * x)))
-    return d.select("id", "label", F.transform("_s", lambda x: x / F.col("_n")).alias("unit"))
+    d = df.select(F.col(key).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).alias("unit"))
+    return d.where(F.col("label").isNotNull() & F.col("unit").isNotNull() & F.forall("unit", finite) & F.exists("unit", lambda x: x != 0))
+
+
+def units(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length 1, in doubles. Divided by the greatest component first, so that no
+    square overflows or vanishes."""
+    v = vectors.astype(float)
+    v /= np.abs(v).max(1, keepdims=True)
+    return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
 def _split(rows: DataFrame, radius: float, level: int) -> DataFrame:
@@ -72,7 +77,7 @@ def _split(rows: DataFrame, radius: float, level: int) -> DataFrame:
                 continue
             order = at[np.argsort(g["rep"][at])]
             if len(order):
-                d = np.sqrt(np.maximum(0, 2 - 2 * g["unit"][row] @ g["unit"][order].T))
+                d = np.sqrt(np.maximum(0, 2 - 2 * units(g["unit"][row]) @ units(g["unit"][order]).T))
                 near = d.argmin(1)
                 r, to = np.nonzero(d <= d[np.arange(len(row)), near][:, None] + 2 * radius + SLACK)
                 home = (g["side"][row[r]] == 1) & (near[r] == to)
@@ -87,41 +92,45 @@ def _split(rows: DataFrame, radius: float, level: int) -> DataFrame:
                     [pa.array(g["cell"][part]), pa.array(p), pa.array(g["rep"][part]), pa.array(g["mult"][part]), _lists(unit), pa.array(h)], names=["cell", "pivot", "rep", "mult", "unit", "home"]
                 )
 
-    spread = jobs.repartition(max(64, slots(rows.sparkSession) * 4), "job").sortWithinPartitions("job").mapInArrow(assign, "cell long, pivot long, rep long, mult long, unit array<double>, home boolean")
+    spread = jobs.repartition(partitions(rows.sparkSession), "job").sortWithinPartitions("job").mapInArrow(assign, f"cell long, pivot long, rep long, mult long, unit {rows.schema['unit'].dataType.simpleString()}, home boolean")
     kept = rows.join(large, "cell", "left_anti").select("cell", "rep", "mult", "unit", "home")
     return kept.unionByName(spread.select(F.xxhash64("cell", F.lit(level), "pivot").alias("cell"), "rep", "mult", "unit", "home"))
 
 
 def _join_blocks(least: float):
-    """Each group has the block of home rows (side 0) and of all rows (side 1) of a cell."""
-
-    def one(side: np.ndarray, rep: np.ndarray, mult: np.ndarray, unit: np.ndarray, out: list) -> None:
-        h, a = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        if not len(h) or not len(a):
+    """Each group has one block of a cell (side 0), or two (sides 0 and 1). Links are
+    counted for the rows at home, of both sides."""
+
+    def one(g: dict[str, np.ndarray], out: list) -> None:
+        unit = units(g["unit"])
+        i, j = np.flatnonzero(g["side"] == 0), np.flatnonzero(g["side"] == 1)
+        if not len(j):
+            j = i
+        linked = unit[i] @ unit[j].T >= least
+        linked &= g["rep"][i][:, None] != g["rep"][j][None, :]
+        linked &= g["home"][i][:, None] | g["home"][j][None, :]
+        if not linked.any():
             return
-        linked = unit[h] @ unit[a].T >= least
-        linked &= rep[h][:, None] != rep[a][None, :]
-        n = linked @ mult[a]
-        some = np.flatnonzero(n)
-        if not len(some):
-            return
-        out.append((rep[h[some]], n[some], _forest(linked[some], rep[h[some]], rep[a])))
+        rep, n = g["rep"][i], linked @ g["mult"][j]
+        if j is not i:
+            rep, n = np.concatenate([rep, g["rep"][j]]), np.concatenate([n, g["mult"][i] @ linked])
+        some = np.flatnonzero((n > 0) & np.concatenate([g["home"][i], g["home"][j]])[: len(n)])
+        out.append((rep[some], n[some], forest(linked, g["rep"][i], g["rep"][j])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list = []
 
         def emit() -> pa.RecordBatch:
-            rep = np.concatenate([x[0] for x in out])
-            n = np.concatenate([x[1] for x in out])
-            edges = np.concatenate([x[2] for x in out])
-            u = np.concatenate([rep, edges[:, 0]])
-            v = pa.array([None] * len(rep), pa.int64()), pa.array(edges[:, 1])
-            m = pa.concat_arrays([pa.array(n.astype(np.int64)), pa.array([None] * len(edges), pa.int64())])
+            rep, n, edges = (np.concatenate([x[k] for x in out]) for k in range(3))
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.concat_arrays(list(v)), m], names=["u", "v", "n"])
+            none = pa.nulls(max(len(rep), len(edges)), pa.int64())
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([rep, edges[:, 0]])), pa.concat_arrays([none[: len(rep)], pa.array(edges[:, 1])]), pa.concat_arrays([pa.array(n.astype(np.int64)), none[: len(edges)]])],
+                names=["u", "v", "n"],
+            )
 
         for g in grouped(batches):
-            one(g["side"], g["rep"], g["mult"], g["unit"], out)
+            one(g, out)
             if len(out) >= 64:
                 yield emit()
         if out:
@@ -130,25 +139,6 @@ def _join_blocks(least: float):
     return run
 
 
-def _forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Edges that join what ``linked`` (left by right) joins: at most one less than there are nodes."""
-    ids, code = np.unique(np.concatenate([left, right]), return_inverse=True)
-    low = np.arange(len(ids))
-    i, j = np.nonzero(linked)
-    a, b = code[: len(left)][i], code[len(left) :][j]
-    while True:
-        m = np.minimum(low[a], low[b])
-        new = low.copy()
-        np.minimum.at(new, a, m)
-        np.minimum.at(new, b, m)
-        new = new[new]
-        if (new == low).all():
-            break
-        low = new
-    moved = np.flatnonzero(low != np.arange(len(ids)))
-    return np.stack([ids[moved], ids[low[moved]]], 1)
-
-
 def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
     """The columns of each run of equal ``job`` in rows sorted by it; a run that batches
     cut is put together again. ``unit`` comes as a matrix."""
@@ -180,7 +170,7 @@ def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]
         length = col["unit"].value_lengths().to_numpy(zero_copy_only=False) if batch.num_rows else np.empty(0, int)
         for at in np.split(np.arange(len(length)), np.flatnonzero(np.diff(length)) + 1) if len(length) else []:
             a, n = int(at[0]), len(at)
-            part = {k: c.slice(a, n).to_numpy(zero_copy_only=False) for k, c in col.items() if k != "unit"}
+            part = {k: np.asarray(c.slice(a, n).to_numpy(zero_copy_only=False)) for k, c in col.items() if k != "unit"}
             part["unit"] = _matrix(batch.slice(a, n), "unit")
             rest.append(part)
             if rest[0]["job"][0] != part["job"][-1]:
@@ -194,44 +184,52 @@ def _lists(matrix: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * w), pa.array(matrix.ravel()))
 
 
+def _sizes(rows: DataFrame) -> tuple[int, float]:
+    """Rows of the largest cell, and pairs to compare in all."""
+    cells = rows.groupBy("cell").agg(F.count("*").alias("n"), F.sum(F.col("home").cast("double")).alias("h"))
+    return tuple(cells.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * F.col("h")), F.lit(0.0))).first())
+
+
 def range_join(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = LEAST_COSINE) -> DataFrame:
     """``key``, n_links, component_id, kept of every row."""
     spark = df.sparkSession
-    units = Written(unit_vectors(df, key, vector, label).withColumn("code", F.md5(F.concat_ws(",", "label", F.array_join(F.transform("unit", lambda x: x.cast("string")), " ")))), "units").df
+    good = linkable(df, key, vector, label)
+    good = Written(good.withColumn("code", F.md5(F.to_json(F.struct("label", "unit")))), "vectors").df
     # Equal vectors of a label: one row with its count.
-    reps = units.groupBy("code").agg(F.min("id").alias("id"), F.count("*").alias("mult"), F.first("label").alias("label"), F.first("unit").alias("unit"))
-    reps = reps.select(F.xxhash64("code").alias("rep"), "id", "mult", F.xxhash64("label", F.size("unit")).alias("cell"), "unit")
-    whole = Written(reps, "reps").df
+    reps = good.groupBy("code").agg(F.min("id").alias("id"), F.count("*").alias("mult"), F.first("label").alias("label"), F.first("unit").alias("unit"))
+    whole = Written(reps.select(F.xxhash64("code").alias("rep"), "id", "mult", F.xxhash64("label", F.size("unit")).alias("cell"), "unit"), "reps").df
     rows = whole.select("cell", "rep", "mult", "unit", F.lit(True).alias("home"))
-    radius, before = math.sqrt(max(0.0, 2 - 2 * least)), None
+    radius = math.sqrt(max(0.0, 2 - 2 * least))
+    most, work = _sizes(rows)
     for level in range(LEVELS):
-        most = rows.groupBy("cell").count().agg(F.max("count")).first()[0] or 0
-        if most <= CELL or before is not None and most > 0.8 * before:
+        if most <= CELL:
+            break
+        split = Written(_split(rows, radius, level), "cells")
+        now = _sizes(split.df)
+        if 2 * now[1] > work:
+            split.drop()
             break
-        rows, before = Written(_split(rows, radius, level), "cells").df, most
-    # Blocks within a cell: home rows i against all rows j.
-    size = rows.groupBy("cell").agg(F.count("*").alias("n")).withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("long"))
+        rows, (most, work) = split.df, now
+    # Blocks within a cell, two at a time.
+    size = rows.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
     rows = rows.join(size, "cell").withColumn("b", F.pmod(F.xxhash64("rep", F.lit("block")), F.col("blocks")))
-    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias(c)
-    left = rows.where("home").select("cell", F.lit(0).alias("side"), "rep", "mult", "unit", F.col("b").alias("i"), every("j"))
-    right = rows.select("cell", F.lit(1).alias("side"), "rep", "mult", "unit", every("i"), F.col("b").alias("j"))
-    jobs = left.select("cell", "side", "rep", "mult", "unit", "i", "j").union(right.select("cell", "side", "rep", "mult", "unit", "i", "j"))
-    jobs = jobs.select(F.xxhash64("cell", "i", "j").alias("job"), "side", "rep", "mult", "unit")
-    found = Written(jobs.repartition(max(64, slots(spark) * 4), "job").sortWithinPartitions("job").mapInArrow(_join_blocks(least), "u long, v long, n long"), "links").df
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    jobs = rows.select(F.xxhash64("cell", F.least("b", "o"), F.greatest("b", "o")).alias("job"), (F.col("b") > F.col("o")).cast("int").alias("side"), "rep", "mult", "unit", "home")
+    found = Written(jobs.repartition(partitions(spark), "job").sortWithinPartitions("job").mapInArrow(_join_blocks(least), "u long, v long, n long"), "links").df
     links = found.where("n is not null").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n"))
     parts = connected_components(found.where("v is not null").select("u", "v"))
     member = whole.select("rep", "id", "mult").join(links, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     member = member.withColumn("component", F.coalesce("component", "rep"))
     least_id = member.groupBy("component").agg(F.min("id").alias("component_id"))
     member = member.join(least_id, "component").select("rep", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), "component_id")
-    linked = units.select("id", F.xxhash64("code").alias("rep")).join(member, "rep").select("id", "n_links", "component_id")
+    linked = good.select("id", F.xxhash64("code").alias("rep")).join(member, "rep").select("id", "n_links", "component_id")
     alone = _alone(df, key, vector, label)
     out = linked.union(alone.select("id", F.lit(0).cast("long"), "id"))
     return out.select(F.col("id").alias(key), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def _alone(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
-    """The rows that :func:`unit_vectors` leaves out."""
+    """The rows that :func:`linkable` leaves out."""
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) >= F.lit(float("inf")))
     d = df.select(F.col(key).cast("long").alias("id"), F.col(label).alias("_l"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("_e"))
     return d.where(F.col("_l").isNull() | F.col("_e").isNull() | F.exists("_e", bad) | F.forall("_e", lambda x: x == 0)).select("id")
