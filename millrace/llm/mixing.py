@@ -71,7 +71,8 @@ def source_weights(sources: DataFrame, budget: float | None = None, max_passes:
     exponent = f"if(size(t) < 2, 1D, if({at_end}, {'0D' if keep == 'high' else '1D'}, {bisected}))"
     one = one.select("t", F.expr(total).alias("total"), F.expr(exponent).alias("exponent"))
     one = one.select("total", "exponent", F.expr("aggregate(t, 0D, (a, x) -> a + pow(x / total, exponent))").alias("norm"))
-    d = sources.join(F.broadcast(one), F.lit(True), "left")
+    # A scalar subquery: the one row goes to every source without a join.
+    d = sources.withColumn("_one", one.select(F.struct("total", "exponent", "norm")).scalar()).select("*", "_one.*")
     weight = F.when(F.col("tokens") > 0, F.pow(F.col("tokens") / F.col("total"), F.col("exponent")) / F.col("norm")).otherwise(0.0)
     d = d.withColumn("weight", weight)
     most = F.lit(float(budget)) if budget is not None else F.col("total")

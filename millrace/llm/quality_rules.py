@@ -13,7 +13,7 @@ of an output replaces nothing: :func:`quality_metrics` returns only its own colu
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,77 +39,78 @@ THRESHOLDS: tuple[tuple[str, float | None, float | None], ...] = (
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 
-def compile_thresholds(rules: Sequence[tuple[str, float | None, float | None]]) -> Column:
-    """One boolean expression: every metric inside its bounds."""
+def compile_thresholds(m: Column, rules: Sequence[tuple[str, float | None, float | None]]) -> Column:
+    """One boolean expression: every metric of the struct ``m`` inside its bounds."""
     verdict = F.lit(True)
     for metric, least, most in rules:
         if least is not None:
-            verdict = verdict & (F.col(metric) >= F.lit(least))
+            verdict = verdict & (m[metric] >= F.lit(least))
         if most is not None:
-            verdict = verdict & (F.col(metric) <= F.lit(most))
+            verdict = verdict & (m[metric] <= F.lit(most))
     return verdict
 
 
-def _ratio(a: str, b: str) -> Column:
-    return F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once. Columns of a projection would be put
+    in place of their names wherever a filter is pushed below it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def quality_metrics(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",), rules=THRESHOLDS, stop_words: Sequence[str] = STOP_WORDS, row: bool = False) -> DataFrame:
-    """``keep`` columns, then n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, n_lines, the ratios, base_failed and kept. With ``row`` the whole
-    input row comes first, as the struct ``row``."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    d = docs.select(*([F.struct(*docs.columns).alias("row")] if row else [F.col(c) for c in keep]), whole.alias("_t"))
-    first = d.columns[:-1]
-    d = d.select(
-        *first,
-        F.regexp_extract_all("_t", F.lit(WORD), 0).alias("_w"),
-        F.length(F.translate("_t", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        F.filter(F.split("_t", "\n", -1), lambda x: x.rlike(WORD)).alias("_l"),
-    )
-    counts = ["word_chars", "n_symbols"]
-    d = d.select(
-        *first,
-        *counts,
-        F.size("_w").cast("long").alias("n_words"),
-        F.size("_l").cast("long").alias("n_lines"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        F.size(F.filter("_w", lambda w: w.isin(*stop_words))).cast("long").alias("n_stop"),
-        # The windows' hashes with their places, in order of the hash: equal windows meet.
-        F.expr(
-            "sort_array(transform(if(size(_w) < 3, cast(array() as array<int>), sequence(0, size(_w) - 3)),"
-            " i -> struct(xxhash64(_w[i], _w[i + 1], _w[i + 2]) as h, i as i)))"
-        ).alias("_s"),
-    )
-    counts += ["n_words", "n_lines", "n_dup_lines", "n_stop"]
-    d = d.select(
-        *first,
-        *counts,
-        F.expr(
-            "transform(filter(transform(_s, (x, j) -> struct(x.i as i,"
-            " (j > 0 and _s[j - 1].h = x.h) or (j < size(_s) - 1 and _s[j + 1].h = x.h) as twice)), x -> x.twice), x -> x.i)"
-        ).alias("_p"),
+def _ratio(a: Column, b: Column) -> Column:
+    return F.when(b > 0, a / b).otherwise(F.lit(0.0))
+
+
+def _repeated(words: Column) -> Column:
+    """Words in three-word windows that occur twice or more."""
+    places = F.when(F.size(words) < 3, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.greatest(F.size(words) - 3, F.lit(0))))
+    # The windows' hashes with their places, in order of the hash: equal windows meet.
+    window = lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i"))
+    twice = lambda s: F.transform(
+        F.filter(
+            F.transform(s, lambda x, j: F.struct(x["i"].alias("i"), F.coalesce((F.get(s, j - 1)["h"] == x["h"]) | (F.get(s, j + 1)["h"] == x["h"]), F.get(s, j - 1)["h"] == x["h"], F.get(s, j + 1)["h"] == x["h"], F.lit(False)).alias("twice"))),
+            lambda x: x["twice"],
+        ),
+        lambda x: x["i"],
     )
-    d = d.select(
-        *first,
-        *counts,
-        F.size(F.array_union(F.array_union("_p", F.transform("_p", lambda i: i + 1)), F.transform("_p", lambda i: i + 2))).cast("long").alias("n_repeat_words"),
+    covered = lambda p: F.size(F.array_union(F.array_union(p, F.transform(p, lambda i: i + 1)), F.transform(p, lambda i: i + 2)))
+    return _let(F.sort_array(F.transform(places, window)), lambda s: _let(twice(s), covered))
+
+
+def metrics(text: Column, rules=THRESHOLDS, stop_words: Sequence[str] = STOP_WORDS) -> Column:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, the ratios,
+    base_failed and kept of a text, as one struct."""
+    t = F.coalesce(text, F.lit(""))
+    counts = lambda w, lines: F.struct(
+        F.size(w).cast("long").alias("n_words"),
+        F.length(F.translate(t, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
+        (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.size(lines).cast("long").alias("n_lines"),
+        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+        F.size(F.filter(w, lambda x: x.isin(*stop_words))).cast("long").alias("n_stop"),
+        _repeated(w).cast("long").alias("n_repeat_words"),
     )
-    d = d.select(
-        "*",
-        _ratio("word_chars", "n_words").alias("mean_word_chars"),
-        _ratio("n_symbols", "n_words").alias("symbol_ratio"),
-        _ratio("n_stop", "n_words").alias("stop_word_ratio"),
-        _ratio("n_dup_lines", "n_lines").alias("dup_line_ratio"),
-        ((F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))).alias("base_failed"),
+    ratios = lambda c: F.struct(
+        *(c[n].alias(n) for n in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")),
+        _ratio(c["word_chars"], c["n_words"]).alias("mean_word_chars"),
+        _ratio(c["n_symbols"], c["n_words"]).alias("symbol_ratio"),
+        _ratio(c["n_stop"], c["n_words"]).alias("stop_word_ratio"),
+        _ratio(c["n_dup_lines"], c["n_lines"]).alias("dup_line_ratio"),
+        ((c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEAT_PERCENT * c["n_words"])).alias("base_failed"),
     )
-    return d.withColumn("kept", ~F.col("base_failed") & compile_thresholds(rules))
+    judged = lambda m: m.withField("kept", ~m["base_failed"] & compile_thresholds(m, rules))
+    lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD))
+    words = F.regexp_extract_all(t, F.lit(WORD), 0)
+    return _let(_let(_let(words, lambda w: _let(lines, lambda x: counts(w, x))), ratios), judged)
+
+
+def quality_metrics(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",), rules=THRESHOLDS, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
+    """``keep`` columns, then the fields of :func:`metrics`."""
+    return docs.select(*keep, metrics(F.col(text), rules, stop_words).alias("_m")).select(*keep, "_m.*")
 
 
-def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame, text: str = "text", rules=THRESHOLDS) -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns."""
-    return quality_metrics(docs, text, row=True).where("kept").select("row.*")
+    return docs.where(metrics(F.col(text), rules)["kept"])
 
 
 COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
