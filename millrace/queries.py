@@ -1,6 +1,489 @@
-"""The named queries over the reference's operators, and their SQL twins."""
+"""The named queries over the message operators, and their SQL twins.
+
+The tables hold no mail, so some queries build messages out of a table's columns and take
+them apart again; their SQL says what must come out from the columns themselves.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.config import EngineConfig
+from millrace.functions import scalars
+from millrace.functions.urls import UnwrapRule
+from millrace.operators import dissect as D
+from millrace.operators import spans as S
+from millrace.operators.assemble import dissected_json
+from millrace.operators.observables import observables, text_mentions, typed_mentions, within_places
+from millrace.sources import registries as R
+from millrace.workspace import table, written
+
+CRLF = "\r\n"
+
+
+# -- messages built from columns -------------------------------------------------------
+
+def _text(*parts: Column | str) -> Column:
+    return F.encode(F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)), "UTF-8")
+
+
+def built_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A message for each document: headers from its id, its text as the body, a page of
+    HTML with a picture inside, an attachment, and a nested message."""
+    n = F.col("doc_id").cast("string")
+    lines = [
+        ("From: User ", n, " <user", n, "@example.com>"),
+        ('To: a@example.net, "B, C" <b', n, "@example.org>"),
+        ("Subject: =?utf-8?q?Doc_=C3=A9?= ", n),
+        ("Received: from h", n, ".example.com (h [192.0.2.", (F.col("doc_id") % 256).cast("string"), "]) by mx.example.org with ESMTP id ", n, "; Mon, 1 Jan 2024 00:00:00 +0000"),
+        ("Authentication-Results: mx.example.org; spf=pass smtp.mailfrom=user", n, "@example.com; dkim=fail header.d=example.com"),
+        ("MIME-Version: 1.0",),
+        ("Content-Type: multipart/mixed; boundary=QQ0",),
+        ("",),
+        ("--QQ0",),
+        ("Content-Type: text/plain; charset=utf-8",),
+        ("",),
+        (F.coalesce("text", F.lit("")),),
+        ("--QQ0",),
+        ("Content-Type: text/html; charset=utf-8",),
+        ("",),
+        ('<p>See <a href="https://example.org/d/', n, '?q=1#f">doc ', n, '</a><img src="cid:pic', n, '"></p>'),
+        ("--QQ0",),
+        ('Content-Type: image/png; name="p', n, '.PNG"',),
+        ("Content-Transfer-Encoding: base64",),
+        ("Content-Id: <pic", n, ">"),
+        ("",),
+        (F.base64(F.concat(F.lit(b"\x89PNG\r\n\x1a\n"), F.encode(n, "UTF-8"))),),
+        ("--QQ0",),
+        ("Content-Type: message/rfc822",),
+        ("",),
+        ("Subject: inner ", n),
+        ("",),
+        ("inner body ", n),
+        ("--QQ0--",),
+        ("",),
+    ]
+    content = _text(*(p for k, line in enumerate(lines) for p in ((CRLF,) if k else ()) + line))
+    return table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), n).alias("msg_key"), content.alias("content"))
+
+
+def _taken_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.dissect(built_messages(spark, sf_dir), EngineConfig(keep_payloads=False))
+
+
+def mime_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = D.mime_parts(_taken_apart(spark, sf_dir))
+    return d.select("msg_key", "message_index", "part_index", "content_type", "filename", "content_id", "size", "charset_used", "sha256", "detected_mime")
+
+
+_DOC = "SELECT doc_id, coalesce(text, '') AS text, 'd' || doc_id AS msg_key FROM documents"
+_PNG = "'\\x89PNG\\x0D\\x0A\\x1A\\x0A'::BLOB || encode(doc_id::VARCHAR)"
+_INNER = "encode('Subject: inner ' || doc_id || chr(13) || chr(10) || chr(13) || chr(10) || 'inner body ' || doc_id)"
+_HTML = """'<p>See <a href="https://example.org/d/' || doc_id || '?q=1#f">doc ' || doc_id || '</a><img src="cid:pic' || doc_id || '"></p>'"""
+_MIME = f"""
+WITH d AS ({_DOC}),
+p AS (
+  SELECT msg_key, 0 AS message_index, 0 AS part_index, 'multipart/mixed' AS content_type, NULL AS filename, NULL AS content_id, 0::BIGINT AS size, NULL AS charset_used, NULL AS sha256, NULL AS detected_mime FROM d
+  UNION ALL SELECT msg_key, 0, 1, 'text/plain', NULL, NULL, strlen(text)::BIGINT, 'utf-8', sha256(text), NULL FROM d
+  UNION ALL SELECT msg_key, 0, 2, 'text/html', NULL, NULL, strlen({_HTML})::BIGINT, 'utf-8', sha256({_HTML}), NULL FROM d
+  UNION ALL SELECT msg_key, 0, 3, 'image/png', 'p' || doc_id || '.PNG', '<pic' || doc_id || '>', octet_length({_PNG})::BIGINT, NULL, sha256({_PNG}), 'image/png' FROM d
+  UNION ALL SELECT msg_key, 0, 4, 'message/rfc822', NULL, NULL, octet_length({_INNER})::BIGINT, NULL, sha256({_INNER}), 'message/rfc822' FROM d
+  UNION ALL SELECT msg_key, 1, 0, 'text/plain', NULL, NULL, strlen('inner body ' || doc_id)::BIGINT, 'utf-8', sha256('inner body ' || doc_id), NULL FROM d)
+SELECT * FROM p
+"""
+
+
+def attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = D.attachments(_taken_apart(spark, sf_dir))
+    return d.select("msg_key", "message_index", "part_index", "filename", "extension", "detected_mime", "md5", "sha1", "is_document")
+
+
+_ATTACHMENTS = f"""
+WITH d AS ({_DOC})
+SELECT msg_key, 0 AS message_index, 3 AS part_index, 'p' || doc_id || '.PNG' AS filename, 'png' AS extension, 'image/png' AS detected_mime, md5({_PNG}) AS md5, sha1({_PNG}) AS sha1, false AS is_document FROM d
+UNION ALL SELECT msg_key, 0, 4, NULL, NULL, 'message/rfc822', md5({_INNER}), sha1({_INNER}), false FROM d
+"""
+
+
+def message_nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.message_table(_taken_apart(spark, sf_dir))
+
+
+_NESTING = f"""
+WITH d AS ({_DOC})
+SELECT msg_key, 0 AS message_index, 0 AS depth, 1 AS text_part_index, 2 AS html_part_index FROM d
+UNION ALL SELECT msg_key, 1, 1, 0, NULL FROM d
+"""
+
+
+def headers_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.headers(_taken_apart(spark, sf_dir)).where("name in ('subject', 'from', 'content-type')").select("msg_key", "message_index", "name", "header_index", "value")
+
+
+_HEADERS = f"""
+WITH d AS ({_DOC})
+SELECT msg_key, 0 AS message_index, 'from' AS name, 0 AS header_index, 'User ' || doc_id || ' <user' || doc_id || '@example.com>' AS value FROM d
+UNION ALL SELECT msg_key, 0, 'subject', 0, 'Doc é ' || doc_id FROM d
+UNION ALL SELECT msg_key, 0, 'content-type', 0, 'multipart/mixed; boundary="QQ0"' FROM d
+UNION ALL SELECT msg_key, 1, 'subject', 0, 'inner ' || doc_id FROM d
+"""
+
+
+def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.addresses(_taken_apart(spark, sf_dir))
+
+
+_ADDRESSES = f"""
+WITH d AS ({_DOC})
+SELECT msg_key, 0 AS message_index, 0 AS ordinal, 'from' AS header, 'User ' || doc_id AS display_name, 'user' || doc_id || '@example.com' AS address, 'user' || doc_id AS local_part, 'example.com' AS domain FROM d
+UNION ALL SELECT msg_key, 0, 1, 'to', NULL, 'a@example.net', 'a', 'example.net' FROM d
+UNION ALL SELECT msg_key, 0, 2, 'to', 'B, C', 'b' || doc_id || '@example.org', 'b' || doc_id, 'example.org' FROM d
+"""
+
+
+def received_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.received(_taken_apart(spark, sf_dir)).withColumnRenamed("with", "with_").withColumnRenamed("for", "for_")
+
+
+_RECEIVED = f"""
+WITH d AS ({_DOC})
+SELECT msg_key, 0 AS message_index, 0 AS ordinal, 'h' || doc_id || '.example.com' AS from_host, '192.0.2.' || (doc_id % 256) AS from_ip, 'mx.example.org' AS by_host,
+  'ESMTP' AS with_, doc_id::VARCHAR AS id, NULL::VARCHAR AS for_, 'Mon, 1 Jan 2024 00:00:00 +0000' AS timestamp FROM d
+"""
+
+
+def auth_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = D.auth(_taken_apart(spark, sf_dir))
+    return d.select("msg_key", "message_index", "ordinal", "method", "result", F.concat_ws("=", F.map_keys("params")[0], F.map_values("params")[0]).alias("param"))
+
+
+_AUTH = f"""
+WITH d AS ({_DOC})
+SELECT msg_key, 0 AS message_index, 0 AS ordinal, 'spf' AS method, 'pass' AS result, 'smtp.mailfrom=user' || doc_id || '@example.com' AS param FROM d
+UNION ALL SELECT msg_key, 0, 1, 'dkim', 'fail', 'header.d=example.com' FROM d
+"""
+
+
+def message_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _taken_apart(spark, sf_dir)
+    a = D.links(d).select("msg_key", F.lit("anchor").alias("kind"), "href", "scheme", "host", "path", "query", "fragment", "text", "cid_part")
+    return a.unionByName(D.resources(d).select("msg_key", F.lit("resource").alias("kind"), "href", "scheme", "host", "path", "query", "fragment", F.lit(None).cast("string").alias("text"), "cid_part"))
+
+
+_LINKS = f"""
+WITH d AS ({_DOC})
+SELECT msg_key, 'anchor' AS kind, 'https://example.org/d/' || doc_id || '?q=1#f' AS href, 'https' AS scheme, 'example.org' AS host, '/d/' || doc_id AS path, 'q=1' AS query, 'f' AS fragment, 'doc ' || doc_id AS text, NULL::INT AS cid_part FROM d
+UNION ALL SELECT msg_key, 'resource', 'cid:pic' || doc_id, 'cid', NULL, 'pic' || doc_id, NULL, NULL, NULL, 3 FROM d
+"""
+
+
+def message_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = D.bodies(_taken_apart(spark, sf_dir), EngineConfig(max_inline_body_bytes=4096))
+    return d.select("msg_key", "message_index", "text", "text_from_html", "text_bytes")
+
+
+_BODIES = f"""
+WITH d AS ({_DOC})
+SELECT msg_key, 0 AS message_index, CASE WHEN strlen(text) <= 4096 THEN text END AS text, 'See doc ' || doc_id AS text_from_html, strlen(text)::BIGINT AS text_bytes FROM d
+UNION ALL SELECT msg_key, 1, 'inner body ' || doc_id, NULL, strlen('inner body ' || doc_id)::BIGINT FROM d
+"""
+
+
+def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = D.artifacts(D.dissect(built_messages(spark, sf_dir)))
+    return a.where("kind in ('body_text', 'attachment', 'body_text_from_html')").select("msg_key", "message_index", "kind", "part_index", "filename", "size", "sha256")
+
+
+_ARTIFACTS = f"""
+WITH d AS ({_DOC})
+SELECT msg_key, 0 AS message_index, 'body_text' AS kind, 1 AS part_index, '0-body.txt' AS filename, strlen(text)::BIGINT AS size, sha256(text) AS sha256 FROM d
+UNION ALL SELECT msg_key, 1, 'body_text', 0, '1-body.txt', strlen('inner body ' || doc_id)::BIGINT, sha256('inner body ' || doc_id) FROM d
+UNION ALL SELECT msg_key, 0, 'body_text_from_html', 2, '0-body-from-html.txt', strlen('See doc ' || doc_id)::BIGINT, sha256('See doc ' || doc_id) FROM d
+UNION ALL SELECT msg_key, 0, 'attachment', 3, 'p' || doc_id || '.PNG', octet_length({_PNG})::BIGINT, sha256({_PNG}) FROM d
+UNION ALL SELECT msg_key, 0, 'attachment', 4, 'part-4.bin', octet_length({_INNER})::BIGINT, sha256({_INNER}) FROM d
+"""
+
+
+def message_observables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the headers and the HTML of the built messages mention, without their texts."""
+    m = D.mention_table(_taken_apart(spark, sf_dir)).where("source_kind <> 'body_text'")
+    o = observables(within_places(typed_mentions(m, R.load()), EngineConfig().max_observable_places))
+    return o.where("type in ('email', 'ip')").select("msg_key", "message_index", "value", "type", "occurrences", F.size("sources").alias("n_sources"), "defanged")
+
+
+_OBSERVABLES = f"""
+WITH d AS ({_DOC})
+SELECT msg_key, 0 AS message_index, 'user' || doc_id || '@example.com' AS value, 'email' AS type, 1::BIGINT AS occurrences, 1 AS n_sources, false AS defanged FROM d
+UNION ALL SELECT msg_key, 0, 'smtp.mailfrom=user' || doc_id || '@example.com', 'email', 1, 1, false FROM d
+UNION ALL SELECT msg_key, 0, 'a@example.net', 'email', 1, 1, false FROM d
+UNION ALL SELECT msg_key, 0, 'b' || doc_id || '@example.org', 'email', 1, 1, false FROM d
+UNION ALL SELECT msg_key, 0, '192.0.2.' || (doc_id % 256), 'ip', 1, 1, false FROM d
+"""
+
+
+def flags_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damage of one kind for each document id modulo 5, and the flags it raises."""
+    k = F.col("doc_id") % 5
+    head = F.concat(F.lit("Subject: x\r\nContent-Type: "), F.when(k == 1, "multipart/mixed; boundary=B\r\n\r\n--B\r\n\r\nopen").when(k == 2, "text/plain; charset=us-ascii\r\n\r\n\xe9").when(k == 3, "application/pdf\r\nContent-Transfer-Encoding: base64\r\n\r\nQUJDR").otherwise("text/plain\r\n\r\nok"))
+    bad = F.when(k == 4, F.encode(F.lit("no header at all"), "UTF-8")).otherwise(F.encode(head, "UTF-8"))
+    d = D.dissect(table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("msg_key"), bad.alias("content")))
+    return d.select("msg_key", "ok", F.concat_ws(",", "flags").alias("flags"), "error.code")
+
+
+_FLAGS = """
+SELECT 'd' || doc_id AS msg_key, doc_id % 5 <> 4 AS ok,
+  CASE doc_id % 5 WHEN 1 THEN 'malformed_mime' WHEN 2 THEN 'encoding_fallback' WHEN 3 THEN 'attachment_unreadable' ELSE '' END AS flags,
+  CASE WHEN doc_id % 5 = 4 THEN 'UNPARSABLE' END AS code
+FROM documents
+"""
+
+
+def charset_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as Latin-1 under a false declaration, read back through the ladder."""
+    name = F.concat(F.lit("é-"), F.col("p_name"))
+    raw = F.concat(F.encode(F.lit("Subject: x\r\nContent-Type: text/plain; charset=utf-8\r\n\r\n"), "UTF-8"), F.encode(name, "ISO-8859-1"))
+    d = D.dissect(table(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey").alias("msg_key"), raw.alias("content")))
+    return D.mime_parts(d).select("msg_key", "text", "charset_declared", "charset_used")
+
+
+_CHARSET = "SELECT 'p' || p_partkey AS msg_key, 'é-' || p_name AS text, 'utf-8' AS charset_declared, 'cp1252' AS charset_used FROM part"
+
+
+def dissect_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = built_messages(spark, sf_dir)
+    d = written(D.dissect(messages, EngineConfig(keep_payloads=False)), "dissected")
+    j = dissected_json(messages, d, R.load())
+    get = lambda path: F.get_json_object("json", path)
+    return j.select("msg_key", "ok", get("$.messages[0].headers.subject[0]").alias("subject"), get("$.messages[1].depth").alias("inner_depth"), get("$.messages[0].attachments[0].filename").alias("attachment"))
+
+
+_JSON = f"WITH d AS ({_DOC}) SELECT msg_key, true AS ok, 'Doc é ' || doc_id AS subject, '1' AS inner_depth, 'p' || doc_id || '.PNG' AS attachment FROM d"
+
+
+# -- scalars ---------------------------------------------------------------------------
+
+def hash_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", scalars.digests(F.encode("text", "UTF-8")).alias("h")).select("doc_id", "h.*")
+
+
+_HASH = "SELECT doc_id, strlen(text)::BIGINT AS size, md5(text) AS md5, sha1(text) AS sha1, sha256(text) AS sha256 FROM documents"
+
+_MARKS = ((b"%PDF-1.7", "application/pdf"), (b"\x89PNG\r\n\x1a\n", "image/png"), (b"MZ", "application/vnd.microsoft.portable-executable"), (b"PK\x03\x04word/", "application/vnd.openxmlformats-officedocument.wordprocessingml.document"), (b"PK\x05\x06", "application/zip"), (b"{\\rtf1", "application/rtf"), (b"plain ", None))
+
+
+def sniff_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = F.array(*(F.lit(m) for m, _ in _MARKS))
+    payload = F.concat(F.get(marks, (F.col("p_partkey") % len(_MARKS)).cast("int")), F.encode("p_name", "UTF-8"))
+    d = table(spark, sf_dir, "part").select("p_partkey", scalars.sniffed(payload).alias("detected"))
+    return d.withColumn("is_document", scalars.is_document(F.col("detected")))
+
+
+_SNIFF = f"""
+SELECT p_partkey, detected, coalesce(detected IN ({", ".join(f"'{d}'" for d in scalars.DOCUMENTS)}), false) AS is_document
+FROM (SELECT p_partkey, CASE p_partkey % {len(_MARKS)} {" ".join(f"WHEN {k} THEN {'NULL' if t is None else repr(t)}" for k, (_, t) in enumerate(_MARKS))} END AS detected FROM part)
+"""
+
+
+def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat(F.lit("C:\\dir.d/"), F.col("p_name"), F.lit("  v\r\n2 ."), F.upper(F.substring("p_brand", 1, 3)))
+    d = table(spark, sf_dir, "part").select("p_partkey", name.alias("n"))
+    safe = scalars.safe_name(F.col("n"), F.lit("none"))
+    return d.select("p_partkey", scalars.extension(F.col("n")).alias("extension"), safe.alias("safe"), scalars.disposition(safe).alias("disposition"))
+
+
+_NAMES = """
+WITH n AS (SELECT p_partkey, p_name || ' v2 .' || upper(substr(p_brand, 1, 3)) AS s FROM part)
+SELECT p_partkey, lower(split_part(s, '.', -1)) AS extension, s AS safe,
+  'attachment; filename="' || s || '"; filename*=UTF-8''''' || replace(replace(replace(s, '%', '%25'), ' ', '%20'), '#', '%23') AS disposition FROM n
+"""
+
+
+# -- pages -----------------------------------------------------------------------------
+
+def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = S.html_events(table(spark, sf_dir, "pages"), "page_id", "html").where("kind = 'anchor'")
+    return e.groupBy("page_id", "href").agg(F.count("*").alias("n"), F.max(F.length("text")).cast("long").alias("longest"))
+
+
+_HTML_LINKS = """
+SELECT page_id, href, count(*) AS n, max(length(t))::BIGINT AS longest FROM (
+  SELECT page_id, regexp_extract(a, 'href="([^"]*)"', 1) AS href, regexp_extract(a, '>([^<]*)<', 1) AS t
+  FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>')) AS a FROM pages))
+GROUP BY page_id, href
+"""
+
+
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.html_texts(table(spark, sf_dir, "pages"), "page_id", "html")
+
+
+def html_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """White space of documents as a reader would see it."""
+    return table(spark, sf_dir, "documents").select("doc_id", scalars.settled_text(F.col("text")).alias("text"))
+
+
+_SETTLED = r"""
+SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[ \t\f\x0b]+', ' ', 'g'),
+  ' *\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS text FROM documents
+"""
+
+
+def url_parts_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = S.url_table(table(spark, sf_dir, "pages"), "page_id", "url")
+    return u.select("page_id", "scheme", "host", "path", "query", "fragment")
+
+
+_URL = r"""
+SELECT page_id, lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) AS scheme, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host,
+  nullif(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path, nullif(regexp_extract(url, '\?([^#]*)', 1), '') AS query, nullif(regexp_extract(url, '#(.*)$', 1), '') AS fragment
+FROM pages
+"""
+
+
+def host_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hosts = S.url_table(table(spark, sf_dir, "pages"), "page_id", "url").where("host is not null").select("host")
+    return R.host_suffixes(hosts, R.suffix_rules(spark, R.load()))
+
+
+_SUFFIX = r"SELECT DISTINCT lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host, regexp_extract(url, '://[^/?#]*\.([a-z]+)', 1) AS suffix FROM pages"
+
+
+def unwrap_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page URLs inside one or two wrappers, taken out again."""
+    wrapped = F.concat(F.lit("https://safe.wrap.example/r?u="), F.url_encode("url"))
+    twice = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("https://w.example/x/"), F.url_encode(wrapped))).otherwise(wrapped)
+    rules = (UnwrapRule("wrap.example", "query:u"), UnwrapRule("w.example", "path_segment:1", "percent"))
+    return S.unwrapped(table(spark, sf_dir, "pages").select("page_id", twice.alias("href")), "page_id", "href", rules).select("page_id", "target", "failed")
+
+
+_UNWRAP = "SELECT page_id, url AS target, false AS failed FROM pages"
+
+
+def top_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domains named by pages, by their own address and their links and resources: how often, on how many pages."""
+    pages = table(spark, sf_dir, "pages")
+    named = S.html_events(pages, "page_id", "html").where("href is not null").select("page_id", "href").union(pages.select("page_id", F.col("url").alias("href")))
+    hosts = S.url_table(named, "page_id", "href").where("host is not null").select("page_id", "host")
+    # Summed by host and page first: the suffix lookup sees each host once.
+    per = hosts.groupBy("host", "page_id").agg(F.count("*").alias("n"))
+    known = R.host_suffixes(per.select("host"), R.suffix_rules(spark, R.load()))
+    per_host = per.groupBy("host").agg(F.sum("n").alias("mentions"), F.count("*").alias("pages"))
+    return per_host.join(known, "host").select(F.col("host").alias("domain"), "suffix", "mentions", "pages")
+
+
+_TOP = r"""
+WITH n AS (SELECT page_id, url AS href FROM pages UNION ALL SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) FROM pages),
+h AS (SELECT page_id, lower(regexp_extract(href, '^[a-z]+://([^/?#]*)', 1)) AS host FROM n WHERE regexp_matches(href, '^[a-z]+://'))
+SELECT host AS domain, regexp_extract(host, '\.([a-z]+)$', 1) AS suffix, count(*) AS mentions, count(DISTINCT page_id) AS pages FROM h GROUP BY host
+"""
+
+
+# -- observables -----------------------------------------------------------------------
+
+def _observed(texts: DataFrame, key: str, text: str) -> DataFrame:
+    m = text_mentions(texts, key, text)
+    o = observables(within_places(typed_mentions(m, R.load()), EngineConfig().max_observable_places))
+    return o.select(F.col("msg_key").cast("long").alias(key), "value", "type", "ordinal", "value_raw", "subtype", "defanged", "ambiguous", "occurrences")
+
+
+def observables_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _observed(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def observables_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100_000 + F.col("turn")).alias("turn_id"), "text")
+    return _observed(c, "turn_id", "text")
+
+
+def observables_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _observed(S.html_texts(table(spark, sf_dir, "pages"), "page_id", "html"), "page_id", "text")
+
+
+def emails_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return observables_documents(spark, sf_dir).where("type = 'email'").select("doc_id", "value", "occurrences")
+
+
+_EMAILS = r"""
+SELECT doc_id, value, count(*) AS occurrences FROM (
+  SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+(?:\.[A-Za-z0-9_]+)*@(?:[A-Za-z0-9]+\.)+[A-Za-z0-9]+')) AS value FROM documents)
+GROUP BY doc_id, value
+"""
+
+
+def _injected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed mentions out of events: a user is a message, an hour a header."""
+    e = table(spark, sf_dir, "events")
+    i = lambda c: F.lit(c).cast("int")
+    return e.select(
+        F.col("user_id").cast("string").alias("msg_key"),
+        i(0).alias("message_index"),
+        F.struct(i(0).alias("stage"), F.col("event_id").cast("int").alias("unit"), i(0).alias("match"), i(0).alias("fan"), i(0).alias("made")).alias("ord"),
+        F.col("event_type").alias("value"),
+        F.lit("domain").alias("type"),
+        F.concat("event_type", F.lit("!"), F.col("event_id").cast("string")).alias("value_raw"),
+        F.lit(None).cast("string").alias("subtype"),
+        (F.col("event_id") % 2 == 0).alias("defanged"),
+        F.lit(False).alias("ambiguous"),
+        F.lit("header").alias("source_kind"),
+        F.lit("x").alias("header_name"),
+        F.hour("ts").alias("header_index"),
+        F.lit(None).cast("int").alias("part_index"),
+    )
+
+
+def _flat(o: DataFrame) -> DataFrame:
+    return o.select("msg_key", "value", "ordinal", "value_raw", "defanged", "occurrences", F.array_join(F.transform("sources", lambda s: s["header_index"].cast("string")), ",").alias("sources"))
+
+
+def observable_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(observables(_injected(spark, sf_dir)))
+
+
+def place_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(observables(within_places(_injected(spark, sf_dir), 3)))
+
+
+def _dedup_sql(source: str) -> str:
+    return f"""
+WITH m AS ({source}),
+p AS (SELECT msg_key, value, h, min(event_id) AS first FROM m GROUP BY ALL),
+o AS (SELECT msg_key, value, count(*) AS occurrences, min(event_id) AS first FROM m GROUP BY ALL),
+s AS (SELECT msg_key, value, string_agg(h::VARCHAR, ',' ORDER BY first) AS sources FROM p GROUP BY ALL)
+SELECT msg_key, value, (row_number() OVER (PARTITION BY msg_key ORDER BY first) - 1)::INT AS ordinal, value || '!' || first AS value_raw, first % 2 = 0 AS defanged, occurrences, sources
+FROM o JOIN s USING (msg_key, value)
+"""
+
+
+_INJECTED = "SELECT user_id::VARCHAR AS msg_key, event_type AS value, hour(ts) AS h, event_id FROM events"
+_CAPPED = f"""
+SELECT msg_key, value, h, event_id FROM (
+  SELECT *, sum(new) OVER (PARTITION BY msg_key ORDER BY event_id) AS spent FROM (
+    SELECT *, (row_number() OVER (PARTITION BY msg_key, value, h ORDER BY event_id) = 1)::INT AS new FROM ({_INJECTED}) AS i) AS n) AS c
+WHERE spent <= 3
+"""
+
+
+def engine_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the engine runs with: registry versions and sizes, interpreter."""
+    import sys
+
+    r = R.load()
+    return spark.createDataFrame([(r.version, len(r.rules), len(r.extensions), ".".join(map(str, sys.version_info[:3])))], "registries string, suffix_rules long, extensions long, python string")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        top_domains, hash_documents, sniff_payloads, file_names, html_links, html_text, html_settled, url_parts_pages, host_suffix, unwrap_links, observables_documents,
+        observables_conversations, observables_pages, emails_documents, observable_dedup, place_cap, mime_parts, attachments, message_nesting, headers_map, addresses,
+        received_hops, auth_results, message_links, message_bodies, artifacts, message_observables, flags_rollup, charset_ladder, dissect_json, engine_info,
+    )
+}
+ORACLES: dict[str, str] = {
+    "top_domains": _TOP, "hash_documents": _HASH, "sniff_payloads": _SNIFF, "file_names": _NAMES, "html_links": _HTML_LINKS, "html_settled": _SETTLED, "url_parts_pages": _URL, "host_suffix": _SUFFIX,
+    "unwrap_links": _UNWRAP, "emails_documents": _EMAILS, "observable_dedup": _dedup_sql(_INJECTED), "place_cap": _dedup_sql(_CAPPED), "mime_parts": _MIME, "attachments": _ATTACHMENTS,
+    "message_nesting": _NESTING, "headers_map": _HEADERS, "addresses": _ADDRESSES, "received_hops": _RECEIVED, "auth_results": _AUTH, "message_links": _LINKS, "message_bodies": _BODIES,
+    "artifacts": _ARTIFACTS, "message_observables": _OBSERVABLES, "flags_rollup": _FLAGS, "charset_ladder": _CHARSET, "dissect_json": _JSON,
+}
