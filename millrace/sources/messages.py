@@ -26,5 +26,5 @@ def read_messages(spark: SparkSession, path: str, config: EngineConfig = EngineC
 
 def stream_messages(spark: SparkSession, path: str, glob: str = "*.eml") -> DataFrame:
     """The same as a stream of files as they come."""
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", glob).load(path)
     return with_keys(files).select("msg_key", "path", "length", "content")
