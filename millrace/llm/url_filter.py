@@ -51,10 +51,22 @@ WANTED = (
     "river.net/fish/en farmhouse.org/visit trackday.com/race bettergarden.net/soil adulteducation.org/courses pillow.com/bedding spamalot.org/play "
     "windmill.net/tour freedom.org/essay/2 addition.edu/sum cheapside.org/london winter.com/ski betterment.org/plan"
 ).split()
-#: Paths that say nothing: every listed host is also seen under these.
-PLAIN_PATHS = ("/", "/en/120", "/de/33.html", "/fr/705/", "/es/48")
-#: A table of labelled URLs: (url, 1 if unwanted).
-LABELLED = tuple((f"http://{u}", y) for part, y in ((UNWANTED, 1), (WANTED, 0)) for v in part for u in (v, *(v.split("/")[0] + p for p in PLAIN_PATHS)))
+#: What says nothing: a listed name is also seen with these before and after it.
+BEFORE, AFTER, PATHS = ("", "www.", "blog.", "m."), (".com", ".net", ".org", ".info", ".example.com", ".example.net", ".example.org"), ("/", "/en/120", "/de/33.html", "/fr/705/", "/es/48")
+
+
+def labelled_table() -> tuple[tuple[str, int], ...]:
+    """(url, 1 if unwanted): the listed URLs, and each name under four neutral frames."""
+    rows = [(f"http://{u}", y) for part, y in ((UNWANTED, 1), (WANTED, 0)) for u in part]
+    for part, y in ((UNWANTED, 1), (WANTED, 0)):
+        for k, u in enumerate(part):
+            name = re.sub(r"^(?:www|blog|m)\.|\.[a-z]+$", "", u.partition("/")[0])
+            name = re.sub(r"^(?:www|blog|m)\.", "", name)
+            rows += [(f"http://{b}{name}{AFTER[(k + j) % len(AFTER)]}{PATHS[(k + j) % len(PATHS)]}", y) for j, b in enumerate(BEFORE)]
+    return tuple(rows)
+
+
+LABELLED = labelled_table()
 
 
 def split_url(url: str) -> tuple[str, str]:
