@@ -62,7 +62,8 @@ def grouped(batches: Iterator[pa.RecordBatch], least: int = 1, most: int | None
                 yield [unpacked(part)]
                 rest[:] = [part.slice(0, 1)]
             continue
-        cut = int(np.flatnonzero(job != job[-1])[-1]) + 1
+        other = np.flatnonzero(job != job[-1])
+        cut = int(other[-1]) + 1 if len(other) else 0
         rest[-1] = batch.slice(0, cut)
         yield from batched(groups(joined()))
         rest[:] = [batch.slice(cut)]
