@@ -29,11 +29,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from millrace.llm.text import SPACE, WORD
-from millrace.workspace import table
+from millrace.workspace import Written, table
 
 MAX_PASSES, BLOCK_TOKENS, SEED, STEPS = 1.25, 100_000, 17, 60
 #: Documents in a bin of a permutation, about.
 BIN_ROWS = 2_000
+#: Rows of a table of sources that is broadcast; beyond, sources are joined by a shuffle.
+BROADCAST_ROWS = 50_000
 
 
 def token_count(text: Column) -> Column:
@@ -106,6 +108,45 @@ def mix_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sour
     return placed.select("row", "mix_pass", "mix_tokens", "mix_before", F.floor(F.col("mix_before") / share).cast("long").alias("mix_block"), F.col("_h").alias("mix_order"))
 
 
+def select_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", budget: float | None = None, max_passes: float | None = MAX_PASSES, entropy: float | None = None, seed: int = SEED) -> DataFrame:
+    """The rows of :func:`mix_documents` without their places: ``docs``' own columns. Whole
+    passes, and the bins of the last that are within its budget as a whole, need no order;
+    only the bin in which a source's budget ends is put in order, so that texts stay where
+    they are but for about BIN_ROWS of each source."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"))  # names of our own cannot clash with theirs
+    s, t, i = F.col("row")[source].cast("string"), F.col("row")[text], F.col("row")[key].cast("string")
+    counted = rows.select(s.alias("source"), token_count(t).alias("n")).groupBy("source").agg(F.sum("n").alias("tokens"), F.count("*").alias("rows"))
+    shares = source_weights(counted, budget, max_passes, entropy).where("budget > 0")
+    shares = shares.select(
+        F.col("source").alias("_s2"),
+        F.floor(F.col("budget") / F.col("tokens")).cast("long").alias("_whole"),
+        (F.col("budget") % F.col("tokens")).alias("_rest"),
+        F.greatest(F.lit(1), F.ceil(F.col("rows") / BIN_ROWS)).cast("long").alias("_bins"),
+    )
+    shares = Written(shares, "shares").df
+    k = F.coalesce(i, F.lit("null"))
+    h = lambda p: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), p, k)), 1, 8), 16, 10).cast("long")
+    joined = rows.join(_small(shares), s.eqNullSafe(F.col("_s2")))
+    binned = joined.withColumn("_h", h(F.col("_whole"))).withColumn("_bin", F.floor(F.col("_h") * F.col("_bins") / F.lit(1 << 32)).cast("long"))
+    sums = binned.where("_rest > 0").select("_s2", "_bin", "_rest", token_count(t).alias("n")).groupBy("_s2", "_bin").agg(F.sum("n").alias("n"), F.first("_rest").alias("_rest"))
+    start = F.coalesce(F.sum("n").over(Window.partitionBy("_s2").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # A source's last bin: the last that starts within its budget.
+    ends = sums.withColumn("_start", start).where("_start < _rest").groupBy("_s2").agg(F.max(F.struct("_bin", "_start")).alias("e"))
+    ends = Written(ends.select(F.col("_s2").alias("_s3"), F.col("e._bin").alias("_end"), F.col("e._start").alias("_start")), "ends").df
+    d = binned.join(_small(ends), F.col("_s2").eqNullSafe(F.col("_s3")), "left")
+    copies = F.col("_whole") + (F.coalesce(F.col("_bin") < F.col("_end"), F.lit(False))).cast("long")
+    sure = d.where(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies))).select("row.*")
+    last = d.where("_bin = _end").withColumn("_n", token_count(t))
+    inside = Window.partitionBy("_s2").orderBy("_h", i).rowsBetween(Window.unboundedPreceding, -1)
+    last = last.withColumn("_before", F.col("_start") + F.coalesce(F.sum("_n").over(inside), F.lit(0))).where("_before < _rest").select("row.*")
+    return sure.unionAll(last)
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A written table of one row for each source, broadcast if that is few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document of the mix, once for each pass."""
     d = mix_documents(table(spark, sf_dir, "documents"), carry=["doc_id", "source"])
@@ -114,7 +155,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix itself: rows of ``docs``, some once, some twice, some not."""
-    return mix_documents(docs).select("row.*")
+    return select_mix(docs)
 
 
 _HASH = f"('0x' || substr(md5('{SEED}:' || mix_pass || ':' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT"
