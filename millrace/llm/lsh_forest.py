@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from millrace.llm.grouping import forest, grouped
-from millrace.llm.text import pieces
+from millrace.llm.text import free_names, pieces
 from millrace.plans.components import connected_components
 from millrace.workspace import Written, partitions, table
 
@@ -39,6 +39,8 @@ WORDS, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 36, 8, 0.9999
 #: Classes under a node that are screened pair by pair; classes of a verified block.
 SCREENED, BLOCK = 2048, 256
+#: Rows (of some 100 bytes) of a table of ids that is broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def prefix_depth(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
@@ -228,6 +230,11 @@ def _verify(threshold: float):
     return run
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """A written table of ids, broadcast if it is counted small; else texts are shuffled to it."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def _classes(docs: DataFrame, key: str, text: str, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(id, code, some, rep) of every row, and (rep, mult, class_id, n_links) of every class."""
     depth = prefix_depth(threshold)
@@ -240,7 +247,7 @@ def _classes(docs: DataFrame, key: str, text: str, threshold: float) -> tuple[Da
     sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
     asked = groups.join(sizes, "component").join(whole.select("rep", "code", "id", "mult"), F.col("node") == F.col("rep"))
     asked = asked.select("rep", "code", F.col("id").alias("_id"), "mult", F.col("component").alias("group"), "blocks", F.pmod(F.xxhash64("rep", F.lit("block")), F.col("blocks")).alias("b"))
-    sets = d.join(asked, F.col("id").eqNullSafe(F.col("_id"))).select("rep", "code", "mult", "group", "blocks", "b", "text")
+    sets = d.join(_small(Written(asked, "asked").df), F.col("id").eqNullSafe(F.col("_id"))).select("rep", "code", "mult", "group", "blocks", "b", "text")
     sets = sets.mapInArrow(_sets, "rep long, mult long, group long, blocks long, b long, set array<long>")
     jobs = sets.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     jobs = jobs.select(F.xxhash64("group", F.least("b", "o"), F.greatest("b", "o")).alias("job"), (F.col("b") > F.col("o")).cast("int").alias("side"), "rep", "mult", "set")
@@ -270,22 +277,22 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", t
     rows = signed.where("some").groupBy("rep", "code", "id").agg(F.count("*").alias("n"))
     chosen = member.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("rep"))).alias("c")).select(F.col("c.id").alias("keep_id"), F.col("c.rep").alias("rep"), F.lit(True).alias("stays"))
     rows = rows.join(chosen, "rep", "left").withColumn("stays", F.coalesce(F.col("stays") & F.col("id").eqNullSafe(F.col("keep_id")), F.lit(False)))
-    out = Written(rows.where("not stays or n > 1").select(F.col("id").alias("_id"), F.col("code").alias("_code"), "stays"), "dropped").df
-    schema = StructType([*docs.schema.fields]).add("_code_", "binary").add("_key_", "long")
     names = docs.columns
+    code, number, out_id, out_code, stays = free_names(names, "code", "key", "out_id", "out_code", "stays")
+    out = Written(rows.where("not stays or n > 1").select(F.col("id").alias(out_id), F.col("code").alias(out_code), F.col("stays").alias(stays)), "dropped").df
+    schema = StructType([*docs.schema.fields]).add(code, "binary").add(number, "long")
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         t, k = names.index(text), names.index(key)
         for batch in batches:
-            code = [xxhash.xxh3_128_digest(b" ".join(shingler.words(x.as_py().encode() if x.is_valid else b""))) for x in batch.column(t)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(code, pa.binary()), batch.column(k).cast(pa.int64())], names=[*names, "_code_", "_key_"])
+            found = [xxhash.xxh3_128_digest(b" ".join(shingler.words(x.as_py().encode() if x.is_valid else b""))) for x in batch.column(t)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary()), batch.column(k).cast(pa.int64())], names=schema.names)
 
     d = docs.mapInArrow(coded, schema)
-    same = F.col("_key_").eqNullSafe(F.col("_id")) & (F.col("_code_") == F.col("_code"))
-    d = d.join(out, same, "left")
-    once = d.where(F.col("stays").isNull())
-    again = d.where("stays").dropDuplicates(["_key_", "_code_"])
+    d = d.join(_small(out), F.col(number).eqNullSafe(F.col(out_id)) & (F.col(code) == F.col(out_code)), "left")
+    once = d.where(F.col(stays).isNull())
+    again = d.where(F.col(stays)).dropDuplicates([number, code])
     return once.unionByName(again).select(*names)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -36,3 +36,15 @@ def strings(batch: pa.RecordBatch, column: str) -> list[str]:
     return pc.fill_null(batch.column(batch.schema.get_field_index(column)), "").to_pylist()
 
 
+
+
+def free_names(taken: Sequence[str], *names: str) -> list[str]:
+    """Column names like these that are not taken, in any case of letters."""
+    low, out = {t.lower() for t in taken}, []
+    for n in names:
+        n = f"_{n}"
+        while n.lower() in low:
+            n += "_"
+        out.append(n)
+        low.add(n.lower())
+    return out

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.text import bucket_of, pieces, strings
+from millrace.llm.text import bucket_of, free_names, pieces, strings
 from millrace.workspace import Written, table
 
 BITS = 20
@@ -197,9 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 def score_documents(docs: DataFrame, scorer: Scorer, key: str = "doc_id", text: str = "text", whole_rows: bool = False) -> DataFrame:
     """``key`` and score; with ``whole_rows`` all columns of ``docs`` and ``_score``."""
     docs = docs if whole_rows else docs.select(key, text)
-    name = "_score" if whole_rows else "score"
-    while name in docs.columns and whole_rows:
-        name += "_"
+    name = free_names(docs.columns, "score")[0] if whole_rows else "score"
     from pyspark.sql.types import StructType
 
     schema = StructType(list(docs.schema.fields)).add(name, "double")
