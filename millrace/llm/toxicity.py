@@ -7,8 +7,9 @@ mention of a group counts beyond its parts.
 
 Training uses a bounded sample of labelled rows outside the held-out fold, the
 ``sample`` rows of least hashed id (a documented parameter, 20,000): their terms are
-counted by class over the executors, the ``terms`` buckets that tell the classes apart
-most surely are kept, and the machine is fitted on the driver on what the sample has of
+counted by class over the executors, the ``terms`` buckets that speak most surely for
+the toxic class are kept (what speaks against it is mostly the language or the length of
+a text, and a long text has much of it), and the machine is fitted on the driver on what the sample has of
 them. Every text is scored whole. Labels, language, source and id are no inputs.
 
 Defined results: a null or empty text has no terms and scores the bias; repeated rows
@@ -34,7 +35,8 @@ from millrace.workspace import Written, table
 
 BITS = 20
 SAMPLE, TERMS, FACTORS = 20_000, 4096, 8
-LEAST_Z, LEAST_DOCS = 3.0, 3
+#: Of a bucket: deviations of its log odds from none, the log odds, sampled rows.
+LEAST_Z, LEAST_ODDS, LEAST_DOCS = 3.0, 1.5, 3
 THRESHOLD = 0.3
 FOLDS, HELD = 4, 2
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -172,8 +174,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         _counts(rows.df)
         .where((F.col("clean") + F.col("toxic") >= LEAST_DOCS) & F.lit(bool(clean and toxic)))
         .withColumn("z", odds / F.sqrt(spread))
-        .where(F.abs("z") >= LEAST_Z)
-        .orderBy(F.abs("z").desc(), "bucket")
+        .where((F.col("z") >= LEAST_Z) & (odds >= LEAST_ODDS))
+        .orderBy(F.desc("z"), "bucket")
         .limit(terms)
     )
     buckets = np.sort(np.array([r[0] for r in best.select("bucket").collect()], np.int64))  # at most ``terms``
