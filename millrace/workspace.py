@@ -86,3 +86,11 @@ def slots(spark: SparkSession) -> int:
 def partitions(spark: SparkSession) -> int:
     """How many partitions to deal a keyed job table to: as the session says, with a few for every slot."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * slots(spark))
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables that this application has written to the shared folder. Frames that
+    read them can no longer be computed."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/millrace/{sc.applicationId}")
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
