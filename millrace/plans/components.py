@@ -1,8 +1,9 @@
 """Connected components of an undirected graph, as DataFrame operations only.
 
 Alternates large-star and small-star steps: every node points at the least node it
-knows. Each step is one minimum (combined before its shuffle) and one join whose
-large keys Spark can split, so a star of any size is no single task's work. The edge
+knows. Each step is one minimum (combined before its shuffle), written, and one join of
+two tables whose large keys Spark can split, so a star of any size is no single task's
+work; were the minimum computed in the join's own stage, its keys could not be split. The edge
 table never leaves the executors; each round is written out, so lineage stays short.
 """
 
@@ -18,17 +19,25 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame) -> tuple[DataFrame, Written]:
     around = _both(edges)
-    least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return around.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    least = Written(around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
+    return around.join(least.df, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), least
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame) -> tuple[DataFrame, Written]:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+    least = Written(down.groupBy("u").agg(F.min("v").alias("m")), "least")
+    moved = down.join(least.df, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.union(least.df.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), least
+
+
+def _written_step(step, at: Written) -> Written:
+    made, least = step(at.df)
+    after = Written(made, "edges")
+    least.drop()
+    at.drop()
+    return after
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -41,9 +50,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
     sign = None
     for _ in range(max_rounds):
-        after = Written(_small_star(_large_star(at.df)), "edges")
-        at.drop()
-        at = after
+        at = _written_step(_small_star, _written_step(_large_star, at))
         now = tuple(at.df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == sign:
             break
