@@ -255,7 +255,8 @@ def _classes(docs: DataFrame, key: str, text: str, threshold: float) -> tuple[Da
     links = found.where("n is not null").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n"))
     parts = connected_components(found.where("v is not null").select("u", "v")).withColumnRenamed("node", "rep")
     member = whole.select("rep", "id", "mult").join(links, "rep", "left").join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    least = member.groupBy("component").agg(F.min("id").alias("class_id"))
+    # Written before its join: a key is split only where both sides come straight from a shuffle.
+    least = Written(member.groupBy("component").agg(F.min("id").alias("class_id")), "least").df
     member = member.join(least, "component").select("rep", "component", "mult", "id", "class_id", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"))
     return signed, Written(member, "members").df
 

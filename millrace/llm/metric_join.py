@@ -220,7 +220,8 @@ def range_join(df: DataFrame, key: str = "vec_id", vector: str = "embedding", la
     parts = connected_components(found.where("v is not null").select("u", "v"))
     member = whole.select("rep", "id", "mult").join(links, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     member = member.withColumn("component", F.coalesce("component", "rep"))
-    least_id = member.groupBy("component").agg(F.min("id").alias("component_id"))
+    # Written before its join: a key is split only where both sides come straight from a shuffle.
+    least_id = Written(member.groupBy("component").agg(F.min("id").alias("component_id")), "least").df
     member = member.join(least_id, "component").select("rep", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), "component_id")
     linked = good.select("id", F.xxhash64("code").alias("rep")).join(member, "rep").select("id", "n_links", "component_id")
     alone = _alone(df, key, vector, label)
