@@ -6,11 +6,14 @@ weight the inner products of pairs of term vectors, so a pair such as an insult
 mention of a group counts beyond its parts.
 
 Training uses a bounded sample of labelled rows outside the held-out fold, the
-``sample`` rows of least hashed id (a documented parameter, 20,000): their terms are
-counted by class over the executors, the ``terms`` buckets that speak most surely for
-the toxic class are kept (what speaks against it is mostly the language or the length of
-a text, and a long text has much of it), and the machine is fitted on the driver on what the sample has of
-them. Every text is scored whole. Labels, language, source and id are no inputs.
+``sample`` rows of least hashed id (a documented parameter, 20,000). Every bucket of the
+sample is a feature, whatever it says by itself, so a pair of words that are neutral
+alone can be learned; only L2 prunes. The penalty of a linear weight is ``SURE`` for a
+bucket that speaks surely for the toxic class and ``NEUTRAL`` mean texts' terms for all
+others (what speaks against it is mostly the language or the length of a text); the
+penalty of the pair vectors is ``PAIR`` mean texts' terms, more than learning a single
+text by heart gains. The machine is fitted on the driver. Every text is scored whole.
+Labels, language, source and id are no inputs.
 
 Defined results: a null or empty text has no terms and scores the bias; repeated rows
 score alike; labels that are null, or of no document, teach nothing; of several labels of
@@ -22,8 +25,9 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
+from array import array
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +38,10 @@ from millrace.llm.text import bucket_of, free_names, pieces, strings
 from millrace.workspace import Written, table
 
 BITS = 20
-SAMPLE, TERMS, FACTORS = 20_000, 4096, 8
-#: Of a bucket: deviations of its log odds from none, the log odds, sampled rows.
+SAMPLE, FACTORS = 20_000, 8
+#: L2: of a linear weight with evidence; of one without, and of pair vectors, in terms of a mean text.
+SURE, NEUTRAL, PAIR = 1.0, 0.5, 3.0
+#: Evidence of a bucket: deviations of its log odds from none, the log odds, sampled rows.
 LEAST_Z, LEAST_ODDS, LEAST_DOCS = 3.0, 1.5, 3
 THRESHOLD = 0.3
 FOLDS, HELD = 4, 2
@@ -55,48 +61,67 @@ def text_terms(text: str) -> set[int]:
     return found
 
 
+class _Sums:
+    """Sums of ``source[at]`` over consecutive segments, a chunk at a time."""
+
+    def __init__(self, at: np.ndarray, size: np.ndarray, chunk: int = 1 << 19):
+        self.at, self.n, self.full = at, len(size), np.flatnonzero(size)
+        begin = (np.cumsum(size) - size)[self.full]
+        cuts = np.flatnonzero(np.diff(begin // chunk)) + 1 if len(begin) else []
+        self.parts = [(b[0], e, k, b - b[0]) for b, e, k in zip(np.split(begin, cuts), [*(begin[c] for c in cuts), len(at)], np.split(self.full, cuts), strict=True) if len(b)]
+
+    def __call__(self, source: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.n, source.dtype)
+        for a, b, segments, begin in self.parts:
+            out[segments] = np.add.reduceat(source[self.at[a:b]], begin)
+        return out
+
+
 class FactorizationMachine:
     """Second-order, logistic, over binary features; terms are numbered from 0."""
 
     def __init__(self, n: int, factors: int = FACTORS, seed: int = 7):
-        self.b, self.w = 0.0, np.zeros(n)
-        self.v = np.random.default_rng(seed).normal(0, 0.01, (n, factors))
+        self.b, self.w = 0.0, np.zeros(n, np.float32)
+        self.v = np.random.default_rng(seed).normal(0, 0.01, (n, factors)).astype(np.float32)
 
     def logits(self, at: np.ndarray, row: np.ndarray, n_rows: int) -> np.ndarray:
         """at: term numbers; row: the row of each, ascending."""
         z = np.full(n_rows, self.b) + np.bincount(row, self.w[at], n_rows)
-        v = self.v[at]
-        total = np.stack([np.bincount(row, v[:, f], n_rows) for f in range(v.shape[1])], 1)
-        return z + 0.5 * ((total**2).sum(1) - np.bincount(row, (v**2).sum(1), n_rows))
-
-    def fit(self, rows: list[np.ndarray], y: np.ndarray, epochs: int = 30, batch: int = 256, rate: float = 0.02, l2: float = 1e-3, seed: int = 7) -> FactorizationMachine:
-        """Adam on shuffled batches; the same rows give the same weights."""
-        rng, n = np.random.default_rng(seed), len(y)
-        self.b = float(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5)))
-        params = [self.w, self.v]
-        m, s, bm, bs, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0.0, 0.0, 0
-        for _ in range(epochs):
-            order = rng.permutation(n)
-            for k in range(0, n, batch):
-                pick = order[k : k + batch]
-                size = np.array([len(rows[i]) for i in pick])
-                at = np.concatenate([rows[i] for i in pick]).astype(np.int64)
-                row = np.repeat(np.arange(len(pick)), size)
-                v = self.v[at]
-                total = np.stack([np.bincount(row, v[:, f], len(pick)) for f in range(v.shape[1])], 1)
-                z = self.b + np.bincount(row, self.w[at], len(pick)) + 0.5 * ((total**2).sum(1) - np.bincount(row, (v**2).sum(1), len(pick)))
-                e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[pick]) / len(pick)
-                grads = [np.bincount(at, e[row], len(self.w)) + l2 * self.w / 10, l2 * self.v]
-                pull = e[row][:, None] * (total[row] - v)
-                np.add.at(grads[1], at, pull)
-                t += 1
-                for p, g, a, c in zip(params, grads, m, s, strict=True):
-                    a += 0.1 * (g - a)
-                    c += 0.001 * (g * g - c)
-                    p -= rate * (a / (1 - 0.9**t)) / (np.sqrt(c / (1 - 0.999**t)) + 1e-8)
-                g = e.sum()
-                bm, bs = bm + 0.1 * (g - bm), bs + 0.001 * (g * g - bs)
-                self.b -= rate * (bm / (1 - 0.9**t)) / (np.sqrt(bs / (1 - 0.999**t)) + 1e-8)
+        for f in range(self.v.shape[1]):
+            v = self.v[at, f].astype(np.float64)
+            z += 0.5 * (np.bincount(row, v, n_rows) ** 2 - np.bincount(row, v * v, n_rows))
+        return z
+
+    def fit(self, rows: list[np.ndarray], y: np.ndarray, epochs: int = 60, rate: float = 0.05, l2: np.ndarray | float = SURE) -> FactorizationMachine:
+        """Adam on the whole sample; ``l2`` is of the linear weights. The same rows give the same weights."""
+        n, factors = self.v.shape
+        size = np.array([len(r) for r in rows])
+        at = np.concatenate(rows).astype(np.int32)
+        of_rows = _Sums(at, size)
+        of_terms = _Sums(np.repeat(np.arange(len(rows), dtype=np.int32), size)[np.argsort(at, kind="stable")], np.bincount(at, minlength=n))
+        self.b = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
+        params = np.vstack([self.w[None], self.v.T])
+        m, s, bm, bs = np.zeros_like(params), np.zeros_like(params), 0.0, 0.0
+        with ThreadPoolExecutor(4) as pool:
+            for t in range(1, epochs + 1):
+                squares = (params[1:] ** 2).sum(0)
+                linear, square, *total = pool.map(of_rows, [params[0], squares, *params[1:]])
+                z = self.b + linear + 0.5 * (sum(a * a for a in total) - square)
+                e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y).astype(np.float32)
+                alone = of_terms(e)
+
+                def step(f: int) -> None:
+                    p = params[f]
+                    g = alone + l2 * p if f == 0 else of_terms(e * total[f - 1]) + (PAIR * size.mean() - alone) * p
+                    m[f] += 0.1 * (g - m[f])
+                    s[f] += 0.01 * (g * g - s[f])
+                    p -= rate * (m[f] / (1 - 0.9**t)) / (np.sqrt(s[f] / (1 - 0.99**t)) + 1e-3)
+
+                list(pool.map(step, range(factors + 1)))
+                g = float(e.sum())
+                bm, bs = bm + 0.1 * (g - bm), bs + 0.01 * (g * g - bs)
+                self.b -= rate * (bm / (1 - 0.9**t)) / (np.sqrt(bs / (1 - 0.99**t)) + 1e-8)
+        self.w, self.v = params[0].copy(), np.ascontiguousarray(params[1:].T)
         return self
 
 
@@ -104,7 +129,9 @@ class Scorer:
     """A fitted machine with the buckets its terms stand for."""
 
     def __init__(self, buckets: np.ndarray, machine: FactorizationMachine):
-        self.number = {int(b): k for k, b in enumerate(buckets)}
+        number = np.full(1 << BITS, -1, np.int32)
+        number[buckets] = np.arange(len(buckets), dtype=np.int32)
+        self.number = array("i", number.tobytes())
         self.machine = machine
 
     def score(self, texts: list[str], known: dict[str, tuple[int, ...]]) -> np.ndarray:
@@ -116,7 +143,7 @@ class Scorer:
             for w in set(_LETTERS.findall(t.lower())):
                 terms = known.get(w)
                 if terms is None:
-                    terms = known[w] = tuple(number[b] for b in word_terms(w) if b in number)
+                    terms = known[w] = tuple(number[b] for b in word_terms(w) if number[b] >= 0)
                 if terms:
                     found.update(terms)
             at += sorted(found)
@@ -138,7 +165,7 @@ def _sample_terms(docs: DataFrame, labels: DataFrame, key: str, text: str, label
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "t"):
-                terms = [np.fromiter(text_terms(t), np.int32) for t in strings(piece, "t")]
+                terms = [np.sort(np.fromiter(text_terms(t), np.int32)) for t in strings(piece, "t")]
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(terms, pa.list_(pa.int32()))], names=["y", "terms"])
 
     # The sample's size is bounded by the parameter, so its ids can be broadcast.
@@ -146,53 +173,38 @@ def _sample_terms(docs: DataFrame, labels: DataFrame, key: str, text: str, label
     return Written(rows.mapInArrow(run, "y int, terms array<int>"), "toxic-sample")
 
 
-def _counts(rows: DataFrame) -> DataFrame:
-    """Of each bucket: sampled rows that have it, by class. Summed in a task before the shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros((2, 1 << BITS), np.int64)
-        for batch in batches:
-            y = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).value_lengths().to_numpy(zero_copy_only=False))
-            at = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-            for c in (0, 1):
-                n[c] += np.bincount(at[(y > 0) == bool(c)], minlength=1 << BITS)
-        at = np.flatnonzero(n.sum(0))
-        for k in range(0, len(at), 100_000):
-            part = at[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(n[0, part]), pa.array(n[1, part])], names=["bucket", "clean", "toxic"])
-
-    return rows.mapInArrow(run, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+def _penalty(at: np.ndarray, size: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """L2 of each linear weight: little with evidence for the toxic class, much without."""
+    both = np.bincount(at, minlength=n)
+    toxic = np.bincount(at[np.repeat(y > 0, size)], minlength=n)
+    clean, all_toxic, all_clean = both - toxic, (y > 0).sum(), (y == 0).sum()
+    odds = np.log((toxic + 0.5) / (all_toxic - toxic + 0.5)) - np.log((clean + 0.5) / (all_clean - clean + 0.5))
+    z = odds / np.sqrt(sum(1 / (c + 0.5) for c in (toxic, clean, all_toxic - toxic, all_clean - clean)))
+    sure = (z >= LEAST_Z) & (odds >= LEAST_ODDS) & (both >= LEAST_DOCS)
+    return np.where(sure, SURE, max(SURE, NEUTRAL * size.mean())).astype(np.float32)
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, terms: int = TERMS) -> Scorer:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Scorer:
     """A scorer from a bounded sample of labelled rows."""
     rows = _sample_terms(docs, labels, key, text, label, sample)
-    clean, toxic = rows.df.agg(F.coalesce(F.sum((F.col("y") == 0).cast("long")), F.lit(0)), F.coalesce(F.sum((F.col("y") > 0).cast("long")), F.lit(0))).first()
-    odds = F.log((F.col("toxic") + 0.5) / (toxic - F.col("toxic") + 0.5)) - F.log((F.col("clean") + 0.5) / (clean - F.col("clean") + 0.5))
-    spread = sum((1 / (c + 0.5) for c in (F.col("toxic"), F.col("clean"), toxic - F.col("toxic"), clean - F.col("clean"))), F.lit(0.0))
-    best = (
-        _counts(rows.df)
-        .where((F.col("clean") + F.col("toxic") >= LEAST_DOCS) & F.lit(bool(clean and toxic)))
-        .withColumn("z", odds / F.sqrt(spread))
-        .where((F.col("z") >= LEAST_Z) & (odds >= LEAST_ODDS))
-        .orderBy(F.desc("z"), "bucket")
-        .limit(terms)
-    )
-    buckets = np.sort(np.array([r[0] for r in best.select("bucket").collect()], np.int64))  # at most ``terms``
-
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = [np.searchsorted(buckets, x[np.isin(x, buckets)]) for x in (np.asarray(v, np.int64) for v in batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.sort(a).astype(np.int32) for a in at], pa.list_(pa.int32()))], names=["y", "at"])
-
-    machine = FactorizationMachine(len(buckets))
-    if len(buckets):
-        got = rows.df.mapInArrow(kept, "y int, at array<int>").toArrow()  # at most ``sample`` rows of few terms
-        data = sorted(zip((got["y"].to_numpy() > 0).tolist(), (tuple(a) for a in got["at"].to_pylist()), strict=True))
-        machine.fit([np.array(a, np.int64) for _, a in data], np.array([y for y, _ in data], float))
-    else:
-        machine.b = float(np.log((toxic + 0.5) / (clean + 0.5)))
+    got = rows.df.toArrow().combine_chunks()  # at most ``sample`` rows
     rows.drop()
+    y = (got["y"].to_numpy() > 0).astype(float)
+    toxic, clean = y.sum(), len(y) - y.sum()
+    if not (toxic and clean):
+        machine = FactorizationMachine(0)
+        machine.b = float(np.log((toxic + 0.5) / (clean + 0.5)))
+        return Scorer(np.zeros(0, np.int64), machine)
+    terms = [r.values.to_numpy() for r in got["terms"].combine_chunks()]
+    order = sorted(range(len(y)), key=lambda k: (y[k], len(terms[k]), zlib.crc32(terms[k].tobytes()), terms[k].tobytes()[:64]))
+    y, terms = y[order], [terms[k] for k in order]
+    size, at = np.array([len(t) for t in terms]), np.concatenate(terms)
+    del got, terms
+    there = np.bincount(at, minlength=1 << BITS) > 0
+    buckets = np.flatnonzero(there)
+    at = (np.cumsum(there, dtype=np.int32) - 1)[at]
+    machine = FactorizationMachine(len(buckets))
+    machine.fit(np.split(at, np.cumsum(size)[:-1]), y, l2=_penalty(at, size, y, len(buckets)))
     return Scorer(buckets, machine)
 
 

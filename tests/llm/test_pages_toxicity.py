@@ -72,6 +72,17 @@ def test_machine_learns_a_pair():
     assert max(z[:3]) < -0.8 < 0 < z[3] and (m.v[0] @ m.v[1]) > 0.1
 
 
+def test_fit_learns_a_pair_of_neutral_words(spark):
+    """Each word is in half of the toxic texts and in half of the clean ones."""
+    rng = np.random.default_rng(3)
+    text = lambda words: " ".join(rng.permutation([*words, *rng.choice([f"{a}{b}word" for a in "bcdfgh" for b in "aeiou"], 6, False)]))
+    rows = [(k, *(((text(["zorblat", "quimper"]), 1), (text(["frumious"]), 1), (text(["zorblat"]), 0), (text(["quimper"]), 0))[k % 4])) for k in range(1600)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    scorer = toxicity.fit(d.select("doc_id", "text"), d.select("doc_id", "toxic"))
+    at = {w: np.mean(scorer.score([text(w.split()) for _ in range(50)], {}) >= toxicity.THRESHOLD) for w in ("zorblat quimper", "frumious", "zorblat", "quimper")}
+    assert min(at["zorblat quimper"], at["frumious"]) > 0.9 and max(at["zorblat"], at["quimper"]) < 0.1
+
+
 def test_held_out(spark):
     d = "/root/testdata/sf0.01"
     rows = toxicity.op5_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").collect()
