@@ -44,7 +44,8 @@ from millrace.llm.text import pieces, strings
 from millrace.workspace import Written, table
 
 GAMMA, LEAST, LEAST_CONTENT, MIN_PAGES = 0.9, 0.3, 0.4, 5
-DEPTH = 8
+#: As in browsers, elements below so many open ones stand beside each other there; they keep branches of their own.
+NESTING = 512
 BROADCAST_ROWS = 20_000
 
 #: Element names of HTML by what they mean here.
@@ -96,11 +97,14 @@ class Page:
     """One pass over a page: its text blocks, each with the branches it stands in."""
 
     def __init__(self, source: str):
-        #: (text, rank, branches that entropy may take). rank: 2 in an article, 1 in a main part, 0 elsewhere, -1 where a name says it goes.
-        self.blocks: list[tuple[str, int, tuple[str, ...]]] = []
-        self.styles: Counter[tuple[str, str]] = Counter()
+        #: (text, rank, the innermost node it stands in, or -1). rank: 2 in an article, 1 in a main part, 0 elsewhere, -1 where a name says it goes.
+        self.blocks: list[tuple[str, int, int]] = []
+        #: The branches that entropy may take, outer before inner, each with the node it stands in; a branch's key is of its whole chain.
+        self.nodes: dict[int, int] = {}
+        self.up: list[int] = []
+        self.styles: Counter[tuple[int, str]] = Counter()
         self.buffer: list[str] = []
-        self.stack: list[list] = []  # [tag, branch, removable branches, rank, child tags, where dropping began]
+        self.stack: list[list] = []  # [tag, branch, innermost node, rank, child tags, where dropping began]
         self.open: Counter[str] = Counter()
         self.read(source)
 
@@ -110,11 +114,12 @@ class Page:
             self.buffer.clear()
             if text:
                 top = self.stack[-1] if self.stack else None
-                self.blocks.append((text, (-1 if top[5] else top[3]) if top else 0, top[2] if top else ()))
+                self.blocks.append((text, (-1 if top[5] else top[3]) if top else 0, top[2] if top else -1))
 
     def push(self, tag: str, attrs: str) -> None:
         top = self.stack[-1] if self.stack else None
-        branch, removable, rank, dropped = (top[1], top[2], top[3], top[5]) if top else ("", (), 0, None)
+        outer = self.stack[min(len(self.stack), NESTING) - 1] if top else None
+        branch, node, rank, dropped = (outer[1], outer[2], top[3], top[5]) if top else (0, -1, 0, None)
         named = hint = ""
         if attrs and "=" in attrs:
             found = {m[0].lower(): m[1] or m[2] or m[3] for m in _ATTR.findall(attrs)}
@@ -140,11 +145,13 @@ class Page:
             self.flush()
             if top is not None:
                 top[4].append(tag)
-            if len(self.stack) < DEPTH:
-                branch = f"{branch}/{tag}" + (f".{_NUMBER.sub('0', named)}" if named else "")
-                if named or tag not in PLAIN:
-                    removable = (*removable, branch)
-        self.stack.append([tag, branch, removable, rank, [], dropped])
+            branch = key64(f"{branch}/{tag}" + (f".{_NUMBER.sub('0', named)}" if named else ""))
+            if named or tag not in PLAIN:
+                if branch not in self.nodes:
+                    self.nodes[branch] = len(self.up)
+                    self.up.append(node)
+                node = self.nodes[branch]
+        self.stack.append([tag, branch, node, rank, [], dropped])
         self.open[tag] += 1
 
     def pop(self) -> None:
@@ -234,7 +241,7 @@ class Page:
             self.pop()
         self.flush()
 
-    def main(self) -> list[tuple[str, tuple[str, ...]]]:
+    def main(self) -> list[tuple[str, int]]:
         """The blocks of the article if the page names one, else of its main part, else all."""
         best = max((b[1] for b in self.blocks), default=-1)
         if best < 0:
@@ -242,60 +249,112 @@ class Page:
         return [(t, r) for t, rank, r in self.blocks if rank == best]
 
 
-PARSED = "page_id long, url string, host string, texts array<string>, branches array<array<long>>, facts array<struct<branch: long, kind: int, value: long>>"
+PARSED = (
+    "page_id long, url string, host string, texts array<string>, nodes array<int>, branches array<long>, up array<int>, facts array<struct<node: int, kind: int, value: long>>"
+)
+SAID = "host string, branch long, kind int, value long"
 
 
 def parse_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Blocks of every page with their branches, and what the page says about each branch:
-    kind 0, it is there; 1, a presentation; 2, a text feature."""
+    """Blocks of every page with their nodes, the branch of each node and the node it stands
+    in, and what the page says about a node itself: kind 1, a presentation; 2, a text feature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: dict[str, int] = {}
-
-        def branch_key(b: str) -> int:
-            k = keys.get(b)
-            if k is None:
-                if len(keys) > 100_000:
-                    keys.clear()
-                k = keys[b] = key64(b)
-            return k
-
         for batch in batches:
             for piece in pieces(batch, html):
                 urls = piece.column(1).to_pylist()
-                hosts, texts, branches, facts = [], [], [], []
+                hosts, texts, nodes, branches, up, facts = [], [], [], [], [], []
                 for u, source in zip(urls, strings(piece, html), strict=True):
                     page = Page(source)
                     blocks = page.main()
                     host = host_of(u)
                     said: set[tuple[int, int, int]] = set()
                     if host is not None:
-                        for text, _, chain in page.blocks:
-                            value = key64(text) if chain else 0
-                            for b in chain:
-                                k = branch_key(b)
-                                said.add((k, 0, 0))
-                                said.add((k, 2, value))
-                        there = {k for k, _, _ in said}
-                        for (b, children), _ in page.styles.items():
-                            if (k := branch_key(b)) in there:
-                                said.add((k, 1, key64(children)))
+                        said.update((n, 2, key64(text)) for text, _, n in page.blocks if n >= 0)
+                        said.update((page.nodes[b], 1, key64(children)) for b, children in page.styles if b in page.nodes)
                     hosts.append(host)
                     texts.append([t for t, _ in blocks])
-                    branches.append([[branch_key(b) for b in chain] for _, chain in blocks])
-                    facts.append([{"branch": b, "kind": k, "value": v} for b, k, v in sorted(said)])
-                fact = pa.list_(pa.struct([("branch", pa.int64()), ("kind", pa.int32()), ("value", pa.int64())]))
+                    nodes.append([n for _, n in blocks])
+                    branches.append(list(page.nodes))
+                    up.append(page.up)
+                    facts.append([{"node": n, "kind": k, "value": v} for n, k, v in sorted(said)])
+                fact = pa.list_(pa.struct([("node", pa.int32()), ("kind", pa.int32()), ("value", pa.int64())]))
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), piece.column(1), pa.array(hosts, pa.string()), pa.array(texts, pa.list_(pa.string())), pa.array(branches, pa.list_(pa.list_(pa.int64()))), pa.array(facts, fact)],
-                    names=["page_id", "url", "host", "texts", "branches", "facts"],
+                    [piece.column(0), piece.column(1), pa.array(hosts, pa.string()), pa.array(texts, pa.list_(pa.string()))]
+                    + [pa.array(nodes, pa.list_(pa.int32())), pa.array(branches, pa.list_(pa.int64())), pa.array(up, pa.list_(pa.int32())), pa.array(facts, fact)],
+                    names=["page_id", "url", "host", "texts", "nodes", "branches", "up", "facts"],
                 )
 
     return pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias(html)).mapInArrow(run, PARSED)
 
 
+def _say(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a page says about each branch: kind 0, it is there; 1, a presentation; 2, a text
+    feature of its own or of a branch beneath. Inner nodes first, so that a feature set is
+    held no longer than until its outer node has it."""
+    for batch in batches:
+        out: list[tuple[str, int, int, int]] = []
+        for row in range(batch.num_rows):
+            host, branches, up, facts = (batch.column(c)[row].as_py() for c in range(4))
+            styles: dict[int, list[int]] = {}
+            under: dict[int, set[int]] = {}
+            for f in facts:
+                if f["kind"] == 1:
+                    styles.setdefault(f["node"], []).append(f["value"])
+                else:
+                    under.setdefault(f["node"], set()).add(f["value"])
+            for n in range(len(up) - 1, -1, -1):
+                values = under.pop(n, None)
+                if not values:
+                    continue
+                out.append((host, branches[n], 0, 0))
+                out.extend((host, branches[n], 1, v) for v in styles.get(n, ()))
+                for v in values:
+                    out.append((host, branches[n], 2, v))
+                    if len(out) >= 50_000:
+                        yield _rows(out, SAID)
+                        out = []
+                if up[n] >= 0:
+                    outer = under.setdefault(up[n], values)
+                    if outer is not values:
+                        outer.update(values)
+        yield _rows(out, SAID)
+
+
+def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[t]) for k, (_, t) in enumerate(fields)], names=[f for f, _ in fields])
+
+
+LEFT = "page_id long, url string, text string, n_removed long"
+
+
+def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages without the blocks in branches that are noise, or beneath such."""
+    for batch in batches:
+        out, held = [], 0
+        for row in range(batch.num_rows):
+            page_id, url, texts, nodes, branches, up, noise = (batch.column(c)[row].as_py() for c in range(7))
+            left = texts
+            if noise:
+                noise, gone = set(noise), []
+                for b, n in zip(branches, up, strict=True):
+                    gone.append(b in noise or n >= 0 and gone[n])
+                left = [t for t, n in zip(texts, nodes, strict=True) if n < 0 or not gone[n]]
+                if 2 * sum(map(len, left)) < sum(map(len, texts)):
+                    left = texts
+            out.append((page_id, url, "\n".join(left), len(texts) - len(left)))
+            held += len(out[-1][2])
+            if held > 4 << 20:
+                yield _rows(out, LEFT)
+                out, held = [], 0
+        yield _rows(out, LEFT)
+
+
 def style_tree(parsed: DataFrame) -> DataFrame:
     """(host, branch, pages, styles, presentation, content, importance)."""
-    said = parsed.where("host is not null and size(facts) > 0").select("host", F.explode("facts").alias("f")).groupBy("host", "f.branch", "f.kind", "f.value").agg(F.count("*").alias("n"))
+    said = parsed.where("host is not null and size(facts) > 0").select("host", "branches", "up", "facts").mapInArrow(_say, SAID).groupBy("host", "branch", "kind", "value").agg(F.count("*").alias("n"))
     n = F.col("n").cast("double")
     tree = said.groupBy("host", "branch").agg(
         F.max(F.when(F.col("kind") == 0, n)).alias("pages"),
@@ -323,16 +382,7 @@ def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url",
     noise = Written(noise, "noise").df
     size = noise.agg(F.coalesce(F.sum(F.size("noise") + 8), F.lit(0))).first()[0]
     small = F.broadcast(noise) if size <= BROADCAST_ROWS else noise
-    d = parsed.select("page_id", "url", "host", "texts", "branches").join(small, "host", "left")
-    d = d.withColumn(
-        "left",
-        F.expr(
-            "if(noise is null, texts, transform(filter(arrays_zip(texts, branches), x -> not arrays_overlap(x.branches, noise)), x -> x.texts))"
-        ),
-    )
-    chars = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + F.length(x))
-    d = d.withColumn("left", F.when(F.col("noise").isNull() | (2 * chars("left") >= chars("texts")), F.col("left")).otherwise(F.col("texts")))
-    d = d.select("page_id", "url", F.array_join("left", "\n").alias("text"), (F.size("texts") - F.size("left")).cast("long").alias("n_removed"))
+    d = parsed.join(small, "host", "left").select("page_id", "url", "texts", "nodes", "branches", "up", F.array_intersect("branches", "noise").alias("noise")).mapInArrow(_keep, LEFT)
     return d.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_removed")
 
 

@@ -52,6 +52,14 @@ def test_copies_of_an_article_do_not_erase_it(spark):
     assert {r.text for r in site_style.extract_main_text(d).collect()} == {"One article for all"}
 
 
+def test_shared_text_is_removed_at_any_depth(spark):
+    deep = lambda k: "<div>" * 11 + f'<div class="x"><p>Same on all</p></div><div class="y"><p>Own text {k} of page {k * 7}</p></div>' + "</div>" * 11
+    d = spark.createDataFrame([(k, f"http://h.example/{k}", deep(k)) for k in range(12)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in site_style.extract_main_text(d).collect()} == {k: f"Own text {k} of page {k * 7}" for k in range(12)}
+    page = site_style.Page("<div>x" * 20_000)  # what a page holds grows with its length, not with its depth
+    assert len(page.blocks) == 20_000 and len(page.up) == len(page.nodes) <= site_style.NESTING + 1
+
+
 def test_articles_of_the_pages(spark, sf):
     import html as H
     import re
