@@ -15,8 +15,9 @@ styles. A branch of ``MIN_PAGES`` pages or more is noise if its importance is be
 one frame around texts of their own is no noise. Noise leaves every page of the host. Element names and classes that say what a
 branch is (navigation, footer, advert, form, comment) decide before entropy does, so
 hosts with one page lose theirs too; an article's own paragraphs and headings are never
-noise by entropy, since copies of an article would else erase each other; and entropy
-never takes more than half of what a page has left.
+noise by entropy. Pages of a host with the same text are one page to the tree, since
+copies of an article would else erase each other. A page that holds nothing but noise
+has an empty text.
 
 Each page is parsed once, to a written table of blocks; the tree is counted from it with
 sums before every shuffle, so a host with a third of all pages is no single task's work;
@@ -43,7 +44,7 @@ from pyspark.sql import functions as F
 from millrace.llm.text import pieces, strings
 from millrace.workspace import Written, table
 
-GAMMA, LEAST, LEAST_CONTENT, MIN_PAGES = 0.9, 0.3, 0.4, 5
+GAMMA, LEAST, LEAST_CONTENT, MIN_PAGES = 0.9, 0.3, 0.4, 2
 #: As in browsers, elements below so many open ones stand beside each other there; they keep branches of their own.
 NESTING = 512
 BROADCAST_ROWS = 20_000
@@ -250,7 +251,7 @@ class Page:
 
 
 PARSED = (
-    "page_id long, url string, host string, texts array<string>, nodes array<int>, branches array<long>, up array<int>, facts array<struct<node: int, kind: int, value: long>>"
+    "page_id long, url string, host string, texts array<string>, digest long, nodes array<int>, branches array<long>, up array<int>, facts array<struct<node: int, kind: int, value: long>>"
 )
 SAID = "host string, branch long, kind int, value long"
 
@@ -263,7 +264,7 @@ def parse_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html:
         for batch in batches:
             for piece in pieces(batch, html):
                 urls = piece.column(1).to_pylist()
-                hosts, texts, nodes, branches, up, facts = [], [], [], [], [], []
+                hosts, texts, digests, nodes, branches, up, facts = [], [], [], [], [], [], []
                 for u, source in zip(urls, strings(piece, html), strict=True):
                     page = Page(source)
                     blocks = page.main()
@@ -274,6 +275,7 @@ def parse_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html:
                         said.update((page.nodes[b], 1, key64(children)) for b, children in page.styles if b in page.nodes)
                     hosts.append(host)
                     texts.append([t for t, _ in blocks])
+                    digests.append(key64("\n".join(texts[-1])))
                     nodes.append([n for _, n in blocks])
                     branches.append(list(page.nodes))
                     up.append(page.up)
@@ -281,8 +283,8 @@ def parse_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html:
                 fact = pa.list_(pa.struct([("node", pa.int32()), ("kind", pa.int32()), ("value", pa.int64())]))
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(0), piece.column(1), pa.array(hosts, pa.string()), pa.array(texts, pa.list_(pa.string()))]
-                    + [pa.array(nodes, pa.list_(pa.int32())), pa.array(branches, pa.list_(pa.int64())), pa.array(up, pa.list_(pa.int32())), pa.array(facts, fact)],
-                    names=["page_id", "url", "host", "texts", "nodes", "branches", "up", "facts"],
+                    + [pa.array(digests, pa.int64()), pa.array(nodes, pa.list_(pa.int32())), pa.array(branches, pa.list_(pa.int64())), pa.array(up, pa.list_(pa.int32())), pa.array(facts, fact)],
+                    names=["page_id", "url", "host", "texts", "digest", "nodes", "branches", "up", "facts"],
                 )
 
     return pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias(html)).mapInArrow(run, PARSED)
@@ -342,8 +344,6 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for b, n in zip(branches, up, strict=True):
                     gone.append(b in noise or n >= 0 and gone[n])
                 left = [t for t, n in zip(texts, nodes, strict=True) if n < 0 or not gone[n]]
-                if 2 * sum(map(len, left)) < sum(map(len, texts)):
-                    left = texts
             out.append((page_id, url, "\n".join(left), len(texts) - len(left)))
             held += len(out[-1][2])
             if held > 4 << 20:
@@ -375,10 +375,18 @@ def style_tree(parsed: DataFrame) -> DataFrame:
     )
 
 
+def once(parsed: DataFrame) -> DataFrame:
+    """One row of those of a host with the same text. Only texts that more rows have are joined."""
+    copied = parsed.where("host is not null").groupBy("host", "digest").agg(F.count("*").alias("n"), F.min("row").alias("first")).where("n > 1").drop("n")
+    copied = Written(copied, "copied").df
+    small = F.broadcast(copied) if copied.count() <= BROADCAST_ROWS else copied
+    return parsed.join(small, ["host", "digest"], "left").where("first is null or first = row").drop("first")
+
+
 def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, text, n_chars, n_removed of every row: blocks joined by newline."""
-    parsed = Written(parse_pages(pages, key, url, html), "pages").df
-    noise = style_tree(parsed).where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < LEAST) & (F.col("content") < LEAST_CONTENT)).groupBy("host").agg(F.collect_set("branch").alias("noise"))
+    parsed = Written(parse_pages(pages, key, url, html).withColumn("row", F.monotonically_increasing_id()), "pages").df
+    noise = style_tree(once(parsed)).where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < LEAST) & (F.col("content") < LEAST_CONTENT)).groupBy("host").agg(F.collect_set("branch").alias("noise"))
     noise = Written(noise, "noise").df
     size = noise.agg(F.coalesce(F.sum(F.size("noise") + 8), F.lit(0))).first()[0]
     small = F.broadcast(noise) if size <= BROADCAST_ROWS else noise

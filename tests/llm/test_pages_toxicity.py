@@ -60,6 +60,14 @@ def test_shared_text_is_removed_at_any_depth(spark):
     assert len(page.blocks) == 20_000 and len(page.up) == len(page.nodes) <= site_style.NESTING + 1
 
 
+@pytest.mark.parametrize("pages", [2, 4, 12])
+def test_short_articles_lose_long_shared_text(spark, pages):
+    page = lambda k: f'<div class="x"><p>{"The same long text on all pages. " * 20}</p></div><div class="y"><p>Own {k}</p></div>'
+    rows = [(k, f"http://h.example/{k}", page(k)) for k in range(pages)] + [(100, "http://h.example/copy", page(0))]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in site_style.extract_main_text(d).collect()} == {**{k: f"Own {k}" for k in range(pages)}, 100: "Own 0"}
+
+
 def test_articles_of_the_pages(spark, sf):
     import html as H
     import re
