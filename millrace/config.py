@@ -22,12 +22,19 @@ class EngineConfig:
     unwrap_rules: tuple[UnwrapRule, ...] = ()
     extra_file_extensions: tuple[str, ...] = ()
     keep_payloads: bool = True
+    suffix_list: str | None = None
+    suffix_list_sha256: str | None = None
+    media_types: str | None = None
+    media_types_sha256: str | None = None
 
     def __post_init__(self) -> None:
         for f in fields(self):
             v = getattr(self, f.name)
             if f.name.startswith("max_") and (not isinstance(v, int) or isinstance(v, bool) or v < 0):
                 raise ValueError(f"{f.name}: a number from 0, not {v!r}")
+        for name in ("suffix_list_sha256", "media_types_sha256"):
+            if (v := getattr(self, name)) is not None and not re.fullmatch(r"[0-9a-fA-F]{64}", v):
+                raise ValueError(f"{name}: 64 hexadecimal digits, not {v!r}")
         object.__setattr__(self, "extra_file_extensions", extensions(self.extra_file_extensions))
         object.__setattr__(self, "unwrap_rules", tuple(self.unwrap_rules))
 
@@ -36,6 +43,9 @@ class EngineConfig:
         """From session settings: ``get(name, default)``. Rules and extensions may be JSON."""
         said = {f.name: get(prefix + f.name, None) for f in fields(cls)}
         made: dict = {k: int(v) for k, v in said.items() if v is not None and k.startswith("max_")}
+        made |= {k: said[k] for k in ("suffix_list", "suffix_list_sha256", "media_types", "media_types_sha256") if said[k]}
+        if said["keep_payloads"] is not None:
+            made["keep_payloads"] = str(said["keep_payloads"]).strip().lower() == "true"
         if said["unwrap_rules"]:
             try:
                 made["unwrap_rules"] = tuple(UnwrapRule(**r) for r in json.loads(said["unwrap_rules"]))

@@ -208,7 +208,7 @@ UNION ALL SELECT msg_key, 0, 'attachment', 4, 'part-4.bin', octet_length({_INNER
 def message_observables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the headers and the HTML of the built messages mention, without their texts."""
     m = D.mention_table(_taken_apart(spark, sf_dir)).where("source_kind <> 'body_text'")
-    o = observables(within_places(typed_mentions(m, R.load()), EngineConfig().max_observable_places))
+    o = observables(within_places(typed_mentions(m, R.for_config(EngineConfig())), EngineConfig().max_observable_places))
     return o.where("type in ('email', 'ip')").select("msg_key", "message_index", "value", "type", "occurrences", F.size("sources").alias("n_sources"), "defanged")
 
 
@@ -253,7 +253,7 @@ _CHARSET = "SELECT 'p' || p_partkey AS msg_key, 'é-' || p_name AS text, 'utf-8'
 def dissect_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = built_messages(spark, sf_dir)
     d = written(D.dissect(messages, EngineConfig(keep_payloads=False)), "dissected")
-    j = dissected_json(messages, d, R.load())
+    j = dissected_json(messages, d, R.for_config(EngineConfig()))
     get = lambda path: F.get_json_object("json", path)
     return j.select("msg_key", "ok", get("$.messages[0].headers.subject[0]").alias("subject"), get("$.messages[1].depth").alias("inner_depth"), get("$.messages[0].attachments[0].filename").alias("attachment"))
 
@@ -344,7 +344,7 @@ FROM pages
 
 def host_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     hosts = S.url_table(table(spark, sf_dir, "pages"), "page_id", "url").where("host is not null").select("host")
-    return R.host_suffixes(hosts, R.suffix_rules(spark, R.load()))
+    return R.host_suffixes(hosts, R.suffix_rules(spark, R.for_config(EngineConfig())))
 
 
 _SUFFIX = r"SELECT DISTINCT lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host, regexp_extract(url, '://[^/?#]*\.([a-z]+)', 1) AS suffix FROM pages"
@@ -368,7 +368,7 @@ def top_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     hosts = S.url_table(named, "page_id", "href").where("host is not null").select("page_id", "host")
     # Summed by host and page first: the suffix lookup sees each host once.
     per = hosts.groupBy("host", "page_id").agg(F.count("*").alias("n"))
-    known = R.host_suffixes(per.select("host"), R.suffix_rules(spark, R.load()))
+    known = R.host_suffixes(per.select("host"), R.suffix_rules(spark, R.for_config(EngineConfig())))
     per_host = per.groupBy("host").agg(F.sum("n").alias("mentions"), F.count("*").alias("pages"))
     return per_host.join(known, "host").select(F.col("host").alias("domain"), "suffix", "mentions", "pages")
 
@@ -384,7 +384,7 @@ SELECT host AS domain, regexp_extract(host, '\.([a-z]+)$', 1) AS suffix, count(*
 
 def _observed(texts: DataFrame, key: str, text: str) -> DataFrame:
     m = text_mentions(texts, key, text)
-    o = observables(within_places(typed_mentions(m, R.load()), EngineConfig().max_observable_places))
+    o = observables(within_places(typed_mentions(m, R.for_config(EngineConfig())), EngineConfig().max_observable_places))
     return o.select(F.col("msg_key").cast("long").alias(key), "value", "type", "ordinal", "value_raw", "subtype", "defanged", "ambiguous", "occurrences")
 
 
@@ -469,7 +469,7 @@ def engine_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the engine runs with: registry versions and sizes, interpreter."""
     import sys
 
-    r = R.load()
+    r = R.for_config(EngineConfig())
     return spark.createDataFrame([(r.version, len(r.rules), len(r.extensions), ".".join(map(str, sys.version_info[:3])))], "registries string, suffix_rules long, extensions long, python string")
 
 
