@@ -9,31 +9,35 @@ the last is cut where the budget ends. The mixed stream is cut into blocks of
 ``block_tokens``; every block holds each source in the weights' proportion, its rows in
 hashed order.
 
-A document's place in its permutation is a sum over what comes before it. It is taken
-from bins of the permutation: bins are summed first, then each bin alone is summed in
-order, so a source with a third of all rows is spread over many bins.
+Rows are first dealt to a written table, tokenised once: equal rows are one row there with a
+count, so no key, null ids included, is a third of what follows. A permutation's order is that
+of a digest of seed, pass and row. A row's place is a sum over what comes before it: bins of
+the permutation are summed first, then each bin alone is summed in order, so a source with a
+third of all rows is spread over many bins. :func:`select_mix` gives the same rows without
+their places: each source's last row within its budget is found in one bin, and every row of
+the input is compared with it where it stands.
 
 Defined results: a null source is a source of its own; a null or empty text has no
-tokens, and takes part wherever its place falls; repeated rows are rows of their own, in
-an order that does not matter; an empty table gives an empty mix; with budget null the
-mix is as large as the input; extra columns pass through :func:`mix_documents`, whose own
-columns have names of their own.
+tokens, and takes part wherever its place falls; of equal rows, which is which does not
+matter, and rows that differ in any column given are never equal; an empty table gives an
+empty mix; with budget null the mix is as large as the input; a budget of more tokens than
+``max_passes`` allows is refused with ValueError; extra columns pass through
+:func:`mix_documents`, whose own columns have names of their own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from millrace.llm.text import SPACE, WORD
-from millrace.workspace import Written, table
+from millrace.workspace import Written, partitions, table
 
 MAX_PASSES, BLOCK_TOKENS, SEED, STEPS = 1.25, 100_000, 17, 60
-#: Documents in a bin of a permutation, about.
-BIN_ROWS = 2_000
+#: Rows in a bin of a permutation, about; copies of one row that one task makes.
+BIN_ROWS, COPIES = 2_000, 10_000
 #: Rows of a table of sources that is broadcast; beyond, sources are joined by a shuffle.
 BROADCAST_ROWS = 50_000
 
@@ -84,66 +88,125 @@ def source_weights(sources: DataFrame, budget: float | None = None, max_passes:
     return d.select("source", "tokens", "rows", "exponent", "weight", F.coalesce("budget", F.lit(0)).alias("budget"))
 
 
+def row_digest(docs: DataFrame, text: str, columns: Sequence[str]) -> Column:
+    """A digest of a row's columns and text."""
+    binary = {f.name for f in docs.schema.fields if f.dataType.typeName() == "binary"}
+    said = [F.hex(c) if c in binary else F.col(c).cast("string") for c in dict.fromkeys(columns) if c != text]
+    return F.md5(F.concat_ws("\x1f", *(F.coalesce(c, F.lit("\x1e")) for c in [*said, F.md5(F.col(text).cast("binary"))])))
+
+
+def _order(seed: int, number: Column, digest: Column) -> Column:
+    """The key of a permutation: 32 bits of a digest of seed, pass and row."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), number, digest)), 1, 8), 16, 10).cast("long")
+
+
+def _dealt(docs: DataFrame, key: str, text: str, source: str, carry: Sequence[str], keep: bool) -> DataFrame:
+    """(_d, _s, _n, _m, row if ``keep``): distinct rows, tokenised, with how often they occur."""
+    rows = docs.select(
+        F.struct(*carry).alias("row"), row_digest(docs, text, [key, source, *carry]).alias("_d"), F.col(source).cast("string").alias("_s"), token_count(F.col(text)).alias("_n")
+    )
+    found = [F.first("_s").alias("_s"), F.first("_n").alias("_n"), F.count("*").alias("_m")]
+    return Written(rows.groupBy("_d").agg(*found, *([F.first("row").alias("row")] if keep else [])), "dealt").df
+
+
+def _shares(dealt: DataFrame, budget: float | None, max_passes: float | None, entropy: float | None) -> DataFrame:
+    """(_s2, tokens, budget, weight, _bins) of the sources that have a budget."""
+    counted = dealt.groupBy(F.col("_s").alias("source")).agg(F.sum(F.col("_n") * F.col("_m")).alias("tokens"), F.sum("_m").alias("rows"), F.count("*").alias("distinct"))
+    if budget is not None and max_passes is not None:
+        total = counted.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+        if budget > total * max_passes:
+            raise ValueError(f"a budget of {budget} tokens is more than {max_passes} passes over {total}")
+    bins = counted.select(F.col("source").alias("_s4"), F.ceil(F.col("distinct") / BIN_ROWS).cast("long").alias("_bins"))
+    shares = source_weights(counted.select("source", "tokens", "rows"), budget, max_passes, entropy)
+    shares = shares.join(bins, F.col("source").eqNullSafe(F.col("_s4"))).where("budget > 0")
+    return Written(shares.select(F.col("source").alias("_s2"), "tokens", "budget", "weight", "_bins"), "shares").df
+
+
+def _in_bins(placed: DataFrame, number: Column, seed: int) -> DataFrame:
+    """With ``_h``, ``_bin`` and ``_before``: the tokens of a source's pass before a row."""
+    placed = placed.withColumn("_h", _order(seed, number, F.col("_d"))).withColumn("_bin", F.floor(F.col("_h") * F.col("_bins") / F.lit(1 << 32)).cast("long"))
+    return placed.withColumn("_pass", number)
+
+
+def _starts(binned: DataFrame) -> DataFrame:
+    """(_s3, _p3, _b3, _start): the tokens of a source's pass before each bin."""
+    sums = binned.groupBy("_s", "_pass", "_bin").agg(F.sum(F.col("_n") * F.col("_m")).alias("_sum"))
+    before = Window.partitionBy("_s", "_pass").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select(F.col("_s").alias("_s3"), F.col("_pass").alias("_p3"), F.col("_bin").alias("_b3"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+
+
+def _placed(binned: DataFrame, starts: DataFrame) -> DataFrame:
+    """With ``_before``: the tokens of a source's pass before a row."""
+    d = binned.join(starts, F.col("_s").eqNullSafe(F.col("_s3")) & (F.col("_pass") == F.col("_p3")) & (F.col("_bin") == F.col("_b3")))
+    inside = Window.partitionBy("_s", "_pass", "_bin").orderBy("_h", "_d").rowsBetween(Window.unboundedPreceding, -1)
+    return d.withColumn("_before", F.col("_start") + F.coalesce(F.sum(F.col("_n") * F.col("_m")).over(inside), F.lit(0)))
+
+
+def _within(budget: Column) -> Column:
+    """How many of a row's occurrences begin before the budget ends."""
+    room = F.ceil((budget - F.col("_before")) / F.col("_n")).cast("long")
+    return F.when(F.col("_before") >= budget, 0).when(F.col("_n") == 0, F.col("_m")).otherwise(F.least("_m", room)).cast("long")
+
+
+def _repeated(rows: DataFrame, times: Column, most: int) -> DataFrame:
+    """Each row ``times`` times, numbered ``_j``; beyond COPIES by several tasks."""
+    d = rows.withColumn("_times", times).where("_times > 0")
+    zero, step = F.lit(0).cast("long"), F.lit(COPIES).cast("long")
+    if most > COPIES:
+        d = d.withColumn("_part", F.explode(F.sequence(zero, F.floor((F.col("_times") - 1) / step))))
+        d = d.repartition(partitions(rows.sparkSession), "_d", "_part")
+    else:
+        d = d.withColumn("_part", zero)
+    first = F.col("_part") * step
+    return d.withColumn("_j", F.explode(F.sequence(first, F.least(first + step, F.col("_times")) - 1)))
+
+
 def mix_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", budget: float | None = None, max_passes: float | None = MAX_PASSES, entropy: float | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = SEED, carry: Sequence[str] | None = None) -> DataFrame:
     """A row for each document of each pass: the struct ``row`` of the input's columns (or of ``carry``),
     ``mix_pass`` (from 0), ``mix_tokens``, ``mix_before`` (tokens of the source before it),
     ``mix_block`` and ``mix_order`` (sort by both for the stream)."""
-    d = docs.select(F.struct(*(carry or docs.columns)).alias("row"), F.col(key).cast("string").alias("_k"), F.col(source).cast("string").alias("_s"), token_count(F.col(text)).alias("mix_tokens"))
-    counted = docs.select(F.col(source).cast("string").alias("source"), token_count(F.col(text)).alias("n")).groupBy("source").agg(F.sum("n").alias("tokens"), F.count("*").alias("rows"))
-    shares = source_weights(counted, budget, max_passes, entropy)
-    shares = shares.select(F.col("source").alias("_s2"), "tokens", F.col("budget"), F.greatest(F.lit(1), F.ceil(F.col("rows") / BIN_ROWS)).cast("long").alias("_bins"), "weight")
-    placed = d.join(shares, F.col("_s").eqNullSafe(F.col("_s2"))).where("budget > 0")
+    dealt = _dealt(docs, key, text, source, carry or docs.columns, True)
+    shares = _shares(dealt, budget, max_passes, entropy)
+    most = dealt.agg(F.coalesce(F.max("_m"), F.lit(0))).first()[0]
+    placed = dealt.join(_few(shares), F.col("_s").eqNullSafe(F.col("_s2")))
     placed = placed.withColumn("mix_pass", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("budget") - 1) / F.col("tokens")))))
-    # The permutation's key: 32 bits of a digest of seed, pass and id.
-    placed = placed.withColumn("_h", F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "mix_pass", F.coalesce("_k", F.lit("null")))), 1, 8), 16, 10).cast("long"))
-    placed = placed.withColumn("_bin", F.floor(F.col("_h") * F.col("_bins") / F.lit(1 << 32)).cast("long"))
-    sums = placed.groupBy("_s", "mix_pass", "_bin").agg(F.sum("mix_tokens").alias("_sum"), F.first("tokens").alias("_tokens"))
-    before = Window.partitionBy("_s", "mix_pass").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("_s").alias("_s3"), F.col("mix_pass").alias("_p3"), F.col("_bin").alias("_b3"), (F.coalesce(F.sum("_sum").over(before), F.lit(0)) + F.col("mix_pass") * F.col("_tokens")).alias("_start"))
-    placed = placed.join(sums, F.col("_s").eqNullSafe(F.col("_s3")) & (F.col("mix_pass") == F.col("_p3")) & (F.col("_bin") == F.col("_b3")))
-    inside = Window.partitionBy("_s", "mix_pass", "_bin").orderBy("_h", "_k").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn("mix_before", F.col("_start") + F.coalesce(F.sum("mix_tokens").over(inside), F.lit(0)))
-    placed = placed.where(F.col("mix_before") < F.col("budget"))
-    share = F.greatest(F.lit(1.0), F.col("weight") * F.lit(float(block_tokens)))
-    return placed.select("row", "mix_pass", "mix_tokens", "mix_before", F.floor(F.col("mix_before") / share).cast("long").alias("mix_block"), F.col("_h").alias("mix_order"))
+    binned = _in_bins(placed, F.col("mix_pass"), seed)
+    placed = _placed(binned, _starts(binned)).withColumn("_before", F.col("_before") + F.col("mix_pass") * F.col("tokens"))
+    out = _repeated(placed, _within(F.col("budget")), most)
+    before, share = F.col("_before") + F.col("_j") * F.col("_n"), F.greatest(F.lit(1.0), F.col("weight") * F.lit(float(block_tokens)))
+    return out.select("row", "mix_pass", F.col("_n").alias("mix_tokens"), before.alias("mix_before"), F.floor(before / share).cast("long").alias("mix_block"), F.col("_h").alias("mix_order"))
 
 
 def select_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", budget: float | None = None, max_passes: float | None = MAX_PASSES, entropy: float | None = None, seed: int = SEED) -> DataFrame:
-    """The rows of :func:`mix_documents` without their places: ``docs``' own columns. Whole
-    passes, and the bins of the last that are within its budget as a whole, need no order;
-    only the bin in which a source's budget ends is put in order, so that texts stay where
-    they are but for about BIN_ROWS of each source."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"))  # names of our own cannot clash with theirs
-    s, t, i = F.col("row")[source].cast("string"), F.col("row")[text], F.col("row")[key].cast("string")
-    counted = rows.select(s.alias("source"), token_count(t).alias("n")).groupBy("source").agg(F.sum("n").alias("tokens"), F.count("*").alias("rows"))
-    shares = source_weights(counted, budget, max_passes, entropy).where("budget > 0")
-    shares = shares.select(
-        F.col("source").alias("_s2"),
-        F.floor(F.col("budget") / F.col("tokens")).cast("long").alias("_whole"),
-        (F.col("budget") % F.col("tokens")).alias("_rest"),
-        F.greatest(F.lit(1), F.ceil(F.col("rows") / BIN_ROWS)).cast("long").alias("_bins"),
-    )
-    shares = Written(shares, "shares").df
-    k = F.coalesce(i, F.lit("null"))
-    h = lambda p: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), p, k)), 1, 8), 16, 10).cast("long")
-    joined = rows.join(_small(shares), s.eqNullSafe(F.col("_s2")))
-    binned = joined.withColumn("_h", h(F.col("_whole"))).withColumn("_bin", F.floor(F.col("_h") * F.col("_bins") / F.lit(1 << 32)).cast("long"))
-    sums = binned.where("_rest > 0").select("_s2", "_bin", "_rest", token_count(t).alias("n")).groupBy("_s2", "_bin").agg(F.sum("n").alias("n"), F.first("_rest").alias("_rest"))
-    start = F.coalesce(F.sum("n").over(Window.partitionBy("_s2").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # A source's last bin: the last that starts within its budget.
-    ends = sums.withColumn("_start", start).where("_start < _rest").groupBy("_s2").agg(F.max(F.struct("_bin", "_start")).alias("e"))
-    ends = Written(ends.select(F.col("_s2").alias("_s3"), F.col("e._bin").alias("_end"), F.col("e._start").alias("_start")), "ends").df
-    d = binned.join(_small(ends), F.col("_s2").eqNullSafe(F.col("_s3")), "left")
-    copies = F.col("_whole") + (F.coalesce(F.col("_bin") < F.col("_end"), F.lit(False))).cast("long")
-    sure = d.where(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies))).select("row.*")
-    last = d.where("_bin = _end").withColumn("_n", token_count(t))
-    inside = Window.partitionBy("_s2").orderBy("_h", i).rowsBetween(Window.unboundedPreceding, -1)
-    last = last.withColumn("_before", F.col("_start") + F.coalesce(F.sum("_n").over(inside), F.lit(0))).where("_before < _rest").select("row.*")
-    return sure.unionAll(last)
-
-
-def _small(df: DataFrame) -> DataFrame:
-    """A written table of one row for each source, broadcast if that is few rows."""
+    """The rows of :func:`mix_documents` without their places: ``docs``' own columns. A source's
+    last pass ends at one row of its permutation; what comes before that row is in. Texts stay
+    where they are."""
+    dealt = _dealt(docs, key, text, source, docs.columns, False)
+    # The pass that the budget ends in, from 0, and the tokens of it that are within.
+    last = F.floor((F.col("budget") - 1) / F.col("tokens"))
+    shares = _shares(dealt, budget, max_passes, entropy).withColumn("_last", last).withColumn("_rest", F.col("budget") - F.col("_last") * F.col("tokens"))
+    binned = _in_bins(dealt.join(_few(shares), F.col("_s").eqNullSafe(F.col("_s2"))), F.col("_last"), seed)
+    # Only the bin where the budget ends is put in order: the last that starts before it.
+    starts = _starts(binned).join(_few(shares.select(F.col("_s2").alias("_s5"), "_rest")), F.col("_s3").eqNullSafe(F.col("_s5"))).where("_start < _rest")
+    ends = starts.groupBy("_s3", "_p3").agg(F.max(F.struct("_b3", "_start")).alias("e")).select("_s3", "_p3", "e._b3", "e._start")
+    within = _placed(binned, ends).withColumn("_q", _within(F.col("_rest"))).where("_q > 0")
+    cut = within.groupBy("_s", "_last").agg(F.max(F.struct("_h", "_d", "_q", "_m")).alias("c"))
+    cut = Written(cut.select(F.col("_s").alias("_s6"), "_last", F.col("c._h").alias("_ch"), F.col("c._d").alias("_cd"), F.col("c._q").alias("_cq"), F.col("c._m").alias("_cm")), "cut").df
+    rows = docs.select(F.struct(*docs.columns).alias("row"), row_digest(docs, text, [key, source, *docs.columns]).alias("_d"), F.col(source).cast("string").alias("_s"))
+    rows = rows.join(_few(cut), F.col("_s").eqNullSafe(F.col("_s6"))).withColumn("_h", _order(seed, F.col("_last"), F.col("_d")))
+    at = F.col("_d") == F.col("_cd")
+    more = F.when(at, (F.col("_cq") == F.col("_cm")).cast("long")).otherwise((F.struct("_h", "_d") < F.struct("_ch", "_cd")).cast("long"))
+    sure = _repeated(rows, F.col("_last") + more, 1)
+    cuts_copies, most = cut.agg(F.max((F.col("_cq") < F.col("_cm")).cast("int")), F.max("_cq")).first()
+    if not cuts_copies:
+        return sure.select("row.*")
+    # The budget ends among copies of one row: so many more of it as fit.
+    one = rows.where(at & (F.col("_cq") < F.col("_cm"))).groupBy("_d").agg(F.first("row").alias("row"), F.first("_cq").alias("_cq"))
+    return sure.select("row.*").unionAll(_repeated(one, F.col("_cq"), most).select("row.*"))
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """A table of a row for each source, broadcast if that is counted few rows."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
@@ -158,9 +221,10 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return select_mix(docs)
 
 
-_HASH = f"('0x' || substr(md5('{SEED}:' || mix_pass || ':' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT"
+_DIGEST = "md5(concat_ws(chr(31), coalesce(doc_id::VARCHAR, chr(30)), coalesce(source, chr(30)), coalesce(md5(text), chr(30))))"
+_HASH = f"('0x' || substr(md5('{SEED}:' || mix_pass || ':' || d), 1, 8))::BIGINT"
 ORACLE_SQL = f"""
-WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS n FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, source, {_DIGEST} AS d, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS n FROM documents),
 s AS (SELECT source, sum(n)::BIGINT AS tokens FROM d GROUP BY source),
 t AS (SELECT list(tokens::DOUBLE ORDER BY tokens) FILTER (tokens > 0) AS t, sum(tokens)::DOUBLE AS total FROM s),
 b AS (
@@ -176,7 +240,7 @@ w AS (SELECT source, tokens, pow(tokens / total, exponent) / list_sum(list_trans
 q AS (SELECT source, tokens, weight, least(floor(weight * total + 0.5)::BIGINT, floor(tokens * {MAX_PASSES})::BIGINT) AS budget FROM w),
 p AS (SELECT d.*, tokens, weight, budget, unnest(range(0, (budget - 1) // tokens + 1)) AS mix_pass FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source WHERE budget > 0),
 h AS (SELECT *, {_HASH} AS h FROM p),
-c AS (SELECT *, mix_pass * tokens + coalesce(sum(n) OVER (PARTITION BY source, mix_pass ORDER BY h, doc_id::VARCHAR ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS mix_before FROM h)
+c AS (SELECT *, mix_pass * tokens + coalesce(sum(n) OVER (PARTITION BY source, mix_pass ORDER BY h, d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS mix_before FROM h)
 SELECT doc_id, source, mix_pass::BIGINT AS mix_pass, n AS mix_tokens, mix_before::BIGINT AS mix_before,
   floor(mix_before / greatest(1.0, weight * {float(BLOCK_TOKENS)}))::BIGINT AS mix_block
 FROM c WHERE mix_before < budget

@@ -87,6 +87,32 @@ def test_mix_of_odd_rows(spark, odd_docs, no_docs):
     assert mixing.mix_documents(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("how", [{}, {"max_passes": 2.5, "budget": 700.0}, {"max_passes": None, "entropy": 0.9}, {"budget": 3.0}])
+def test_the_stage_selects_what_the_mix_holds(spark, odd_docs, no_docs, how):
+    d = odd_docs.withColumnRenamed("rep", "_d").drop("n_chars", "_d").unionAll(odd_docs.drop("n_chars", "rep").limit(3))
+    whole = Counter(tuple(r) for r in mixing.mix_documents(d, **how).select("row.*").collect())
+    assert Counter(tuple(r) for r in mixing.select_mix(d, **how).collect()) == whole and whole
+    assert mixing.select_mix(no_docs).count() == 0 and mixing.select_mix(odd_docs).columns == odd_docs.columns
+
+
+def test_a_mix_of_copies(spark, monkeypatch):
+    """One row a third of all, ids null: every copy has a place of its own."""
+    monkeypatch.setattr(mixing, "COPIES", 7)
+    monkeypatch.setattr(mixing, "BIN_ROWS", 5)
+    rows = [(None, "a b c", "x")] * 60 + [(k % 3, f"w{k} v", "x") for k in range(60)] + [(k, None, "y") for k in range(5)] + [(9, "q", "y")] * 3
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for how in ({"max_passes": 3.0, "budget": 500.0}, {"budget": 150.0}, {}):
+        got = mixing.mix_documents(d, **how).select("row.*", "mix_tokens", "mix_before").collect()
+        for s in ("x", "y"):
+            own, at = sorted((r.mix_before, r.mix_tokens) for r in got if r.source == s), 0
+            for before, n in own:
+                assert before == at
+                at += n
+        assert Counter((r.doc_id, r.text, r.source) for r in got) == Counter(map(tuple, mixing.select_mix(d, **how).collect()))
+    with pytest.raises(ValueError):
+        mixing.mix_documents(d, budget=1e6)
+
+
 def test_weights(spark):
     s = spark.createDataFrame([("a", 8_000_000, 10), ("b", 1_000_000, 10), ("c", 1_000_000, 10), ("d", 0, 3)], "source string, tokens long, rows long")
     w = {r.source: r for r in mixing.source_weights(s, max_passes=1.5).collect()}
