@@ -6,9 +6,9 @@ weight the inner products of pairs of term vectors, so a pair such as an insult
 mention of a group counts beyond its parts.
 
 Training uses a bounded sample of labelled rows outside the held-out fold, the
-``sample`` rows of least hashed id (a documented parameter, 20,000). Every bucket of the
-sample is a feature, whatever it says by itself, so a pair of words that are neutral
-alone can be learned; only L2 prunes. The penalty of a linear weight is ``SURE`` for a
+``sample`` rows of least hashed id (a documented parameter, 20,000). Every bucket that
+LEAST_ROWS sampled rows hold is a feature, whatever it says by itself, so a pair of words
+that are neutral alone can be learned; beyond that only L2 prunes. The penalty of a linear weight is ``SURE`` for a
 bucket that speaks surely for the toxic class and ``NEUTRAL`` mean texts' terms for all
 others (what speaks against it is mostly the language or the length of a text); the
 penalty of the pair vectors is ``PAIR`` mean texts' terms, more than learning a single
@@ -39,6 +39,7 @@ from millrace.workspace import Written, table
 
 BITS = 20
 SAMPLE, FACTORS = 20_000, 8
+LEAST_ROWS = 3
 #: L2: of a linear weight with evidence; of one without, and of pair vectors, in terms of a mean text.
 SURE, NEUTRAL, PAIR = 1.0, 0.5, 3.0
 #: Evidence of a bucket: deviations of its log odds from none, the log odds, sampled rows.
@@ -86,10 +87,15 @@ class FactorizationMachine:
 
     def logits(self, at: np.ndarray, row: np.ndarray, n_rows: int) -> np.ndarray:
         """at: term numbers; row: the row of each, ascending."""
-        z = np.full(n_rows, self.b) + np.bincount(row, self.w[at], n_rows)
-        for f in range(self.v.shape[1]):
-            v = self.v[at, f].astype(np.float64)
-            z += 0.5 * (np.bincount(row, v, n_rows) ** 2 - np.bincount(row, v * v, n_rows))
+        z = np.full(n_rows, self.b)
+        size = np.bincount(row, minlength=n_rows)
+        some = np.flatnonzero(size)
+        if len(some):
+            # All pairs of a row: half of (the sum's square less the squares' sum).
+            alone = self.w.astype(np.float64) - 0.5 * (self.v.astype(np.float64) ** 2).sum(1)
+            begin = (np.cumsum(size) - size)[some]
+            total = np.add.reduceat(self.v[at], begin, axis=0, dtype=np.float64)
+            z[some] += np.add.reduceat(alone[at], begin) + 0.5 * (total * total).sum(1)
         return z
 
     def fit(self, rows: list[np.ndarray], y: np.ndarray, epochs: int = 60, rate: float = 0.05, l2: np.ndarray | float = SURE) -> FactorizationMachine:
@@ -198,11 +204,15 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     terms = [r.values.to_numpy() for r in got["terms"].combine_chunks()]
     order = sorted(range(len(y)), key=lambda k: (y[k], len(terms[k]), zlib.crc32(terms[k].tobytes()), terms[k].tobytes()[:64]))
     y, terms = y[order], [terms[k] for k in order]
+    del got
+    rows_with = np.zeros(1 << BITS, np.int32)
+    for t in terms:  # a row's terms are distinct
+        rows_with[t] += 1
+    there = rows_with >= LEAST_ROWS
+    buckets, number = np.flatnonzero(there), np.cumsum(there, dtype=np.int32) - 1
+    terms = [number[t[there[t]]] for t in terms]
     size, at = np.array([len(t) for t in terms]), np.concatenate(terms)
-    del got, terms
-    there = np.bincount(at, minlength=1 << BITS) > 0
-    buckets = np.flatnonzero(there)
-    at = (np.cumsum(there, dtype=np.int32) - 1)[at]
+    del terms
     machine = FactorizationMachine(len(buckets))
     machine.fit(np.split(at, np.cumsum(size)[:-1]), y, l2=_penalty(at, size, y, len(buckets)))
     return Scorer(buckets, machine)
