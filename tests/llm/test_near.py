@@ -95,9 +95,10 @@ def copies():
     return [(k, t) for k, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("block, screened", [(256, 2048), (8, 5)])
-def test_near_copies(spark, copies, monkeypatch, block, screened):
+@pytest.mark.parametrize("block, shingles, screened", [(1024, 1 << 19, 2048), (8, 1 << 19, 5), (1024, 900, 3)])
+def test_near_copies(spark, copies, monkeypatch, block, shingles, screened):
     monkeypatch.setattr(lsh_forest, "BLOCK", block)
+    monkeypatch.setattr(lsh_forest, "BLOCK_SHINGLES", shingles)
     monkeypatch.setattr(lsh_forest, "SCREENED", screened)
     d = spark.createDataFrame(copies, "doc_id long, text string")
     got = sorted((r.doc_id, r.class_id, r.n_links) for r in lsh_forest.jaccard_join(d).collect())
@@ -118,12 +119,70 @@ def test_near_copies_of_odd_rows(spark, odd_docs, no_docs):
     assert lsh_forest.jaccard_join(no_docs).count() == 0 and lsh_forest.drop_near_copies(no_docs).count() == 0
 
 
+def test_repeated_and_null_ids(spark, copies):
+    """One id for many texts, and rows without an id: every text stays what it is."""
+    docs = [(None if k % 3 == 0 else k % 4, t) for k, t in copies] + [(None, copies[0][1])] * 40 + [(2, copies[5][1])] * 40
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.class_id, r.n_links) for r in lsh_forest.jaccard_join(d).collect()), key=str)
+    want = plain_jaccard(docs)
+    assert got == sorted(want, key=str)
+    left = [(r.doc_id, r.text) for r in lsh_forest.drop_near_copies(d).collect()]
+    comps = components(len(docs), [(i, j) for i in range(len(docs)) for j in range(i) if near(docs[i][1], docs[j][1])])
+    assert len(left) == len(set(comps)) and len(set(left)) == len(left)
+
+
+def near(a, b):
+    a, b = (frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) for w in (a.lower().split(), b.lower().split()))
+    return len(a & b) / len(a | b) >= 0.8
+
+
+def test_recall_on_the_documents(spark):
+    """Every pair of sf0.01 that all pairs compared give, and no other."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    docs = [tuple(r) for r in d.collect()]
+    want = sorted(plain_jaccard(docs))
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in lsh_forest.jaccard_join(d).collect()) == want and sum(n for *_, n in want) > 100
+
+
 def test_prefix_depth():
     depth = lsh_forest.prefix_depth()
     found = lambda d: 1 - (1 - lsh_forest.THRESHOLD**d) ** lsh_forest.TREES
     assert found(depth) >= lsh_forest.RECALL > found(depth + 1)
 
 
+@pytest.mark.parametrize("similar, extra", [(1.0, 2), (0.97, 2), (0.8, 0)])
+def test_the_prefix_is_shortened_as_far_as_the_pairs_need(spark, similar, extra):
+    root = lsh_forest._Root(0.8, lsh_forest.prefix_depth())
+    root.count(np.array([[1.0, similar], [similar, 1.0]]))
+    rows = [(None, None, level, root.pairs.tolist()[level], root.missed.tolist()[level]) for level in range(3)]
+    edges = spark.createDataFrame([*rows, (1, 2, 0, None, None)], lsh_forest.EDGES)
+    assert lsh_forest._matched(edges) == extra
+    assert lsh_forest._matched(edges.limit(0)) == 0
+
+
+def test_walk_of_a_trie():
+    """Edges join the classes that share a prefix of each length, whatever the blocks."""
+    rng = np.random.default_rng(8)
+    roots = lsh_forest.prefix_depth()
+    width = lsh_forest.TREES * (roots + lsh_forest.EXTRA)
+    kinds = rng.integers(0, 2, (4, width)).astype(np.uint8)
+    n = 90
+    bits = kinds[rng.integers(0, 4, n)] ^ (rng.random((n, width)) < 0.02)
+    tail = np.sort(rng.integers(0, 2, n) << 16 | rng.integers(0, 2, n))
+    rows = [bytes(b) for b in np.packbits(bits, axis=1)]
+    signs = bits.astype(float) * 2 - 1
+    near = signs @ signs.T / width >= lsh_forest._Root(0.8, roots).near
+    for size in (90, 20, 7):
+        root = lsh_forest._Root(0.8, roots)
+        for k in range(0, n, size):
+            root.add({"rep": np.arange(k, min(k + size, n)), "tail": tail[k : k + size], "bits": rows[k : k + size]})
+        edges, _, _ = root.rows()
+        for level in range(lsh_forest.EXTRA + 1):
+            shared = tail >> 16 * (lsh_forest.EXTRA - level)
+            want = components(n, np.argwhere(near & (shared[:, None] == shared[None])))
+            assert components(n, edges[edges[:, 2] >= level, :2]) == want
+
+
 def test_groups_cut_by_batches():
     import pyarrow as pa
 
@@ -137,6 +196,13 @@ def test_groups_cut_by_batches():
     for k, j in enumerate(jobs):
         want[j].append(k)
     assert got == list(want.values())
+    for size in (3, 7, 100):
+        got = list(grouping.blocks(iter(parts), size))
+        assert all(len(g["rep"]) <= size for _, g in got)
+        rows = defaultdict(list)
+        for j, g in got:
+            rows[j] += g["rep"].tolist()
+        assert dict(rows) == {j: r for j, r in want.items() if len(r) > 1}
     linked = np.zeros((3, 3), bool)
     linked[0, 1] = True
     assert grouping.forest(linked, np.array([5, 6, 7]), np.array([5, 6, 7])).tolist() == [[6, 5]]
