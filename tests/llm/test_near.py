@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import grouping, lsh_forest, metric_join
 
@@ -24,10 +25,16 @@ def components(n, pairs):
     return [find(k) for k in range(n)]
 
 
-@pytest.mark.parametrize("cell, block", [(4096, 1024), (40, 16)])
-def test_vectors(spark, monkeypatch, cell, block):
+def linked_vectors(v, label):
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    return (u @ u.T >= 0.98) & (label[:, None] == label[None]) & ~np.eye(len(v), dtype=bool)
+
+
+@pytest.mark.parametrize("cell, again, numbers", [(512, 8192, 1 << 17), (40, 16, 200), (9, 60, 1 << 17)])
+def test_vectors(spark, monkeypatch, cell, again, numbers):
     monkeypatch.setattr(metric_join, "CELL", cell)
-    monkeypatch.setattr(metric_join, "BLOCK", block)
+    monkeypatch.setattr(metric_join, "AGAIN", again)
+    monkeypatch.setattr(metric_join, "BLOCK_NUMBERS", numbers)
     rng = np.random.default_rng(4)
     v = rng.normal(size=(400, 6))
     v[50:110] = v[50] + rng.normal(size=(60, 6)) * 0.12
@@ -35,8 +42,7 @@ def test_vectors(spark, monkeypatch, cell, block):
     v[210] = v[200] * 3
     label = rng.integers(0, 2, 400)
     label[50:110] = label[200:211] = 0
-    u = v / np.linalg.norm(v, axis=1)[:, None]
-    link = (u @ u.T >= 0.98) & (label[:, None] == label[None]) & ~np.eye(400, dtype=bool)
+    link = linked_vectors(v, label)
     comp = components(400, np.argwhere(link))
     got = metric_join.range_join(spark.createDataFrame([(k, x.tolist(), int(y)) for k, (x, y) in enumerate(zip(v, label, strict=True))], "vec_id long, embedding array<double>, label int"))
     got = {r.vec_id: r for r in got.collect()}
@@ -45,10 +51,36 @@ def test_vectors(spark, monkeypatch, cell, block):
         assert (got[k].n_links, got[k].component_id, got[k].kept) == (link[k].sum(), comp[k], comp[k] == k)
 
 
+@pytest.mark.parametrize("kind", ["clustered", "uniform"])
+def test_cells_hold_every_link_once(spark, kind):
+    """Vectors of one label through cells of the production size; how often each is copied."""
+    rng = np.random.default_rng(6)
+    n, dim = 6000, 16 if kind == "clustered" else 64
+    centres = rng.normal(size=(60, dim))
+    v = centres[rng.integers(0, 60, n)] + rng.normal(size=(n, dim)) * 0.1 if kind == "clustered" else rng.normal(size=(n, dim))
+    v[1:51] = v[51:101] * 2 + rng.normal(size=(50, dim)) * 0.01
+    label = np.zeros(n, int)
+    link = linked_vectors(v, label)
+    d = spark.createDataFrame([(k, x.tolist(), 0) for k, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in metric_join.range_join(d).collect()}
+    assert [got[k] for k in range(n)] == link.sum(1).tolist() and link.sum() >= 100
+    rows = spark.createDataFrame([(0, k, 1, x.tolist(), True) for k, x in enumerate(v)], "cell long, rep long, mult long, unit array<double>, home boolean")
+    sizes = metric_join.cells(rows, np.sqrt(2 - 2 * 0.98)).groupBy("cell").agg({"home": "count"}).count()
+    copies = metric_join.cells(rows, np.sqrt(2 - 2 * 0.98)).count() / n
+    print(kind, "cells", sizes, "rows a vector", copies)
+    assert sizes > 3 and (copies < 3 if kind == "clustered" else copies < sizes)
+
+
+def test_copies_go_one_way():
+    for k in range(1, 12):
+        m = metric_join.receives(k)
+        assert (m ^ m.T ^ np.eye(k, dtype=bool)).all() and m.sum(0).max() <= k // 2
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [0.0, 0.0], 1), (4, None, 1), (5, [1.0, None], 1), (6, [1.0, nan], 1), (14, [1.0, inf], 1), (7, [1.0, 0.0], None), (8, [1.0, 0.0], 2), (9, [1.0, 0.0, 0.0], 1), (None, [1.0, 0.0], 1), (11, [1e308, 1e308], 3), (12, [1.0, 1.0], 3), (13, [], 1)]
-    d = spark.createDataFrame([(*r, "z") for r in rows], "vec_id long, embedding array<double>, label int, rep string")
+    d = spark.createDataFrame([(*r, "z") for r in rows], "vec_id long, embedding array<double>, label int, rep string").withColumn("n_links", F.lit("x")).withColumn("component_id", F.lit(0)).withColumn("kept", F.lit(1)).withColumn("cell", F.lit(1))
     got = sorted((str(r.vec_id), r.n_links, r.component_id, r.kept) for r in metric_join.range_join(d).collect())
     alone = [(str(k), 0, k, True) for k in (3, 4, 5, 6, 7, 8, 9, 13, 14)]
     assert got == sorted([("1", 3, 1, True), ("2", 3, 1, False), ("2", 3, 1, False), ("None", 3, 1, False), ("11", 1, 11, True), ("12", 1, 11, False), *alone])
