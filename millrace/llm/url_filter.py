@@ -6,7 +6,8 @@ size is the bound). A URL's score is the sum of its host's part and its path's p
 each distinct host and path of a batch is hashed once.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, fits
-no rule, and is scored by the bias alone; repeated rows are judged alike; of two rules
+no rule, and is scored by the bias alone; with an empty labelled table nothing is
+unwanted; repeated rows are judged alike; of two rules
 of one length the block wins; other columns are not read.
 """
 
@@ -27,14 +28,14 @@ from millrace.workspace import table
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: The labelled URL table. 1 is unwanted.
 UNWANTED = (
-    "casino-royal.com/play bestcasino.net/slots online-casino-win.org/bonus casino-win.info/en poker-bets.com/tables free-bets.org/today "
-    "bets-live.net/odds sportsbets.com/free free-bets.info/win win-jackpot.net/spin slots-casino.com/free lucky-win.org/bets "
-    "cheap-pills.com/buy pills-online.net/order buy-pills.org/cheap cheap-meds.com/pills viagra-pills.net/cheap pharma-pills.info/sale "
-    "diet-pills.com/offer cheap-viagra.org/now adult-x.com/video xxx-adult.net/cam adult-video.org/free porn-x.com/tube free-porn.net/xxx "
-    "sex-cam.com/live adult-chat.net/x x-adult.info/pics hot-sex.org/video xxx-tube.com/watch porn-hub-x.net/free adult-dating.com/x "
-    "ads-track.com/click track-ads.net/pixel ad-tracker.org/r clickads.com/track ads-server.net/banner popup-ads.info/go tracking-ads.com/c "
-    "ads.doubletrack.net/imp adtrack.org/click banner-ads.com/track spam-farm.com/list link-farm.net/links seo-spam.org/farm "
-    "content-farm.info/page spam-links.com/go farm-links.net/spam spammer-farm.org/x bulk-spam.com/mail replica-watches.com/cheap "
+    "casino-royal.com/play bestcasino.net/slots online-casino.org/bonus casino-spin.info/en poker-bets.com/tables bets-bonus.org/today "
+    "bets-live.net/odds sportsbets.com/free freebet.info/win win-jackpot.net/spin slots-casino.com/free lucky-win.org/bets "
+    "discount-pills.com/buy pills-online.net/order buy-pills.org/cheap cheap-meds.com/pills viagra-pills.net/cheap pharma-pills.info/sale "
+    "diet-pills.com/offer cheap-viagra.org/now adult-films.com/video xxx-adult.net/cam adult-video.org/free porn-x.com/tube free-porn.net/xxx "
+    "sex-cam.com/live adult-chat.net/x adults-only.info/pics hot-sex.org/video xxx-tube.com/watch porn-hub-x.net/free adult-dating.com/x "
+    "click-ads.com/click tracker.net/pixel ad-tracker.org/r clickads.com/track ads-server.net/banner popup-ads.info/go tracking-ads.com/c "
+    "ads.doubletrack.net/imp adtrack.org/click banner-ads.com/track spam-list.com/list link-farm.net/links seo-spam.org/farm "
+    "content-farm.info/page spam-links.com/go farmed-links.net/spam spammers.org/x bulk-spam.com/mail replica-watches.com/cheap "
     "cheap-replica.net/buy payday-loan.com/fast fast-loans.net/cash free-warez.org/crack crack-keygen.com/download torrent-crack.net/free "
     "malware-drop.com/exe phish-login.net/account free-iphone-win.com/claim click-here-win.org/prize get-rich-fast.com/now"
 ).split()
@@ -51,8 +52,8 @@ WANTED = (
     "river.net/fish/en farmhouse.org/visit trackday.com/race bettergarden.net/soil adulteducation.org/courses pillow.com/bedding spamalot.org/play "
     "windmill.net/tour freedom.org/essay/2 addition.edu/sum cheapside.org/london winter.com/ski betterment.org/plan"
 ).split()
-#: What says nothing: a listed name is also seen with these before and after it.
-BEFORE, AFTER, PATHS = ("", "www.", "blog.", "m."), (".com", ".net", ".org", ".info", ".example.com", ".example.net", ".example.org"), ("/", "/en/120", "/de/33.html", "/fr/705/", "/es/48")
+#: What says nothing. A listed name is also seen with these before and after it.
+BEFORE, AFTER, PATHS = ("", "www.", "blog.", "m."), (".com", ".net", ".org", ".info", ".co.uk", ".site.com", ".site.org"), ("/", "/index.html", "/en/4", "/page/33.html", "/item/705/")
 
 
 def labelled_table() -> tuple[tuple[str, int], ...]:
@@ -69,6 +70,10 @@ def labelled_table() -> tuple[tuple[str, int], ...]:
 LABELLED = labelled_table()
 
 
+#: Hosts and paths whose scores a task remembers, and the longest of them.
+KNOWN, KNOWN_CHARS = 100_000, 256
+
+
 def split_url(url: str) -> tuple[str, str]:
     """Host and path: after the first ``://`` up to ``/ ? #``; then up to ``? #``."""
     _, found, rest = url.partition("://")
@@ -106,6 +111,9 @@ class UrlModel:
 
     def fit(self, urls: Sequence[tuple[str, int]], rounds: int = 1500, rate: float = 1.0, l2: float = 1e-3) -> UrlModel:
         """Full-batch gradient steps: the same table gives the same weights."""
+        if not urls:  # nothing is known to be unwanted
+            self.b = -50.0
+            return self
         rows = []
         for url, y in urls:
             host, path = split_url(url)
@@ -135,15 +143,19 @@ def judge_urls(pages: DataFrame, key: str = "page_id", url: str = "url", rules=R
             for u in strings(batch, url):
                 host, path = split_url(u)
                 if (h := hosts.get(host)) is None:
-                    h = hosts[host] = model.part("h", host)
+                    h = model.part("h", host)
+                    if len(host) <= KNOWN_CHARS:
+                        hosts[host] = h
                 if (p := paths.get(path)) is None:
-                    p = paths[path] = model.part("p", path)
+                    p = model.part("p", path)
+                    if len(path) <= KNOWN_CHARS:
+                        paths[path] = p
                 score = 1 / (1 + np.exp(-(model.b + h + p)))
                 rule = rule_for(host, path, rules)
                 for col, v in zip(out, (host, path, rule and rule[0], rule[1] if rule else "block" if score >= threshold else "allow", float(score)), strict=True):
                     col.append(v)
             for cache in (hosts, paths):
-                if len(cache) > 100_000:
+                if len(cache) > KNOWN:
                     cache.clear()
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, (pa.string(),) * 4 + (pa.float64(),), strict=True))], names=schema.names)
 

@@ -60,14 +60,55 @@ def test_url_rules(spark, url, host, path, rule, verdict):
     assert (r.host, r.path, r.rule) == (host, path, rule) and (verdict is None or r.verdict == verdict) and r.verdict in ("allow", "block")
 
 
-def test_url_model_on_hosts_it_has_not_seen(spark):
-    m = url_filter.UrlModel().fit(url_filter.LABELLED)
+#: Names in the hosts of ``pages`` that are unwanted; none is in the labelled table.
+UNSEEN = ("casino-win", "free-bets", "cheap-pills", "ads-track", "spam-farm", "adult-x")
+
+
+def test_url_model_on_names_it_has_not_seen(spark):
+    assert not [u for u, _ in url_filter.LABELLED for n in UNSEEN if n in u]
+    d = "/root/testdata/sf0.1"
+    judged = url_filter.op10_url_filter(spark, d).select("host", "score").distinct().collect()
+    bad = [r for r in judged if any(n in r.host for n in UNSEEN)]
+    good = [r for r in judged if not any(n in r.host for n in UNSEEN)]
+    found, false = sum(r.score >= 0.5 for r in bad) / len(bad), sum(r.score >= 0.5 for r in good) / len(good)
+    print("unseen names found", found, "of", len(bad), "false", false, "of", len(good))
+    assert found >= 0.95 and false <= 0.02
+
+
+def test_url_names_held_out():
+    """Every fifth name of the table is left out of the fit; whole frames of it are judged."""
+    name = lambda u: re.sub(r"^(?:www|blog|m)[.]", "", u.split("://")[1].split("/")[0]).split(".")[0]
+    names = sorted({name(u) for u, _ in url_filter.LABELLED})
+    held = set(names[::5])
+    m = url_filter.UrlModel().fit([(u, y) for u, y in url_filter.LABELLED if name(u) not in held])
     score = lambda u: m.b + sum(m.part(k, v) for k, v in zip("hp", url_filter.split_url(u), strict=True))
-    for bad in ("http://www.casino-bonus.org/en/3", "http://cheap-pills-now.org/x", "http://free-bets-today.org/de/4.html"):
-        assert score(bad) > 0
-    for good in ("http://www.gardening.org/en/3", "http://library-catalog.org/books", "http://blog.thethe.org/de/4.html"):
-        assert score(good) < 0
-    assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+    right = [(score(u) > 0) == bool(y) for u, y in url_filter.LABELLED if name(u) in held]
+    print("held-out names: right", sum(right), "of", len(right))
+    assert sum(right) / len(right) >= 0.6  # many a held-out name has no word in common with the rest
+
+
+def test_urls_against_sql(spark, sf, duck, same_rows):
+    """Host, path and rule; what the rules leave open is the model's."""
+    rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in url_filter.RULES)
+    sql = f"""
+    WITH u AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
+    s AS (SELECT page_id, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path FROM u),
+    r AS (SELECT page_id, h || p AS rule, v AS said, row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC) AS n
+      FROM s JOIN (VALUES {rules}) AS t(v, h, p) ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+    SELECT s.page_id, host, path, rule, said FROM s LEFT JOIN r ON s.page_id = r.page_id AND n = 1"""
+    got = url_filter.op10_url_filter(spark, sf).withColumn("said", F.when(F.col("rule").isNotNull(), F.col("verdict"))).select("page_id", "host", "path", "rule", "said")
+    same_rows(got.toPandas(), duck.sql(sql).df())
+
+
+def test_urls_of_odd_rows(spark):
+    rows = [(None, None), (1, ""), (1, ""), (2, "http://" + "a" * 200_000 + "/" + "b" * 200_000), (3, "http://x.com/"), (3, "http://x.com/"), (4, "://"), (None, "ftp://www.casino-bonus.org/?q")]
+    d = spark.createDataFrame([(*r, "r", "v", 1) for r in rows], "page_id long, url string, rule string, verdict string, score int")
+    got = url_filter.judge_urls(d)
+    assert got.columns == ["page_id", "host", "path", "rule", "verdict", "score"] and got.count() == len(rows)
+    assert {(r.page_id, r.rule, r.verdict) for r in got.where("page_id = 3").collect()} == {(3, "com/", "allow")}
+    assert got.where("page_id is null and host = 'www.casino-bonus.org'").first().verdict == "block"
+    assert {r.verdict for r in url_filter.judge_urls(d.where("page_id is null"), labelled=()).collect()} == {"allow"}
+    assert url_filter.judge_urls(d.limit(0)).count() == 0
 
 
 def test_mix_against_sql(spark, sf, duck, same_rows):
