@@ -24,6 +24,7 @@ from millrace.functions.mime import Parsed, header_end, is_message, messages_of
 from millrace.functions.scalars import digests, extension, is_document
 from millrace.functions.urls import unwrap, url_parts
 from millrace.sources.messages import TOO_LARGE
+from millrace.workspace import mapped
 
 #: Fixed value: the order flags are given in.
 FLAGS = ("truncated", "malformed_mime", "encoding_fallback", "attachment_unreadable", "artifact_store_failed")
@@ -169,7 +170,7 @@ def dissect(messages: DataFrame, config: EngineConfig = EngineConfig()) -> DataF
                 # A message a batch: one may be as large as the limit.
                 yield pa.RecordBatch.from_pylist([{"msg_key": key.as_py(), **dissect_bytes(content.as_py(), config)}], schema=schema)
 
-    return messages.select("msg_key", "content").mapInArrow(run, row)
+    return mapped(messages.select("msg_key", "content"), run, row)
 
 
 def _each(dissected: DataFrame, field: str) -> DataFrame:

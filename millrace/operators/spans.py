@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 from millrace.functions.decoding import writable
 from millrace.functions.html import read_html
 from millrace.functions.urls import UnwrapRule, unwrap, url_parts
+from millrace.workspace import mapped
 
 FLUSH = 20_000
 
@@ -38,7 +39,7 @@ def exploded(df: DataFrame, key: str, column: str, fields: str, rows_of: Callabl
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys)), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=schema.names)
                     keys, cols = [], [[] for _ in types]
 
-    return df.select(F.col(key), F.col(column).alias(f"_{column}")).mapInArrow(run, schema)
+    return mapped(df.select(F.col(key), F.col(column).alias(f"_{column}")), run, schema)
 
 
 def _t(text: str | None) -> str | None:

@@ -1,26 +1,36 @@
 """Session helpers: shipping the package to executors, and tables that cut lineage.
 
 Written tables live under ``spark.checkpoint.dir`` (the folder a cluster shares);
-only a session that names none, as in tests, gets a local folder.
+only a session on one machine that names none, as in tests, gets a local folder.
 """
 
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _SHIPPED: set[str] = set()
+#: Bytes of a batch that goes to Python, where the session names none; Spark's own bound is 64 MB.
+BATCH_BYTES = 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application."""
+    """Send this package to the executors, once per application; bound Arrow batches by bytes."""
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext.getConf().get(size) is None:
+        spark.conf.set(size, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
@@ -44,6 +54,8 @@ def shared_dir(spark: SparkSession) -> str:
         if current.isDefined():
             named = current.get()
         else:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise RuntimeError("spark.checkpoint.dir names no folder that all machines share")
             named = tempfile.mkdtemp(prefix="millrace-checkpoint-")
             spark.sparkContext.setCheckpointDir(named)
             atexit.register(shutil.rmtree, named, True)
@@ -67,6 +79,30 @@ class Written:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """``df.mapInArrow(run, schema)``, whose workers give memory back when a task ends: they
+    live on between tasks, and an idle one would else hold the most that any task took."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def give_back() -> None:
+    """Return what this process has freed to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, and a
     lost executor costs a reread, not a recomputation."""
