@@ -28,9 +28,7 @@ BATCH_BYTES = 8 << 20
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per application; bound Arrow batches by bytes."""
-    size = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.sparkContext.getConf().get(size) is None:
-        spark.conf.set(size, str(BATCH_BYTES))
+    bound_batches(spark)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
@@ -46,6 +44,12 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext.getConf().get(size) is None:
+        spark.conf.set(size, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for written tables; read from the session, set only where unset."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -90,6 +94,7 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
         finally:
             give_back()
 
+    bound_batches(df.sparkSession)
     return df.mapInArrow(tidy, schema)
 
 
