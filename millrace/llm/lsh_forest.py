@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from millrace.llm.grouping import blocks, forest, grouped
 from millrace.llm.text import free_names, pieces
 from millrace.plans.components import connected_components
-from millrace.workspace import Written, partitions, table
+from millrace.workspace import Written, mapped, partitions, table
 
 WORDS, THRESHOLD = 5, 0.8
 #: Minima of a label beyond its root's; of 16 bits each.
@@ -355,13 +355,14 @@ def _classes(docs: DataFrame, key: str, text: str, threshold: float) -> tuple[Da
     """(id, mark, some, rep) of every row, and (rep, mult, class_id, n_links) of every class."""
     spark, roots = docs.sparkSession, prefix_depth(threshold)
     d = _marked(docs, key, text)
-    signed = Written(d.mapInArrow(_sign(roots), "id long, mark binary, code binary, some boolean, size long, roots array<long>, tails array<long>, bits binary").withColumn("rep", F.xxhash64("code")), "signed").df
+    signed = Written(mapped(d, _sign(roots), "id long, mark binary, code binary, some boolean, size long, roots array<long>, tails array<long>, bits binary").withColumn("rep", F.xxhash64("code")), "signed").df
     # Of a class's rows that with the least id, and of those with the least text, is its text.
     chosen = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("at")
     whole = signed.where("some").groupBy("rep", "code").agg(chosen, F.count("*").alias("mult"), *(F.first(c).alias(c) for c in ("size", "roots", "tails", "bits")))
     whole = Written(whole.select("rep", "at.id", "at.mark", "mult", "size", "roots", "tails", "bits"), "classes").df
     labels = whole.select("rep", "bits", F.explode(F.arrays_zip("roots", "tails")).alias("x")).select(F.col("x.roots").alias("job"), F.col("x.tails").alias("tail"), "rep", "bits")
-    edges = Written(labels.repartition(partitions(spark), "job").sortWithinPartitions("job", "tail").mapInArrow(_nodes(roots, threshold), EDGES), "edges").df
+    labels = labels.repartition(partitions(spark), "job").sortWithinPartitions("job", "tail")
+    edges = Written(mapped(labels, _nodes(roots, threshold), EDGES), "edges").df
     groups = connected_components(edges.where(F.col("u").isNotNull() & (F.col("level") >= _matched(edges))).select("u", "v"))
     asked = groups.join(whole.select("rep", "id", "mark", "mult", "size"), F.col("node") == F.col("rep"))
     sizes = asked.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
@@ -370,14 +371,14 @@ def _classes(docs: DataFrame, key: str, text: str, threshold: float) -> tuple[Da
     found = d.join(_few(Written(asked, "asked").df), F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
     # Repeated rows have one text: it is taken once.
     texts = found.groupBy("rep", "mult", "group", "blocks", "b").agg(F.first("text").alias("text"))
-    sets = texts.mapInArrow(_sets, "rep long, mult long, group long, blocks long, b long, set array<long>")
+    sets = mapped(texts, _sets, "rep long, mult long, group long, blocks long, b long, set array<long>")
     jobs = sets.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     low, high = F.least("b", "o"), F.greatest("b", "o")
     # A group's jobs go to partitions one after another.
     at = F.pmod(F.xxhash64("group") + (high * (high + 1) / 2).cast("long") + low, F.lit(partitions(spark))).cast("int")
     jobs = jobs.select(at.alias("at"), F.xxhash64("group", low, high).alias("job"), (F.col("b") > F.col("o")).cast("int").alias("side"), "rep", "mult", "set")
     jobs = jobs.repartitionById(partitions(spark), "at").drop("at").sortWithinPartitions("job")
-    found = Written(jobs.mapInArrow(_verify(threshold), "u long, v long, n long"), "found").df
+    found = Written(mapped(jobs, _verify(threshold), "u long, v long, n long"), "found").df
     links = found.where("n is not null").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n"))
     parts = connected_components(found.where("v is not null").select("u", "v")).withColumnRenamed("node", "rep")
     member = whole.select("rep", "id", "mark", "mult").join(links, "rep", "left").join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep"))

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.grouping import forest, grouped
 from millrace.plans.components import connected_components
-from millrace.workspace import Written, partitions, table
+from millrace.workspace import Written, mapped, partitions, table
 
 LEAST_COSINE = 0.98
 #: Vectors at home with a pivot, about; pivots of a split at most; vectors at home in a cell that is split again; splits.
@@ -120,7 +120,7 @@ def _split(rows: DataFrame, radius: float, level: int) -> DataFrame:
                     )
 
     spread = jobs.repartitionById(partitions(spark), "at").drop("at").sortWithinPartitions("job")
-    spread = spread.mapInArrow(assign, f"cell long, pivot long, rep long, mult long, unit {rows.schema['unit'].dataType.simpleString()}, home boolean")
+    spread = mapped(spread, assign, f"cell long, pivot long, rep long, mult long, unit {rows.schema['unit'].dataType.simpleString()}, home boolean")
     kept = rows.join(large, "cell", "left_anti").select("cell", "rep", "mult", "unit", "home")
     return kept.unionByName(spread.select(F.xxhash64("cell", F.lit(level), "pivot").alias("cell"), "rep", "mult", "unit", "home"))
 
@@ -202,7 +202,7 @@ def range_join(df: DataFrame, key: str = "vec_id", vector: str = "embedding", la
     whole = Written(reps.select(F.xxhash64("code").alias("rep"), "id", "mult", F.xxhash64("label", F.size("unit")).alias("cell"), "unit"), "reps").df
     rows = whole.select("cell", "rep", "mult", "unit", F.lit(True).alias("home"))
     jobs = _jobs(cells(rows, math.sqrt(max(0.0, 2 - 2 * least))))
-    found = Written(jobs.mapInArrow(_join_blocks(least), "u long, v long, n long"), "links").df
+    found = Written(mapped(jobs, _join_blocks(least), "u long, v long, n long"), "links").df
     links = found.where("n is not null").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n"))
     parts = connected_components(found.where("v is not null").select("u", "v"))
     member = whole.select("rep", "id", "mult").join(links, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")

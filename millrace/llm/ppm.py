@@ -10,7 +10,7 @@ seen are excluded from T and Q; below order 0 the bytes left are equally likely.
 probability thus depends on the last ORDER + 1 bytes alone and is worked out once for
 each distinct n-gram.
 
-Texts are dealt to blocks by hash. Each block is counted alone and hands on its distinct
+Texts are dealt to blocks by hash, and blocks to tasks by number. Each block is counted alone and hands on its distinct
 words and n-grams with their counts: that, not the tokens, is what is shuffled. Totals
 and probabilities go back to the blocks that asked, and each block scores its texts
 against tables of its own vocabulary. The tables are as large as the corpus makes them
@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.text import bucket_of
-from millrace.workspace import Written, slots, table
+from millrace.workspace import Written, mapped, slots, table
 
 ORDER = 4
 FOLDS, HELD = 7, 2
@@ -98,7 +98,7 @@ def _count_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         key, m = np.concatenate([u, key]), np.concatenate([n, m])
         for k in range(0, len(key), 65_536):
             part = key[k : k + 65_536]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block, np.int64)), pa.array(part), pa.array(m[k : k + 65_536])], names=["block", "key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block, np.int32)), pa.array(part), pa.array(m[k : k + 65_536])], names=["block", "key", "n"])
         words.clear(), seen.clear(), grams.clear()
 
     for batch in batches:
@@ -279,8 +279,9 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     d = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
     volume = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(LEAST_BLOCKS, slots(spark) * 4, -(-volume // BLOCK_BYTES))
-    d = d.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"), (bucket_of(F.col("doc_id"), FOLDS) == HELD).alias("held"), "doc_id", "text")
-    asked = d.select("block", (~F.col("held")).cast("int").alias("learn"), "text").repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(_count_blocks, "block long, key long, n long")
+    d = d.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"), (bucket_of(F.col("doc_id"), FOLDS) == HELD).alias("held"), "doc_id", "text")
+    asked = d.select("block", (~F.col("held")).cast("int").alias("learn"), "text").repartitionById(blocks, "block").sortWithinPartitions("block")
+    asked = mapped(asked, _count_blocks, "block int, key long, n long")
     asked = Written(asked, "asked").df
     totals = asked.groupBy("key").agg(F.sum("n").alias("n"))
     totals = Written(totals, "totals").df
@@ -290,8 +291,8 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     back = asked.select("block", "key").join(worth, "key")
     rows = back.select("block", F.lit(0).alias("kind"), "key", "n", "lp", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held"), F.lit(None).cast("binary").alias("text"))
     texts = d.select("block", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("lp"), "doc_id", "held", "text")
-    scored = rows.union(texts).repartition(blocks, "block").sortWithinPartitions("block", "kind").mapInArrow(
-        _score_blocks(total, kinds), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    scored = mapped(
+        rows.union(texts).repartitionById(blocks, "block").sortWithinPartitions("block", "kind"), _score_blocks(total, kinds), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     )
     return scored.select(F.col("doc_id").alias(key), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 

@@ -10,19 +10,24 @@ many pages each of its text features occurs. Importance joins two entropies:
   text that every page repeats has importance 0, text of one page has 1;
 
 ``composite = g**l * presentation + (1 - g**l) * content`` with ``l`` the number of
-styles. A branch of ``MIN_PAGES`` pages or more is noise if its importance is below
-``LEAST`` and all beneath it is too, that is, its content is below ``LEAST_CONTENT``:
-one frame around texts of their own is no noise. Noise leaves every page of the host. Element names and classes that say what a
-branch is (navigation, footer, advert, form, comment) decide before entropy does, so
-hosts with one page lose theirs too; an article's own paragraphs and headings are never
-noise by entropy. Pages of a host with the same text are one page to the tree, since
-copies of an article would else erase each other. A page that holds nothing but noise
-has an empty text.
+styles. All text of a page goes to the tree, that of menus and adverts too. A branch of
+``MIN_PAGES`` pages or more is noise if its importance is below ``LEAST`` and all beneath it
+is too, that is, its content is below ``LEAST_CONTENT``: one frame around texts of their own
+is no noise. Noise leaves every page of the host.
+
+Entropy cannot know a menu that differs from page to page, nor a host of one page. Three
+priors stand beside it: an element or class that says what it is (navigation, footer, advert,
+form, comment) goes, whatever its importance, but inside an article only containers are asked
+for their class, not paragraphs; plain paragraphs and headings, in no branch with a
+name, stay; and where a page has an article (else a main part), what stands
+outside it stays only in a branch that the tree has found important.
+Pages of a host with the same text are one page to the tree, since copies of an article
+would else erase each other. A page that holds nothing but noise has an empty text.
 
 Each page is parsed once, to a written table of blocks; the tree is counted from it with
-sums before every shuffle, so a host with a third of all pages is no single task's work;
-pages meet the noise of their host by a broadcast only if that table is counted small,
-else by a join whose large keys Spark splits.
+sums before every shuffle, so a host with a third of all pages is no single task's work. What
+the tree says goes to pages by a broadcast only if it is counted small, else by a join of
+pages' branches with it.
 
 Defined results: null or empty html gives an empty text; a page whose URL is null or has
 no host belongs to no site and is judged by itself; markup that never ends is closed at
@@ -42,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.text import pieces, strings
-from millrace.workspace import Written, table
+from millrace.workspace import Written, mapped, table
 
 GAMMA, LEAST, LEAST_CONTENT, MIN_PAGES = 0.9, 0.3, 0.4, 2
 #: As in browsers, elements below so many open ones stand beside each other there; they keep branches of their own.
@@ -75,10 +80,12 @@ HINTS = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
 KEEPERS = frozenset("html body article main".split())
+#: In an article these are asked for no class.
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table tr td th thead tbody li dl dt dd figure figcaption".split())
 PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th tr tbody thead table ul ol dl dt dd figure figcaption article main body html header".split())
 
 _TAG = re.compile(r"""<(?:!--(?:.*?--!?>|.*)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|[!?/][^>]*+>)""", re.S)
-_ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|["'=/]""")
 _NAMED = re.compile(r"[a-z]+")
 _NUMBER = re.compile(r"[0-9]+")
 
@@ -94,11 +101,16 @@ def host_of(url: str | None) -> str | None:
     return re.split(r"[/?#]", url.split("://", 1)[1], maxsplit=1)[0].lower() or None
 
 
+#: Branches of text outside every named one, by rank.
+OWN = (key64("own/0"), key64("own/1"))
+
+
 class Page:
     """One pass over a page: its text blocks, each with the branches it stands in."""
 
     def __init__(self, source: str):
-        #: (text, rank, the innermost node it stands in, or -1). rank: 2 in an article, 1 in a main part, 0 elsewhere, -1 where a name says it goes.
+        #: (text, rank, the innermost node it stands in). rank: 2 in an article, 1 in a main part, 0 elsewhere, -1 where a name says it goes.
+        #: Text of an article in no branch with a name has node -1; such text elsewhere stands in the branch OWN.
         self.blocks: list[tuple[str, int, int]] = []
         #: The branches that entropy may take, outer before inner, each with the node it stands in; a branch's key is of its whole chain.
         self.nodes: dict[int, int] = {}
@@ -115,31 +127,35 @@ class Page:
             self.buffer.clear()
             if text:
                 top = self.stack[-1] if self.stack else None
-                self.blocks.append((text, (-1 if top[5] else top[3]) if top else 0, top[2] if top else -1))
+                rank, node = (-1 if top[5] else top[3], top[2]) if top else (0, -1)
+                if node < 0 and 0 <= rank < 2:
+                    node = self.node(OWN[rank], -1)
+                self.blocks.append((text, rank, node))
+
+    def node(self, branch: int, outer: int) -> int:
+        if branch not in self.nodes:
+            self.nodes[branch] = len(self.up)
+            self.up.append(outer)
+        return self.nodes[branch]
 
     def push(self, tag: str, attrs: str) -> None:
         top = self.stack[-1] if self.stack else None
         outer = self.stack[min(len(self.stack), NESTING) - 1] if top else None
         branch, node, rank, dropped = (outer[1], outer[2], top[3], top[5]) if top else (0, -1, 0, None)
-        named = hint = ""
-        if attrs and "=" in attrs:
-            found = {m[0].lower(): m[1] or m[2] or m[3] for m in _ATTR.findall(attrs)}
+        named, hint = "", False
+        if attrs:
+            found = {m[0].lower(): m[1] or m[2] or m[3] for m in _ATTR.findall(attrs) if m[0]}
             named = f"{found.get('class', '')} {found.get('id', '')}".strip().lower()
             role = found.get("role", "").lower()
-            hidden = found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-            if role in ROLES or hidden or re.search(r"(?:^|\s)hidden(?:\s|=|$)", attrs):
-                hint = "role"
+            hint = role in ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
             if role == "main" or role == "article":
                 rank = max(rank, 1)
-        elif attrs and re.search(r"\shidden(?:\s|/|$)", attrs):
-            hint = "role"
         if tag in ("article", "main"):
             rank = max(rank, 2 if tag == "article" else 1)
             if dropped == "form":
                 dropped = None
-        if named and tag not in KEEPERS or tag == "article" and named:
-            if not HINTS.isdisjoint(_NAMED.findall(named)):
-                hint = "name"
+        if named and (tag not in KEEPERS or tag == "article") and not (rank == 2 and tag in TEXT):
+            hint = hint or not HINTS.isdisjoint(_NAMED.findall(named))
         if dropped is None and (hint or tag in DROPPED or tag == "header" and rank == 0):
             dropped = "script" if tag in INLINE else tag
         if tag not in INLINE:
@@ -148,10 +164,7 @@ class Page:
                 top[4].append(tag)
             branch = key64(f"{branch}/{tag}" + (f".{_NUMBER.sub('0', named)}" if named else ""))
             if named or tag not in PLAIN:
-                if branch not in self.nodes:
-                    self.nodes[branch] = len(self.up)
-                    self.up.append(node)
-                node = self.nodes[branch]
+                node = self.node(branch, node)
         self.stack.append([tag, branch, node, rank, [], dropped])
         self.open[tag] += 1
 
@@ -242,16 +255,14 @@ class Page:
             self.pop()
         self.flush()
 
-    def main(self) -> list[tuple[str, int]]:
-        """The blocks of the article if the page names one, else of its main part, else all."""
-        best = max((b[1] for b in self.blocks), default=-1)
-        if best < 0:
-            return []
-        return [(t, r) for t, rank, r in self.blocks if rank == best]
+    def main(self) -> list[str]:
+        """What a page of its own host alone keeps: the article if it names one, else the main part, else all."""
+        best = max((rank for _, rank, _ in self.blocks), default=-1)
+        return [t for t, rank, _ in self.blocks if rank == best >= 0]
 
 
 PARSED = (
-    "page_id long, url string, host string, texts array<string>, digest long, nodes array<int>, branches array<long>, up array<int>, facts array<struct<node: int, kind: int, value: long>>"
+    "page_id long, url string, host string, texts array<string>, digest long, ranks array<int>, nodes array<int>, branches array<long>, up array<int>, facts array<struct<node: int, kind: int, value: long>>"
 )
 SAID = "host string, branch long, kind int, value long"
 
@@ -264,30 +275,30 @@ def parse_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html:
         for batch in batches:
             for piece in pieces(batch, html):
                 urls = piece.column(1).to_pylist()
-                hosts, texts, digests, nodes, branches, up, facts = [], [], [], [], [], [], []
+                hosts, texts, digests, ranks, nodes, branches, up, facts = [], [], [], [], [], [], [], []
                 for u, source in zip(urls, strings(piece, html), strict=True):
                     page = Page(source)
-                    blocks = page.main()
                     host = host_of(u)
                     said: set[tuple[int, int, int]] = set()
                     if host is not None:
                         said.update((n, 2, key64(text)) for text, _, n in page.blocks if n >= 0)
                         said.update((page.nodes[b], 1, key64(children)) for b, children in page.styles if b in page.nodes)
                     hosts.append(host)
-                    texts.append([t for t, _ in blocks])
-                    digests.append(key64("\n".join(texts[-1])))
-                    nodes.append([n for _, n in blocks])
+                    texts.append([t for t, _, _ in page.blocks])
+                    digests.append(key64("\n".join(page.main())))
+                    ranks.append([r for _, r, _ in page.blocks])
+                    nodes.append([n for _, _, n in page.blocks])
                     branches.append(list(page.nodes))
                     up.append(page.up)
                     facts.append([{"node": n, "kind": k, "value": v} for n, k, v in sorted(said)])
                 fact = pa.list_(pa.struct([("node", pa.int32()), ("kind", pa.int32()), ("value", pa.int64())]))
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(0), piece.column(1), pa.array(hosts, pa.string()), pa.array(texts, pa.list_(pa.string()))]
-                    + [pa.array(digests, pa.int64()), pa.array(nodes, pa.list_(pa.int32())), pa.array(branches, pa.list_(pa.int64())), pa.array(up, pa.list_(pa.int32())), pa.array(facts, fact)],
-                    names=["page_id", "url", "host", "texts", "digest", "nodes", "branches", "up", "facts"],
+                    + [pa.array(digests, pa.int64()), pa.array(ranks, pa.list_(pa.int32())), pa.array(nodes, pa.list_(pa.int32())), pa.array(branches, pa.list_(pa.int64())), pa.array(up, pa.list_(pa.int32())), pa.array(facts, fact)],
+                    names=["page_id", "url", "host", "texts", "digest", "ranks", "nodes", "branches", "up", "facts"],
                 )
 
-    return pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias(html)).mapInArrow(run, PARSED)
+    return mapped(pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias(html)), run, PARSED)
 
 
 def _say(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,19 +343,25 @@ def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
 LEFT = "page_id long, url string, text string, n_removed long"
 
 
+def kept_blocks(ranks: list[int], nodes: list[int], branches: list[int], up: list[int], noise: set[int], important: set[int]) -> tuple[list[bool], int]:
+    """Which blocks of a page stay, and how many the tree takes."""
+    gone: list[bool] = []
+    for b, n in zip(branches, up, strict=True):
+        gone.append(b in noise or n >= 0 and gone[n])
+    taken = [n >= 0 and gone[n] for n in nodes]
+    best = max((r for r, t in zip(ranks, taken, strict=True) if not t), default=-1)
+    keep = [not t and r >= 0 and (r == best or branches[n] in important) for r, n, t in zip(ranks, nodes, taken, strict=True)]
+    return keep, sum(taken)
+
+
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages without the blocks in branches that are noise, or beneath such."""
+    """Pages without the blocks that the tree, or a prior, takes."""
     for batch in batches:
         out, held = [], 0
         for row in range(batch.num_rows):
-            page_id, url, texts, nodes, branches, up, noise = (batch.column(c)[row].as_py() for c in range(7))
-            left = texts
-            if noise:
-                noise, gone = set(noise), []
-                for b, n in zip(branches, up, strict=True):
-                    gone.append(b in noise or n >= 0 and gone[n])
-                left = [t for t, n in zip(texts, nodes, strict=True) if n < 0 or not gone[n]]
-            out.append((page_id, url, "\n".join(left), len(texts) - len(left)))
+            page_id, url, texts, ranks, nodes, branches, up, noise, important = (batch.column(c)[row].as_py() for c in range(9))
+            keep, taken = kept_blocks(ranks, nodes, branches, up, set(noise or ()), set(important or ()))
+            out.append((page_id, url, "\n".join(t for t, k in zip(texts, keep, strict=True) if k), taken))
             held += len(out[-1][2])
             if held > 4 << 20:
                 yield _rows(out, LEFT)
@@ -354,7 +371,8 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def style_tree(parsed: DataFrame) -> DataFrame:
     """(host, branch, pages, styles, presentation, content, importance)."""
-    said = parsed.where("host is not null and size(facts) > 0").select("host", "branches", "up", "facts").mapInArrow(_say, SAID).groupBy("host", "branch", "kind", "value").agg(F.count("*").alias("n"))
+    said = parsed.where("host is not null and size(facts) > 0").select("host", "branches", "up", "facts")
+    said = mapped(said, _say, SAID).groupBy("host", "branch", "kind", "value").agg(F.count("*").alias("n"))
     n = F.col("n").cast("double")
     tree = said.groupBy("host", "branch").agg(
         F.max(F.when(F.col("kind") == 0, n)).alias("pages"),
@@ -383,14 +401,28 @@ def once(parsed: DataFrame) -> DataFrame:
     return parsed.join(small, ["host", "digest"], "left").where("first is null or first = row").drop("first")
 
 
+def verdicts(tree: DataFrame) -> DataFrame:
+    """(host, branch, noise) of the branches that the tree can tell of."""
+    noise = (F.col("importance") < LEAST) & (F.col("content") < LEAST_CONTENT)
+    # Text in no named branch is never noise: its branch can only speak for it.
+    return tree.where(F.col("pages") >= MIN_PAGES).select("host", "branch", noise.alias("noise")).where(~F.col("noise") | ~F.col("branch").isin(*OWN))
+
+
 def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars, n_removed of every row: blocks joined by newline."""
+    """page_id, url, text, n_chars, n_removed (blocks that the tree takes) of every row: blocks joined by newline."""
     parsed = Written(parse_pages(pages, key, url, html).withColumn("row", F.monotonically_increasing_id()), "pages").df
-    noise = style_tree(once(parsed)).where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < LEAST) & (F.col("content") < LEAST_CONTENT)).groupBy("host").agg(F.collect_set("branch").alias("noise"))
-    noise = Written(noise, "noise").df
-    size = noise.agg(F.coalesce(F.sum(F.size("noise") + 8), F.lit(0))).first()[0]
-    small = F.broadcast(noise) if size <= BROADCAST_ROWS else noise
-    d = parsed.join(small, "host", "left").select("page_id", "url", "texts", "nodes", "branches", "up", F.array_intersect("branches", "noise").alias("noise")).mapInArrow(_keep, LEFT)
+    said = Written(verdicts(style_tree(once(parsed))), "verdicts").df
+    of = lambda noise: F.collect_list(F.when(F.col("noise") == noise, F.col("branch")))
+    if said.count() <= BROADCAST_ROWS:
+        per_host = said.groupBy("host").agg(of(True).alias("noise"), of(False).alias("important"))
+        d = parsed.join(F.broadcast(per_host), "host", "left")
+    else:
+        # A page's own branches meet the tree, so that no host is held whole.
+        asked = parsed.where("host is not null").select("row", "host", F.explode("branches").alias("branch"))
+        per_page = Written(asked.join(said, ["host", "branch"]).groupBy("row").agg(of(True).alias("noise"), of(False).alias("important")), "said").df
+        d = parsed.join(per_page, "row", "left")
+    own = lambda c: F.array_intersect("branches", c)
+    d = mapped(d.select("page_id", "url", "texts", "ranks", "nodes", "branches", "up", own("noise").alias("noise"), own("important").alias("important")), _keep, LEFT)
     return d.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_removed")
 
 

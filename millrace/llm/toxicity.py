@@ -6,7 +6,7 @@ weight the inner products of pairs of term vectors, so a pair such as an insult
 mention of a group counts beyond its parts.
 
 Training uses a bounded sample of labelled rows outside the held-out fold, the
-``sample`` rows of least hashed id (a documented parameter, 20,000). Every bucket that
+``sample`` rows of least hashed id (a documented parameter, 10,000). Every bucket that
 LEAST_ROWS sampled rows hold is a feature, whatever it says by itself, so a pair of words
 that are neutral alone can be learned; beyond that only L2 prunes. The penalty of a linear weight is ``SURE`` for a
 bucket that speaks surely for the toxic class and ``NEUTRAL`` mean texts' terms for all
@@ -35,11 +35,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.text import bucket_of, free_names, pieces, strings
-from millrace.workspace import Written, table
+from millrace.workspace import Written, give_back, mapped, table
 
 BITS = 20
-SAMPLE, FACTORS = 20_000, 8
+SAMPLE, FACTORS = 10_000, 8
 LEAST_ROWS = 3
+#: Words whose terms a task remembers.
+KNOWN_WORDS = 200_000
 #: L2: of a linear weight with evidence; of one without, and of pair vectors, in terms of a mean text.
 SURE, NEUTRAL, PAIR = 1.0, 0.5, 3.0
 #: Evidence of a bucket: deviations of its log odds from none, the log odds, sampled rows.
@@ -176,7 +178,7 @@ def _sample_terms(docs: DataFrame, labels: DataFrame, key: str, text: str, label
 
     # The sample's size is bounded by the parameter, so its ids can be broadcast.
     rows = docs.select(F.col(key).cast("long").alias("_k"), F.col(text).alias("t")).join(F.broadcast(chosen), "_k").select("y", "t")
-    return Written(rows.mapInArrow(run, "y int, terms array<int>"), "toxic-sample")
+    return Written(mapped(rows, run, "y int, terms array<int>"), "toxic-sample")
 
 
 def _penalty(at: np.ndarray, size: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
@@ -215,7 +217,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     del terms
     machine = FactorizationMachine(len(buckets))
     machine.fit(np.split(at, np.cumsum(size)[:-1]), y, l2=_penalty(at, size, y, len(buckets)))
-    return Scorer(buckets, machine)
+    scorer = Scorer(buckets, machine)
+    give_back()
+    return scorer
 
 
 def score_documents(docs: DataFrame, scorer: Scorer, key: str = "doc_id", text: str = "text", whole_rows: bool = False) -> DataFrame:
@@ -232,13 +236,13 @@ def score_documents(docs: DataFrame, scorer: Scorer, key: str = "doc_id", text:
         known: dict[str, tuple[int, ...]] = {}
         for batch in batches:
             for piece in pieces(batch, text):
-                if len(known) > 500_000:
+                if len(known) > KNOWN_WORDS:
                     known.clear()
                 s = pa.array(scorer.score(strings(piece, text), known))
                 cols = piece.columns if whole_rows else [piece.column(0)]
                 yield pa.RecordBatch.from_arrays([*cols, s], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

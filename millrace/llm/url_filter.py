@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.text import strings
-from millrace.workspace import table
+from millrace.workspace import mapped, table
 
 #: (verdict, host, path).
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -159,7 +159,7 @@ def judge_urls(pages: DataFrame, key: str = "page_id", url: str = "url", rules=R
                     cache.clear()
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, (pa.string(),) * 4 + (pa.float64(),), strict=True))], names=schema.names)
 
-    return pages.select(key, url).mapInArrow(run, schema)
+    return mapped(pages.select(key, url), run, schema)
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.text import pieces, strings
-from millrace.workspace import table
+from millrace.workspace import mapped, table
 
 DEFAULT = "word_bpe_49k.json"
 #: Fixed value: the pre-tokenizer's pattern in the vocabulary file.
@@ -164,16 +164,22 @@ def load(path: str) -> WordBpe:
     return WordBpe(path)
 
 
+#: Characters' worth of what is remembered of a word beside itself.
+REMEMBERED = 24
+
+
 class Coder:
-    """Encodes slices of texts; remembers words up to a bound between slices."""
+    """Encodes slices of texts; remembers words between slices, up to ``remember`` characters
+    of them (and REMEMBERED for what stands around each)."""
 
-    def __init__(self, path: str, remember: int = 400_000):
+    def __init__(self, path: str, remember: int = 8 << 20):
         self.bpe, self.remember = load(path), remember
         self.clear()
 
     def clear(self) -> None:
         self.number: dict[str | int, int] = {}
         self.shown: dict[str | int, str] = {}
+        self.held = 0
         self.ids, self.start, self.count = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def learn(self, words: list[str | int]) -> None:
@@ -189,6 +195,7 @@ class Coder:
         base, at = len(self.number), len(self.ids)
         for k, (w, a, b) in enumerate(zip(plain, (ends - count).tolist(), ends.tolist(), strict=True)):
             self.number[w] = base + k
+            self.held += REMEMBERED + (len(w) if isinstance(w, str) else 1)
             self.shown[w] = strings_of[a] if b - a == 1 else " ".join(strings_of[a:b])
         self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
         self.start = np.concatenate([self.start, at + ends - count])
@@ -197,7 +204,7 @@ class Coder:
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, str]]:
         """(ids, decoded text) of each text."""
         split = [self.bpe.split(t) for t in texts]
-        if len(self.number) > self.remember:
+        if self.held > self.remember:
             self.clear()
         if fresh := list(dict.fromkeys(w for s in split for w in s if w not in self.number)):
             self.learn(fresh)
@@ -237,7 +244,7 @@ def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", p
                     cols += [pa.array(out[3], pa.list_(pa.int64())), pa.array(out[4], pa.string())]
                 yield pa.RecordBatch.from_arrays([piece.column(0), *cols], names=schema.names)
 
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
+    return mapped(docs.select(F.col(key), F.col(text)), run, schema)
 
 
 COLUMNS = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]

@@ -19,11 +19,13 @@ from millrace.llm import site_style, toxicity
         ("<form><article><p>in</p></article></form><form>no</form>", ["in"]),
         ('<div role="navigation">no</div><div aria-hidden="true">no</div><div style="display: none">no</div><p>yes', ["yes"]),
         ("<p>&#233;&eacute;&#x1F600;&nbsp;&lt;b&gt; a\n\t b</p>", ["éé😀 <b> a b"]),
+        ('<article><p title="a hidden gem">Kept</p><p>And <a href="/x" title="the hidden door">this</a> too</p><p hidden>no</p><div aria-label="x" HIDDEN="">no</div></article>', ["Kept", "And this too"]),
+        ('<article><p class="related">Text</p><div class="related">no</div><h2 id="share">Head</h2></article>', ["Text", "Head"]),
         ("<!-- never <p>a", []), ("<script>never", []), ("", []), ('<p title="a>b">q</p>', ["q"]),
     ],
 )
 def test_blocks(html, blocks):
-    assert [t for t, _ in site_style.Page(html).main()] == blocks
+    assert site_style.Page(html).main() == blocks
 
 
 @pytest.mark.parametrize("unit", ['<a "', "<a ", "<!--", "<div>", "<p>", "</b>", "<li>", "&", "<script>", "<div></p>"])
@@ -68,6 +70,92 @@ def test_short_articles_lose_long_shared_text(spark, pages):
     assert {r.page_id: r.text for r in site_style.extract_main_text(d).collect()} == {**{k: f"Own {k}" for k in range(pages)}, 100: "Own 0"}
 
 
+def plain_tree(pages):
+    """Importance of every branch of a host's pages, in plain words: each branch by itself."""
+    from collections import Counter, defaultdict
+    from math import log
+
+    there, styles, features = Counter(), defaultdict(Counter), defaultdict(Counter)
+    for page in pages:
+        beneath = defaultdict(set)
+        for text, _, n in page.blocks:
+            while n >= 0:
+                beneath[n].add(text)
+                n = page.up[n]
+        branch = {n: b for b, n in page.nodes.items()}
+        for n, texts in beneath.items():
+            there[branch[n]] += 1
+            features[branch[n]].update(texts)
+            styles[branch[n]].update({c for b, c in page.styles if b == branch[n]})
+    out = {}
+    for b, m in there.items():
+        if m > 1:
+            p = [c / sum(styles[b].values()) for c in styles[b].values()]
+            presentation = -sum(x * log(x) for x in p) / log(m)
+            content = 1 - sum(log(c) for c in features[b].values()) / len(features[b]) / log(m)
+            g = site_style.GAMMA ** len(p)
+            out[b] = (m, content, g * presentation + (1 - g) * content if p else content)
+    return out
+
+
+def test_importance_against_a_plain_version(spark):
+    rng = np.random.default_rng(2)
+    kinds = ("<nav><a>x</a></nav>", '<div class="n7"><p>{k}</p><p>same</p></div>', '<div class="n8"><b>q</b></div>', '<section id="s"><div class="i"><p>{r}</p></div><h2>h</h2></section>', "<p>{k}</p>", "<footer>f {r}</footer>")
+    rows = []
+    for k in range(60):
+        body = "".join(kinds[j].replace("{k}", f"t{k}").replace("{r}", f"r{rng.integers(0, 5)}") for j in rng.integers(0, 6, 5))
+        rows.append((k, f"http://{'hot' if k % 3 else 'cold'}.example/{k}", body + f"<p>of its own {k}</p>"))
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    from pyspark.sql import functions as F
+
+    tree = site_style.style_tree(site_style.once(site_style.parse_pages(d).withColumn("row", F.monotonically_increasing_id())))
+    got = {(r.host, r.branch): (r.pages, r.content, r.importance) for r in tree.collect()}
+    want = {(h, b): v for h in ("hot.example", "cold.example") for b, v in plain_tree([site_style.Page(s) for _, u, s in rows if h in u]).items()}
+    assert got.keys() == want.keys() and len(got) > 8
+    for k, v in want.items():
+        assert got[k] == pytest.approx(v, abs=1e-9)
+
+
+def test_the_tree_speaks_for_what_stands_outside_the_article(spark):
+    """Text beside an article stays where the host shows it is no frame; a teaser takes nothing."""
+    page = lambda k: f'<body><div class="top">One frame</div><div class="lead"><p>Lead text {k}</p></div><p>Plain {k}</p><article><p>Teaser {k}</p></article><div class="more">Ever the same</div></body>'
+    rows = [(k, f"http://h.example/{k}", page(k)) for k in range(8)] + [(50, "http://alone.example/", page(9))]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in site_style.extract_main_text(d).collect()}
+    assert {k: (got[k].text, got[k].n_removed) for k in range(8)} == {k: (f"Lead text {k}\nPlain {k}\nTeaser {k}", 2) for k in range(8)}
+    assert got[50].text == "Teaser 9"
+
+
+def test_repeated_pages_ties_and_a_hot_host(spark, monkeypatch):
+    frame = lambda k, t: f'<nav><a>Home</a></nav><div class="q{k % 2}">Bar</div><article><p>{t}</p></article><footer>End</footer>'
+    rows = [(k, f"http://hot.example/{k % 50}", frame(k, f"Text {k % 50}")) for k in range(120)] + [(k, f"http://h{k}.example/", frame(k, f"Only {k}")) for k in range(200, 230)]
+    rows += [rows[0]] * 5 + [(None, "http://hot.example/1", frame(1, "Text 1"))] * 2
+    d = spark.createDataFrame([(*r, 1, "x") for r in rows], "page_id long, url string, html string, host string, texts string")
+    want = sorted(((k, "Text " + str(int(u.rsplit("/", 1)[1])) if "hot" in u else f"Only {k}") for k, u, _ in rows), key=str)
+    for most in (20_000, 0):  # what the tree says is broadcast, or meets the pages' branches in a join
+        monkeypatch.setattr(site_style, "BROADCAST_ROWS", most)
+        got = site_style.extract_main_text(d).collect()
+        assert sorted(((r.page_id, r.text) for r in got), key=str) == want
+        assert all(r.n_removed == 3 for r in got if "hot" in r.url)
+
+
+def test_the_tree_takes_frames_without_a_name(spark, sf):
+    """The tables' pages, each host with one frame of its own, and nothing that says what is what:
+    what is left is what the article holds."""
+    import html as H
+    import re
+
+    rows, want = [], {}
+    for k, r in enumerate(spark.read.parquet(f"{sf}/pages.parquet").orderBy("page_id").collect()):
+        host, inner = f"h{k % 5}.example", r.html[r.html.index("<article>") + 9 : r.html.index("</article>")]
+        frame = f'<div class="qa"><ul><li><a href="/">{host}</a><li><a href="/a">About</a></ul></div><div class="qb">Read {host} daily</div>'
+        rows.append((r.page_id, f"http://{host}/{k}", f'<html><body>{frame}<div class="qc">{inner}</div><div class="qd"><p>By {host}</p></div>'))
+        blocks = [" ".join(H.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1)>", inner.replace("<br>", " "))]
+        want[r.page_id] = "\n".join(x for x in blocks if x)
+    got = site_style.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == want and {r.n_removed for r in got} == {4}
+
+
 def test_articles_of_the_pages(spark, sf):
     import html as H
     import re
