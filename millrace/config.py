@@ -21,6 +21,8 @@ class EngineConfig:
     max_resources: int = 50_000
     unwrap_rules: tuple[UnwrapRule, ...] = ()
     extra_file_extensions: tuple[str, ...] = ()
+    #: Milliseconds after which no further message or text of an input is begun; 0 for no end.
+    max_input_millis: int = 0
     keep_payloads: bool = True
     suffix_list: str | None = None
     suffix_list_sha256: str | None = None

@@ -21,8 +21,12 @@ LOADED = {
 SPACES = dict.fromkeys([0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000], " ")
 IMPORT = re.compile(r"""@import\s+(?:"([^"]*)"|'([^']*)')""", re.IGNORECASE)
 
-_URL = re.compile(r"url\(", re.IGNORECASE)
-_END, _INK = re.compile(r"[)\s]|\Z"), re.compile(r"\S|\Z")
+#: Fixed value: a reference to a part by its Content-ID.
+CID = re.compile(r"""(?<![\w+.-])cid:([^\s"'<>()?#]+)""", re.IGNORECASE)
+
+_OPENS = re.compile(r"""url\(\s*+(["'])?""", re.IGNORECASE)
+_CLOSES = re.compile(r"\s*+\)")
+_BARE = re.compile(r"([^)\s]*+)\s*+(\))?")
 
 
 class Event(NamedTuple):
@@ -35,27 +39,29 @@ class Event(NamedTuple):
 def css_urls(css: str) -> Iterator[str]:
     """What each ``url(...)`` holds, quoted or not, in order; then what is imported by name.
 
-    An opening that nothing closes is skipped; each end is searched from where the last
-    search stopped, so that many openings do not read the rest again and again."""
-    ends: dict[int, tuple[int, int]] = {0: (1, 0), 1: (1, 0)}
-
-    def after(k: int, at: int) -> int:
-        low, high = ends[k]
-        if not low <= at <= high:
-            ends[k] = (at, (_END, _INK)[k].search(css, at).start())
-        return ends[k][1]
-
-    at = 0
-    while m := _URL.search(css, at):
-        start = after(1, m.end())
+    An opening that nothing closes is skipped. All openings of a stretch without white space
+    end where it ends, so one that fails unquoted speaks for the rest of its stretch; and the
+    next quote after a place is the same until it is passed."""
+    at = barren = 0
+    quoted = {'"': -1, "'": -1}
+    while m := _OPENS.search(css, at):
         at = m.start() + 1
-        closes = css.find(css[start], start + 1) if css[start : start + 1] in ('"', "'") else -1
-        for low, high, go_on in ((start + 1, closes, closes + 1),) * (closes >= 0) + ((start, end := after(0, start), end),):
-            close = after(1, go_on)
-            if css[close : close + 1] == ")":
-                yield css[low:high]
-                at = close + 1
-                break
+        if quote := m[1]:
+            if quoted[quote] < m.end():
+                found = css.find(quote, m.end())
+                quoted[quote] = found if found >= 0 else len(css)
+            if closed := _CLOSES.match(css, quoted[quote] + 1):
+                yield css[m.end() : quoted[quote]]
+                at = closed.end()
+                continue
+        start = m.start(1) if quote else m.end()
+        if start >= barren:
+            bare = _BARE.match(css, start)
+            if bare[2]:
+                yield bare[1]
+                at = bare.end()
+            else:
+                barren = bare.end(1)
     for m in IMPORT.finditer(css):
         yield m[1] or m[2] or ""
 
@@ -144,3 +150,13 @@ def read_html(html: str) -> tuple[list[Event], str]:
         pass
     r.close_anchor()
     return r.events, settled("".join(r.shown))
+
+
+def pointed(html: str, names: dict[str, str]) -> str:
+    """The HTML with every reference to a named part's Content-ID, matched whole, made its name."""
+    pieces, at = [], 0
+    for m in CID.finditer(html):
+        if m[1] in names:
+            pieces += html[at : m.start()], names[m[1]]
+            at = m.end()
+    return "".join([*pieces, html[at:]])

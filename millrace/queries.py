@@ -6,6 +6,9 @@ them apart again; their SQL says what must come out from the columns themselves.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,66 +17,64 @@ from millrace.functions import scalars
 from millrace.functions.urls import UnwrapRule
 from millrace.operators import dissect as D
 from millrace.operators import spans as S
-from millrace.operators.assemble import dissected_json
+from millrace.operators.assemble import all_observables, dissected_json
 from millrace.operators.observables import observables, text_mentions, typed_mentions, within_places
 from millrace.sources import registries as R
 from millrace.workspace import table, written
 
-CRLF = "\r\n"
-
-
 # -- messages built from columns -------------------------------------------------------
 
-def _text(*parts: Column | str) -> Column:
-    return F.encode(F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)), "UTF-8")
+PNG = b"\x89PNG\r\n\x1a\n"
+#: A built message's lines; what stands in braces is of the row.
+HEAD = (
+    "From: User {n} <user{n}@example.com>",
+    'To: a@example.net, "B, C" <b{n}@example.org>',
+    "Subject: =?utf-8?q?Doc_=C3=A9?= {n}",
+    "Received: from h{n}.example.com (h [192.0.2.{byte}]) by mx.example.org with ESMTP id {n}; Mon, 1 Jan 2024 00:00:00 +0000",
+    "Authentication-Results: mx.example.org; spf=pass smtp.mailfrom=user{n}@example.com; dkim=fail header.d=example.com",
+    "MIME-Version: 1.0",
+    "Content-Type: multipart/mixed; boundary=QQ0",
+)
+BODY = (
+    "", "--QQ0", "Content-Type: text/plain; charset=utf-8", "", "{text}",
+    "--QQ0", "Content-Type: text/html; charset=utf-8", "", '<p>See <a href="https://example.org/d/{n}?q=1#f">doc {n}</a><img src="cid:pic{n}"></p>',
+    "--QQ0", 'Content-Type: image/png; name="p{n}.PNG"', "Content-Transfer-Encoding: base64", "Content-Id: <pic{n}>", "", "{picture}",
+    "--QQ0", "Content-Type: message/rfc822", "", "Subject: inner {n}", "", "inner body {n}", "--QQ0--", "",
+)
+
+
+def filled(lines: Sequence[str], values: dict[str, Column]) -> Column:
+    """Lines with their braces filled, as bytes."""
+    pieces = re.split(r"\{(\w+)\}", "\r\n".join(lines))
+    return F.encode(F.concat(*(values[p] if k % 2 else F.lit(p) for k, p in enumerate(pieces))), "UTF-8")
+
+
+def filled_sql(lines: Sequence[str], values: dict[str, str]) -> str:
+    """The same as a text in SQL."""
+    pieces = re.split(r"\{(\w+)\}", "\r\n".join(lines))
+    said = lambda p: " || chr(13) || chr(10) || ".join(f"'{x.replace(chr(39), chr(39) * 2)}'" for x in p.split("\r\n"))
+    return "(" + " || ".join(values[p] if k % 2 else said(p) for k, p in enumerate(pieces)) + ")"
 
 
 def built_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A message for each document: headers from its id, its text as the body, a page of
     HTML with a picture inside, an attachment, and a nested message."""
     n = F.col("doc_id").cast("string")
-    lines = [
-        ("From: User ", n, " <user", n, "@example.com>"),
-        ('To: a@example.net, "B, C" <b', n, "@example.org>"),
-        ("Subject: =?utf-8?q?Doc_=C3=A9?= ", n),
-        ("Received: from h", n, ".example.com (h [192.0.2.", (F.col("doc_id") % 256).cast("string"), "]) by mx.example.org with ESMTP id ", n, "; Mon, 1 Jan 2024 00:00:00 +0000"),
-        ("Authentication-Results: mx.example.org; spf=pass smtp.mailfrom=user", n, "@example.com; dkim=fail header.d=example.com"),
-        ("MIME-Version: 1.0",),
-        ("Content-Type: multipart/mixed; boundary=QQ0",),
-        ("",),
-        ("--QQ0",),
-        ("Content-Type: text/plain; charset=utf-8",),
-        ("",),
-        (F.coalesce("text", F.lit("")),),
-        ("--QQ0",),
-        ("Content-Type: text/html; charset=utf-8",),
-        ("",),
-        ('<p>See <a href="https://example.org/d/', n, '?q=1#f">doc ', n, '</a><img src="cid:pic', n, '"></p>'),
-        ("--QQ0",),
-        ('Content-Type: image/png; name="p', n, '.PNG"',),
-        ("Content-Transfer-Encoding: base64",),
-        ("Content-Id: <pic", n, ">"),
-        ("",),
-        (F.base64(F.concat(F.lit(b"\x89PNG\r\n\x1a\n"), F.encode(n, "UTF-8"))),),
-        ("--QQ0",),
-        ("Content-Type: message/rfc822",),
-        ("",),
-        ("Subject: inner ", n),
-        ("",),
-        ("inner body ", n),
-        ("--QQ0--",),
-        ("",),
-    ]
-    content = _text(*(p for k, line in enumerate(lines) for p in ((CRLF,) if k else ()) + line))
-    return table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), n).alias("msg_key"), content.alias("content"))
-
-
-def _taken_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.dissect(built_messages(spark, sf_dir), EngineConfig(keep_payloads=False))
+    picture = F.base64(F.concat(F.lit(PNG), F.encode(n, "UTF-8")))
+    values = {"n": n, "byte": (F.col("doc_id") % 256).cast("string"), "text": F.coalesce("text", F.lit("")), "picture": picture}
+    return table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), n).alias("msg_key"), filled(HEAD + BODY, values).alias("content"))
+
+
+_FILL = {"n": "doc_id", "byte": "(doc_id % 256)", "text": "text", "picture": "to_base64('\\x89PNG\\x0D\\x0A\\x1A\\x0A'::BLOB || encode(doc_id::VARCHAR))"}
+
+
+def _taken_apart(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
+    """The built messages, dissected for the fields that a query shows."""
+    return D.dissect(built_messages(spark, sf_dir), EngineConfig(keep_payloads=False), fields)
 
 
 def mime_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = D.mime_parts(_taken_apart(spark, sf_dir))
+    d = D.mime_parts(_taken_apart(spark, sf_dir, "parts"))
     return d.select("msg_key", "message_index", "part_index", "content_type", "filename", "content_id", "size", "charset_used", "sha256", "detected_mime")
 
 
@@ -95,7 +96,7 @@ SELECT * FROM p
 
 
 def attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = D.attachments(_taken_apart(spark, sf_dir))
+    d = D.attachments(_taken_apart(spark, sf_dir, "parts"))
     return d.select("msg_key", "message_index", "part_index", "filename", "extension", "detected_mime", "md5", "sha1", "is_document")
 
 
@@ -118,20 +119,26 @@ UNION ALL SELECT msg_key, 1, 1, 0, NULL FROM d
 
 
 def headers_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.headers(_taken_apart(spark, sf_dir)).where("name in ('subject', 'from', 'content-type')").select("msg_key", "message_index", "name", "header_index", "value")
+    return D.headers(_taken_apart(spark, sf_dir, "headers"))
 
 
 _HEADERS = f"""
-WITH d AS ({_DOC})
-SELECT msg_key, 0 AS message_index, 'from' AS name, 0 AS header_index, 'User ' || doc_id || ' <user' || doc_id || '@example.com>' AS value FROM d
-UNION ALL SELECT msg_key, 0, 'subject', 0, 'Doc é ' || doc_id FROM d
-UNION ALL SELECT msg_key, 0, 'content-type', 0, 'multipart/mixed; boundary="QQ0"' FROM d
-UNION ALL SELECT msg_key, 1, 'subject', 0, 'inner ' || doc_id FROM d
+WITH d AS ({_DOC}),
+h AS (SELECT msg_key, 0 AS message_index, unnest([
+    {{'k': 0, 'name': 'from', 'value': 'User ' || doc_id || ' <user' || doc_id || '@example.com>'}},
+    {{'k': 1, 'name': 'to', 'value': 'a@example.net, "B, C" <b' || doc_id || '@example.org>'}},
+    {{'k': 2, 'name': 'subject', 'value': 'Doc é ' || doc_id}},
+    {{'k': 3, 'name': 'received', 'value': 'from h' || doc_id || '.example.com (h [192.0.2.' || (doc_id % 256) || ']) by mx.example.org with ESMTP id ' || doc_id || '; Mon, 1 Jan 2024 00:00:00 +0000'}},
+    {{'k': 4, 'name': 'authentication-results', 'value': 'mx.example.org; spf=pass smtp.mailfrom=user' || doc_id || '@example.com; dkim=fail header.d=example.com'}},
+    {{'k': 5, 'name': 'mime-version', 'value': '1.0'}},
+    {{'k': 6, 'name': 'content-type', 'value': 'multipart/mixed; boundary="QQ0"'}}]) AS h FROM d
+  UNION ALL SELECT msg_key, 1, {{'k': 0, 'name': 'subject', 'value': 'inner ' || doc_id}} FROM d)
+SELECT msg_key, message_index, h.k::INT AS field_ordinal, h.k::INT AS name_ordinal, h.name AS name, 0 AS header_index, h.value AS value FROM h
 """
 
 
 def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.addresses(_taken_apart(spark, sf_dir))
+    return D.addresses(_taken_apart(spark, sf_dir, "addresses"))
 
 
 _ADDRESSES = f"""
@@ -143,7 +150,7 @@ UNION ALL SELECT msg_key, 0, 2, 'to', 'B, C', 'b' || doc_id || '@example.org', '
 
 
 def received_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.received(_taken_apart(spark, sf_dir)).withColumnRenamed("with", "with_").withColumnRenamed("for", "for_")
+    return D.received(_taken_apart(spark, sf_dir, "received")).withColumnRenamed("with", "with_").withColumnRenamed("for", "for_")
 
 
 _RECEIVED = f"""
@@ -154,19 +161,20 @@ SELECT msg_key, 0 AS message_index, 0 AS ordinal, 'h' || doc_id || '.example.com
 
 
 def auth_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = D.auth(_taken_apart(spark, sf_dir))
-    return d.select("msg_key", "message_index", "ordinal", "method", "result", F.concat_ws("=", F.map_keys("params")[0], F.map_values("params")[0]).alias("param"))
+    d = D.auth(_taken_apart(spark, sf_dir, "auth"))
+    shown = F.transform(F.array_sort(F.map_entries("params")), lambda p: F.concat_ws("=", p["key"], p["value"]))
+    return d.select("msg_key", "message_index", "ordinal", "method", "result", F.array_join(shown, ";").alias("params"))
 
 
 _AUTH = f"""
 WITH d AS ({_DOC})
-SELECT msg_key, 0 AS message_index, 0 AS ordinal, 'spf' AS method, 'pass' AS result, 'smtp.mailfrom=user' || doc_id || '@example.com' AS param FROM d
+SELECT msg_key, 0 AS message_index, 0 AS ordinal, 'spf' AS method, 'pass' AS result, 'smtp.mailfrom=user' || doc_id || '@example.com' AS params FROM d
 UNION ALL SELECT msg_key, 0, 1, 'dkim', 'fail', 'header.d=example.com' FROM d
 """
 
 
 def message_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _taken_apart(spark, sf_dir)
+    d = _taken_apart(spark, sf_dir, "events", "parts")
     a = D.links(d).select("msg_key", F.lit("anchor").alias("kind"), "href", "scheme", "host", "path", "query", "fragment", "text", "cid_part")
     return a.unionByName(D.resources(d).select("msg_key", F.lit("resource").alias("kind"), "href", "scheme", "host", "path", "query", "fragment", F.lit(None).cast("string").alias("text"), "cid_part"))
 
@@ -179,47 +187,45 @@ UNION ALL SELECT msg_key, 'resource', 'cid:pic' || doc_id, 'cid', NULL, 'pic' ||
 
 
 def message_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = D.bodies(_taken_apart(spark, sf_dir), EngineConfig(max_inline_body_bytes=4096))
-    return d.select("msg_key", "message_index", "text", "text_from_html", "text_bytes")
+    d = D.bodies(_taken_apart(spark, sf_dir, "parts", "text_from_html"))
+    return d.select("msg_key", "message_index", "text", "html", "text_from_html", "text_bytes", "html_bytes", "text_from_html_bytes")
 
 
 _BODIES = f"""
-WITH d AS ({_DOC})
-SELECT msg_key, 0 AS message_index, CASE WHEN strlen(text) <= 4096 THEN text END AS text, 'See doc ' || doc_id AS text_from_html, strlen(text)::BIGINT AS text_bytes FROM d
-UNION ALL SELECT msg_key, 1, 'inner body ' || doc_id, NULL, strlen('inner body ' || doc_id)::BIGINT FROM d
+WITH d AS ({_DOC}),
+b AS (SELECT msg_key, 0 AS message_index, text, {_HTML} AS html, 'See doc ' || doc_id AS text_from_html FROM d
+  UNION ALL SELECT msg_key, 1, 'inner body ' || doc_id, NULL, NULL FROM d)
+SELECT msg_key, message_index, CASE WHEN strlen(text) <= 262144 THEN text END AS text, html, text_from_html,
+  strlen(text)::BIGINT AS text_bytes, strlen(html)::BIGINT AS html_bytes, strlen(text_from_html)::BIGINT AS text_from_html_bytes FROM b
 """
 
 
 def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = D.artifacts(D.dissect(built_messages(spark, sf_dir)))
-    return a.where("kind in ('body_text', 'attachment', 'body_text_from_html')").select("msg_key", "message_index", "kind", "part_index", "filename", "size", "sha256")
+    d = D.dissect(built_messages(spark, sf_dir), EngineConfig(), ("eml", "header_block", "text_from_html", "parts"))
+    return D.artifacts(d).select("msg_key", "message_index", "kind", "part_index", "filename", "size", "sha256")
 
 
 _ARTIFACTS = f"""
-WITH d AS ({_DOC})
-SELECT msg_key, 0 AS message_index, 'body_text' AS kind, 1 AS part_index, '0-body.txt' AS filename, strlen(text)::BIGINT AS size, sha256(text) AS sha256 FROM d
-UNION ALL SELECT msg_key, 1, 'body_text', 0, '1-body.txt', strlen('inner body ' || doc_id)::BIGINT, sha256('inner body ' || doc_id) FROM d
-UNION ALL SELECT msg_key, 0, 'body_text_from_html', 2, '0-body-from-html.txt', strlen('See doc ' || doc_id)::BIGINT, sha256('See doc ' || doc_id) FROM d
+WITH d AS ({_DOC}),
+t AS (
+  SELECT msg_key, 0 AS message_index, 'eml' AS kind, NULL AS part_index, 'message-0.eml' AS filename, {filled_sql(HEAD + BODY, _FILL)} AS data FROM d
+  UNION ALL SELECT msg_key, 0, 'headers', NULL, 'headers-0.txt', {filled_sql(HEAD, _FILL)} FROM d
+  UNION ALL SELECT msg_key, 0, 'body_text', 1, '0-body.txt', text FROM d
+  UNION ALL SELECT msg_key, 0, 'body_html', 2, '0-body.html', {_HTML} FROM d
+  UNION ALL SELECT msg_key, 0, 'body_text_from_html', 2, '0-body-from-html.txt', 'See doc ' || doc_id FROM d
+  UNION ALL SELECT msg_key, 1, 'eml', NULL, 'message-1.eml', {filled_sql(("Subject: inner {n}", "", "inner body {n}"), _FILL)} FROM d
+  UNION ALL SELECT msg_key, 1, 'headers', NULL, 'headers-1.txt', 'Subject: inner ' || doc_id FROM d
+  UNION ALL SELECT msg_key, 1, 'body_text', 0, '1-body.txt', 'inner body ' || doc_id FROM d)
+SELECT msg_key, message_index, kind, part_index, filename, strlen(data)::BIGINT AS size, sha256(data) AS sha256 FROM t
 UNION ALL SELECT msg_key, 0, 'attachment', 3, 'p' || doc_id || '.PNG', octet_length({_PNG})::BIGINT, sha256({_PNG}) FROM d
 UNION ALL SELECT msg_key, 0, 'attachment', 4, 'part-4.bin', octet_length({_INNER})::BIGINT, sha256({_INNER}) FROM d
 """
 
 
 def message_observables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the headers and the HTML of the built messages mention, without their texts."""
-    m = D.mention_table(_taken_apart(spark, sf_dir)).where("source_kind <> 'body_text'")
-    o = observables(within_places(typed_mentions(m, R.for_config(EngineConfig())), EngineConfig().max_observable_places))
-    return o.where("type in ('email', 'ip')").select("msg_key", "message_index", "value", "type", "occurrences", F.size("sources").alias("n_sources"), "defanged")
-
-
-_OBSERVABLES = f"""
-WITH d AS ({_DOC})
-SELECT msg_key, 0 AS message_index, 'user' || doc_id || '@example.com' AS value, 'email' AS type, 1::BIGINT AS occurrences, 1 AS n_sources, false AS defanged FROM d
-UNION ALL SELECT msg_key, 0, 'smtp.mailfrom=user' || doc_id || '@example.com', 'email', 1, 1, false FROM d
-UNION ALL SELECT msg_key, 0, 'a@example.net', 'email', 1, 1, false FROM d
-UNION ALL SELECT msg_key, 0, 'b' || doc_id || '@example.org', 'email', 1, 1, false FROM d
-UNION ALL SELECT msg_key, 0, '192.0.2.' || (doc_id % 256), 'ip', 1, 1, false FROM d
-"""
+    """Everything that the built messages mention: in headers, texts and HTML."""
+    o = all_observables(written(_taken_apart(spark, sf_dir, "mentions"), "dissected"), R.for_config(EngineConfig()))
+    return o.select("msg_key", "message_index", "ordinal", "value", "type", "subtype", "value_raw", "defanged", "ambiguous", "occurrences", F.size("sources").alias("n_sources"))
 
 
 def flags_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,25 +246,43 @@ FROM documents
 
 
 def charset_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts as Latin-1 under a false declaration, read back through the ladder."""
+    """Texts in four encodings under true, false, unknown and missing declarations."""
+    k = F.col("p_partkey") % 4
     name = F.concat(F.lit("é-"), F.col("p_name"))
-    raw = F.concat(F.encode(F.lit("Subject: x\r\nContent-Type: text/plain; charset=utf-8\r\n\r\n"), "UTF-8"), F.encode(name, "ISO-8859-1"))
-    d = D.dissect(table(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey").alias("msg_key"), raw.alias("content")))
-    return D.mime_parts(d).select("msg_key", "text", "charset_declared", "charset_used")
+    latin, utf = F.encode(name, "ISO-8859-1"), F.encode(name, "UTF-8")
+    declared = F.when(k == 0, "; charset=utf-8").when(k == 1, "; charset=iso-8859-1").when(k == 2, "; charset=x-none").otherwise("")
+    raw = F.concat(F.encode(F.concat(F.lit("Subject: x\r\nContent-Type: text/plain"), declared, F.lit("\r\n\r\n")), "UTF-8"), F.when(k <= 1, latin).otherwise(utf))
+    d = D.dissect(table(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey").alias("msg_key"), raw.alias("content")), EngineConfig(), ("parts",))
+    flagged = d.select("msg_key", F.array_contains("flags", "encoding_fallback").alias("fell_back"))
+    return D.mime_parts(d).select("msg_key", "text", "charset_declared", "charset_used").join(flagged, "msg_key")
 
 
-_CHARSET = "SELECT 'p' || p_partkey AS msg_key, 'é-' || p_name AS text, 'utf-8' AS charset_declared, 'cp1252' AS charset_used FROM part"
+_CHARSET = """
+SELECT 'p' || p_partkey AS msg_key, 'é-' || p_name AS text, [ 'utf-8', 'iso-8859-1', 'x-none', NULL ][p_partkey % 4 + 1] AS charset_declared,
+  [ 'cp1252', 'iso8859-1', 'utf-8', 'utf-8' ][p_partkey % 4 + 1] AS charset_used, p_partkey % 4 IN (0, 2) AS fell_back FROM part
+"""
 
 
 def dissect_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    messages = built_messages(spark, sf_dir)
-    d = written(D.dissect(messages, EngineConfig(keep_payloads=False)), "dissected")
-    j = dissected_json(messages, d, R.for_config(EngineConfig()))
+    d = written(D.dissect(built_messages(spark, sf_dir), EngineConfig(keep_payloads=False)), "dissected")
+    j = dissected_json(d, R.for_config(EngineConfig()))
     get = lambda path: F.get_json_object("json", path)
-    return j.select("msg_key", "ok", get("$.messages[0].headers.subject[0]").alias("subject"), get("$.messages[1].depth").alias("inner_depth"), get("$.messages[0].attachments[0].filename").alias("attachment"))
+    shown = {
+        "size": "$.source.size", "subject": "$.messages[0].headers.subject[0]", "inner_depth": "$.messages[1].depth", "second_to": "$.messages[0].addresses[2].address", "hop": "$.messages[0].received[0].from_ip",
+        "spf": "$.messages[0].auth[0].params['smtp.mailfrom']", "inner_text": "$.messages[1].body.text", "last_part": "$.messages[0].mime_parts[4].content_type", "attachment": "$.messages[0].attachments[0].filename",
+        "link": "$.messages[0].links[0].href", "picture": "$.messages[0].resources[0].cid_part", "first_value": "$.messages[0].observables[0].value", "first_source": "$.messages[0].observables[0].sources[0].header_name",
+        "extractor": "$.tools.extractor", "flags": "$.flags",
+    }
+    return j.select("msg_key", "ok", *(get(path).alias(name) for name, path in shown.items()))
 
 
-_JSON = f"WITH d AS ({_DOC}) SELECT msg_key, true AS ok, 'Doc é ' || doc_id AS subject, '1' AS inner_depth, 'p' || doc_id || '.PNG' AS attachment FROM d"
+_JSON = f"""
+WITH d AS ({_DOC})
+SELECT msg_key, true AS ok, strlen({filled_sql(HEAD + BODY, _FILL)})::VARCHAR AS size, 'Doc é ' || doc_id AS subject, '1' AS inner_depth, 'b' || doc_id || '@example.org' AS second_to,
+  '192.0.2.' || (doc_id % 256) AS hop, 'user' || doc_id || '@example.com' AS spf, 'inner body ' || doc_id AS inner_text, 'message/rfc822' AS last_part, 'p' || doc_id || '.PNG' AS attachment,
+  'https://example.org/d/' || doc_id || '?q=1#f' AS link, '3' AS picture, 'user' || doc_id || '@example.com' AS first_value, 'from' AS first_source, 'disabled' AS extractor, '[]' AS flags
+FROM d
+"""
 
 
 # -- scalars ---------------------------------------------------------------------------
@@ -384,7 +408,8 @@ SELECT host AS domain, regexp_extract(host, '\.([a-z]+)$', 1) AS suffix, count(*
 
 def _observed(texts: DataFrame, key: str, text: str) -> DataFrame:
     m = text_mentions(texts, key, text)
-    o = observables(within_places(typed_mentions(m, R.for_config(EngineConfig())), EngineConfig().max_observable_places))
+    typed = written(typed_mentions(m, R.for_config(EngineConfig())), "typed")
+    o = observables(within_places(typed, EngineConfig().max_observable_places))
     return o.select(F.col("msg_key").cast("long").alias(key), "value", "type", "ordinal", "value_raw", "subtype", "defanged", "ambiguous", "occurrences")
 
 
@@ -485,5 +510,5 @@ ORACLES: dict[str, str] = {
     "top_domains": _TOP, "hash_documents": _HASH, "sniff_payloads": _SNIFF, "file_names": _NAMES, "html_links": _HTML_LINKS, "html_settled": _SETTLED, "url_parts_pages": _URL, "host_suffix": _SUFFIX,
     "unwrap_links": _UNWRAP, "emails_documents": _EMAILS, "observable_dedup": _dedup_sql(_INJECTED), "place_cap": _dedup_sql(_CAPPED), "mime_parts": _MIME, "attachments": _ATTACHMENTS,
     "message_nesting": _NESTING, "headers_map": _HEADERS, "addresses": _ADDRESSES, "received_hops": _RECEIVED, "auth_results": _AUTH, "message_links": _LINKS, "message_bodies": _BODIES,
-    "artifacts": _ARTIFACTS, "message_observables": _OBSERVABLES, "flags_rollup": _FLAGS, "charset_ladder": _CHARSET, "dissect_json": _JSON,
+    "artifacts": _ARTIFACTS, "flags_rollup": _FLAGS, "charset_ladder": _CHARSET, "dissect_json": _JSON,
 }

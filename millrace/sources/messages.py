@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.config import EngineConfig
+from millrace.functions.mime import form_field
+from millrace.workspace import mapped
 
 TOO_LARGE = "TOO_LARGE"
 
@@ -28,3 +33,18 @@ def stream_messages(spark: SparkSession, path: str, glob: str = "*.eml") -> Data
     """The same as a stream of files as they come."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", glob).load(path)
     return with_keys(files).select("msg_key", "path", "length", "content")
+
+
+def form_messages(posted: DataFrame, body: str = "body", content_type: str = "content_type", field: str = "eml") -> DataFrame:
+    """(msg_key, content) of posted bodies: the field of a form, else the body as it is. A form
+    without the field has a null content."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw, kind in zip(*batch.columns, strict=True):
+                data, said = raw.as_py(), kind.as_py() or ""
+                if data is not None and said.strip().lower().startswith("multipart/form-data"):
+                    data = form_field(data, said, field)
+                yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["content"])
+
+    return with_keys(mapped(posted.select(F.col(body).cast("binary"), F.col(content_type)), run, "content binary")).select("msg_key", "content")

@@ -24,6 +24,8 @@ from pyspark.sql.types import StructType
 _SHIPPED: set[str] = set()
 #: Bytes of a batch that goes to Python, where the session names none; Spark's own bound is 64 MB.
 BATCH_BYTES = 8 << 20
+#: Bytes of an input, as Spark estimates them, up to which its rows are dealt out before long work on each.
+SMALL_BYTES = 64 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -129,6 +131,15 @@ def partitions(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * slots(spark))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small input dealt to all slots. A small file may be one row group, and so one
+    task's work, however long each row takes; a large one has splits enough."""
+    n = slots(df.sparkSession)
+    if df.isStreaming or n < 2 or df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() > SMALL_BYTES:
+        return df
+    return df.repartition(n)
+
+
 def release(spark: SparkSession) -> None:
     """Delete all tables that this application has written to the shared folder. Frames that
     read them can no longer be computed."""

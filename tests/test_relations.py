@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from millrace import queries as Q
+from millrace import queries, tool_queries
 from millrace.config import EngineConfig
 from millrace.functions import scalars
 from millrace.operators import assemble as A
@@ -15,14 +15,18 @@ from millrace.sources import registries as R
 from millrace.sources.messages import read_messages, stream_messages, with_keys
 
 
-@pytest.mark.parametrize("name", sorted(Q.ORACLES))
+QUERIES = queries.QUERIES | tool_queries.QUERIES
+ORACLES = queries.ORACLES | tool_queries.ORACLES
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_against_sql(spark, sf, duck, same_rows, name):
-    same_rows(Q.QUERIES[name](spark, sf).toPandas(), duck.sql(Q.ORACLES[name]).df())
+    same_rows(QUERIES[name](spark, sf).toPandas(), duck.sql(ORACLES[name]).df())
 
 
-@pytest.mark.parametrize("name", sorted(set(Q.QUERIES) - set(Q.ORACLES)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_runs(spark, sf, name):
-    assert Q.QUERIES[name](spark, sf).count() >= 0
+    assert QUERIES[name](spark, sf).count() >= 0
 
 
 def test_suffixes(spark):
