@@ -25,12 +25,12 @@ from __future__ import annotations
 
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,16 +52,29 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _MASK = (1 << BITS) - 1
 
 
-def word_terms(word: str) -> tuple[int, ...]:
-    """Buckets of a word: itself and its prefixes."""
-    return tuple(zlib.crc32(t.encode("utf-8", "surrogatepass")) & _MASK for t in (f"={word}", *(word[:n] for n in (4, 5, 6) if len(word) >= n)))
+def word_buckets(words: list[str]) -> np.ndarray:
+    """Buckets of each word: of itself and of its first four, five and six letters; -1 if it has fewer."""
+    out = np.full((len(words), 4), -1, np.int64)
+    if not words:
+        return out
+    out[:, 0] = [xxhash.xxh32_intdigest(w.encode("utf-8", "surrogatepass")) & _MASK for w in words]
+    letters = np.array(words, "U6").view(np.uint32).reshape(-1, 6).astype(np.uint64)
+    h = np.full(len(words), 0x9E3779B97F4A7C15, np.uint64)
+    for k in range(6):
+        h = (h ^ letters[:, k]) * np.uint64(0xFF51AFD7ED558CCD)
+        h ^= h >> np.uint64(32)
+        if k >= 3:
+            out[:, k - 2] = np.where(letters[:, k] > 0, (h & np.uint64(_MASK)).astype(np.int64), -1)
+    return out
+
+
+def text_words(text: str) -> set[str]:
+    return set(_LETTERS.findall(text.lower()))
 
 
-def text_terms(text: str) -> set[int]:
-    found: set[int] = set()
-    for w in set(_LETTERS.findall(text.lower())):
-        found.update(word_terms(w))
-    return found
+def text_terms(text: str) -> np.ndarray:
+    found = np.unique(word_buckets(list(text_words(text))))
+    return found[found >= 0].astype(np.int32)
 
 
 class _Sums:
@@ -137,24 +150,29 @@ class Scorer:
     """A fitted machine with the buckets its terms stand for."""
 
     def __init__(self, buckets: np.ndarray, machine: FactorizationMachine):
-        number = np.full(1 << BITS, -1, np.int32)
-        number[buckets] = np.arange(len(buckets), dtype=np.int32)
-        self.number = array("i", number.tobytes())
+        #: The term of each bucket, -1 if it has none; one more for no bucket.
+        self.number = np.full((1 << BITS) + 1, -1, np.int32)
+        self.number[buckets] = np.arange(len(buckets), dtype=np.int32)
         self.machine = machine
 
-    def score(self, texts: list[str], known: dict[str, tuple[int, ...]]) -> np.ndarray:
+    def learn(self, words: list[str], known: dict[str, list[int]]) -> None:
+        """The terms of words, each with those that it has."""
+        terms = self.number[word_buckets(words)]
+        some = terms >= 0
+        ends = np.cumsum(some.sum(1)).tolist()
+        flat, at = terms[some].tolist(), 0
+        for w, end in zip(words, ends, strict=True):
+            known[w] = flat[at:end]
+            at = end
+
+    def score(self, texts: list[str], known: dict[str, list[int]]) -> np.ndarray:
+        words = [text_words(t) for t in texts]
+        self.learn(list(set().union(*words).difference(known)), known)
         at: list[int] = []
         size = np.zeros(len(texts), np.int64)
-        number = self.number
-        for k, t in enumerate(texts):
-            found: set[int] = set()
-            for w in set(_LETTERS.findall(t.lower())):
-                terms = known.get(w)
-                if terms is None:
-                    terms = known[w] = tuple(number[b] for b in word_terms(w) if number[b] >= 0)
-                if terms:
-                    found.update(terms)
-            at += sorted(found)
+        for k, ws in enumerate(words):
+            found = sorted(set().union(*map(known.__getitem__, ws)))
+            at += found
             size[k] = len(found)
         z = self.machine.logits(np.array(at, np.int64), np.repeat(np.arange(len(texts)), size), len(texts))
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
@@ -173,7 +191,7 @@ def _sample_terms(docs: DataFrame, labels: DataFrame, key: str, text: str, label
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "t"):
-                terms = [np.sort(np.fromiter(text_terms(t), np.int32)) for t in strings(piece, "t")]
+                terms = [text_terms(t) for t in strings(piece, "t")]
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(terms, pa.list_(pa.int32()))], names=["y", "terms"])
 
     # The sample's size is bounded by the parameter, so its ids can be broadcast.
@@ -233,7 +251,7 @@ def score_documents(docs: DataFrame, scorer: Scorer, key: str = "doc_id", text:
         schema = docs.select(key).schema.add(name, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[int, ...]] = {}
+        known: dict[str, list[int]] = {}
         for batch in batches:
             for piece in pieces(batch, text):
                 if len(known) > KNOWN_WORDS:
