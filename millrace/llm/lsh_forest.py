@@ -50,7 +50,7 @@ WORDS, THRESHOLD = 5, 0.8
 #: Minima of a label beyond its root's; of 16 bits each.
 TREES, EXTRA, RECALL = 36, 2, 0.9999
 #: Classes of a block under a prefix; classes and shingles of a verified block.
-SCREENED, BLOCK, BLOCK_SHINGLES = 2048, 1024, 1 << 19
+SCREENED, BLOCK, BLOCK_SHINGLES = 1024, 1024, 1 << 18
 #: Rows (of some 100 bytes) of a table of ids that is broadcast.
 BROADCAST_ROWS = 200_000
 #: Words whose hashes a task remembers, and the longest of them.
@@ -183,7 +183,7 @@ class _Root:
         alike = bits @ bits.T / self.width  # the estimate of similarity
         self.count(alike)
         near = alike >= self.near
-        self.walk(near, rep, tail)
+        self.walk(np.triu(near, 1), rep, tail)  # each pair once
         near &= self.same(tail, tail, EXTRA)
         led = np.zeros(len(rep), bool)
         if len(self.lead_rep):
