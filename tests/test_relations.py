@@ -118,3 +118,50 @@ def test_files_and_streams(spark, tmp_path):
     assert q.awaitTermination(60)
     streamed = spark.read.parquet(str(tmp_path / "out"))
     assert {r.msg_key for r in streamed.collect()} == {r.msg_key for r in read_messages(spark, str(tmp_path / "in")).collect()}
+
+
+def test_a_part_of_the_fields_is_what_all_give(spark):
+    raw = [RAW, b"Subject: x\r\nReceived: from a by b; c\r\n\r\ny http://w.example/", b"no header"]
+    messages = with_keys(spark.createDataFrame([(bytearray(x),) for x in raw], "content binary"))
+    whole = D.dissect(messages)
+    for fields, relation in ((("headers",), D.headers), (("addresses",), D.addresses), (("received",), D.received), (("parts",), D.mime_parts), (("parts",), D.attachments), (("mentions",), D.mention_table), (("events", "parts"), D.links)):
+        rows = lambda d: sorted(map(str, relation(d).collect()))
+        assert rows(D.dissect(messages, fields=fields)) == rows(whole)
+    with pytest.raises(ValueError):
+        D.dissect(messages, fields=("header",))
+
+
+def test_what_is_late_is_left_and_flagged():
+    inner = b"Content-Type: multipart/mixed; boundary=B\r\n\r\n--B\r\nContent-Type: message/rfc822\r\n\r\nSubject: in\r\n\r\nx\r\n--B--\r\n"
+    ticks = iter(range(1000))
+    row = D.dissect_bytes(inner, EngineConfig(max_input_millis=1), clock=lambda: next(ticks))
+    assert row["ok"] and row["flags"] == ["truncated"] and len(row["messages"]) == 1
+    assert len(D.dissect_bytes(inner, EngineConfig())["messages"]) == 2
+
+
+def test_observed_counts(spark):
+    messages = with_keys(spark.createDataFrame([(bytearray(RAW),), (bytearray(b"no"),)], "content binary"))
+    d, seen = D.observed(D.dissect(messages))
+    d.write.format("noop").mode("overwrite").save()
+    assert seen.get == {"inputs": 2, "failed": 1, "messages": 1}
+
+
+def test_tool_states_and_a_renderer_that_fails(spark):
+    raw = b"Subject: x\r\nContent-Type: text/html\r\n\r\n<p>x</p>"
+    messages = with_keys(spark.createDataFrame([(bytearray(raw),), (bytearray(b"Subject: y\r\n\r\nz"),)], "content binary"))
+    d = D.dissect(messages)
+    payloads = A.render_payloads(d)
+    for answer, state in (((b"i", "image/png", "ok"), "ok"), ((b"i", "text/html", "ok"), "down"), ((b"", "image/png", "ok"), "down"), ((None, None, "timeout"), "timeout")):
+        rendered = A.render_messages(payloads, lambda html, assets, a=answer: a)
+        assert [(r.state, r.image is None) for r in rendered.collect()] == [(state, state != "ok")]
+        assert sorted(tuple(r)[1:] for r in A.tool_states(d, None, rendered).collect()) == sorted([("disabled", state), ("disabled", "skipped")])
+    assert [r.state for r in A.render_messages(payloads, lambda html, assets: 1 / 0).collect()] == ["down"]
+
+
+def test_flags_of_places_and_runs(spark):
+    many = b"Subject: x\r\n\r\n" + b" ".join(b"u%d@example.org" % k for k in range(9))
+    messages = with_keys(spark.createDataFrame([(bytearray(many),), (bytearray(b"Subject: y\r\n\r\nz"),)], "content binary"))
+    d = D.dissect(messages)
+    assert sorted(r.flags for r in A.flags(d, R.load(), EngineConfig(max_observable_places=4)).collect()) == [[], ["truncated"]]
+    assert {tuple(r.flags) for r in A.flags(d, R.load()).collect()} == {()}
+    assert A.all_observables(d, R.load(), EngineConfig(max_observable_places=4)).count() == 4
