@@ -10,6 +10,7 @@ from millrace.config import EngineConfig
 from millrace.functions import scalars
 from millrace.operators import assemble as A
 from millrace.operators import dissect as D
+from millrace.plans import components
 from millrace.plans.components import connected_components
 from millrace.sources import registries as R
 from millrace.sources.messages import read_messages, stream_messages, with_keys
@@ -51,7 +52,9 @@ def test_scalars(spark):
     assert [r[0] for r in types.select(scalars.is_document(F.col("t"))).collect()] == [True, False, False]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [200_000, 0])
+def test_components(spark, monkeypatch, small):
+    monkeypatch.setattr(components, "BROADCAST_EDGES", small)
     rng = random.Random(1)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000 + k, 1001 + k) for k in range(60)] + [(5000, 5001 + k) for k in range(300)] + [(7, 7)]
     parent = {}
