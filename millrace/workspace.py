@@ -69,9 +69,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Written:
-    """A table written to the shared folder; ``drop`` removes its files."""
+    """A table written to the shared folder; ``drop`` removes its files. With ``few``, for a
+    small result of many tasks, several of them write to one file."""
 
-    def __init__(self, df: DataFrame, name: str):
+    def __init__(self, df: DataFrame, name: str, few: bool = False):
+        if few:
+            df = df.coalesce(2 * slots(df.sparkSession))
         spark = df.sparkSession
         self.spark = spark
         self.path = f"{shared_dir(spark)}/millrace/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
