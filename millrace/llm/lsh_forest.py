@@ -362,7 +362,7 @@ def _classes(docs: DataFrame, key: str, text: str, threshold: float) -> tuple[Da
     whole = Written(whole.select("rep", "at.id", "at.mark", "mult", "size", "roots", "tails", "bits"), "classes").df
     labels = whole.select("rep", "bits", F.explode(F.arrays_zip("roots", "tails")).alias("x")).select(F.col("x.roots").alias("job"), F.col("x.tails").alias("tail"), "rep", "bits")
     labels = labels.repartition(partitions(spark), "job").sortWithinPartitions("job", "tail")
-    edges = Written(mapped(labels, _nodes(roots, threshold), EDGES), "edges").df
+    edges = Written(mapped(labels, _nodes(roots, threshold), EDGES), "edges", few=True).df
     groups = connected_components(edges.where(F.col("u").isNotNull() & (F.col("level") >= _matched(edges))).select("u", "v"))
     asked = groups.join(whole.select("rep", "id", "mark", "mult", "size"), F.col("node") == F.col("rep"))
     sizes = asked.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
@@ -378,7 +378,7 @@ def _classes(docs: DataFrame, key: str, text: str, threshold: float) -> tuple[Da
     at = F.pmod(F.xxhash64("group") + (high * (high + 1) / 2).cast("long") + low, F.lit(partitions(spark))).cast("int")
     jobs = jobs.select(at.alias("at"), F.xxhash64("group", low, high).alias("job"), (F.col("b") > F.col("o")).cast("int").alias("side"), "rep", "mult", "set")
     jobs = jobs.repartitionById(partitions(spark), "at").drop("at").sortWithinPartitions("job")
-    found = Written(mapped(jobs, _verify(threshold), "u long, v long, n long"), "found").df
+    found = Written(mapped(jobs, _verify(threshold), "u long, v long, n long"), "found", few=True).df
     links = found.where("n is not null").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n"))
     parts = connected_components(found.where("v is not null").select("u", "v")).withColumnRenamed("node", "rep")
     member = whole.select("rep", "id", "mark", "mult").join(links, "rep", "left").join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep"))

@@ -202,7 +202,7 @@ def range_join(df: DataFrame, key: str = "vec_id", vector: str = "embedding", la
     whole = Written(reps.select(F.xxhash64("code").alias("rep"), "id", "mult", F.xxhash64("label", F.size("unit")).alias("cell"), "unit"), "reps").df
     rows = whole.select("cell", "rep", "mult", "unit", F.lit(True).alias("home"))
     jobs = _jobs(cells(rows, math.sqrt(max(0.0, 2 - 2 * least))))
-    found = Written(mapped(jobs, _join_blocks(least), "u long, v long, n long"), "links").df
+    found = Written(mapped(jobs, _join_blocks(least), "u long, v long, n long"), "links", few=True).df
     links = found.where("n is not null").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n"))
     parts = connected_components(found.where("v is not null").select("u", "v"))
     member = whole.select("rep", "id", "mult").join(links, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
