@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from millrace.config import EngineConfig
 from millrace.functions import scalars
+from millrace.functions.html import BLOCKS
 from millrace.functions.urls import UnwrapRule
 from millrace.operators import dissect as D
 from millrace.operators import spans as S
@@ -343,6 +344,15 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.html_texts(table(spark, sf_dir, "pages"), "page_id", "html")
 
 
+_BLOCK_TAGS = "|".join(sorted(BLOCKS))
+_HTML_TEXT = rf"""
+WITH a AS (SELECT page_id, regexp_replace(coalesce(html, ''), '<!--.*?-->|<(style|script|template)[^>]*>.*?</(style|script|template)>', '', 'gs') AS t FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '</?({_BLOCK_TAGS})( [^>]*)?>|<br[^>]*>', chr(10), 'gi'), '<t[dh][^>]*>', ' ', 'gi'), '<[^>]*>', '', 'g') AS t FROM a),
+c AS (SELECT page_id, replace(replace(replace(replace(t, '&copy;', chr(169)), '&middot;', chr(183)), '&quot;', '"'), '&amp;', '&') AS t FROM b)
+SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(t, '[ \t\f\x0b]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS text FROM c
+"""
+
+
 def html_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """White space of documents as a reader would see it."""
     return table(spark, sf_dir, "documents").select("doc_id", scalars.settled_text(F.col("text")).alias("text"))
@@ -507,7 +517,7 @@ QUERIES = {
     )
 }
 ORACLES: dict[str, str] = {
-    "top_domains": _TOP, "hash_documents": _HASH, "sniff_payloads": _SNIFF, "file_names": _NAMES, "html_links": _HTML_LINKS, "html_settled": _SETTLED, "url_parts_pages": _URL, "host_suffix": _SUFFIX,
+    "top_domains": _TOP, "hash_documents": _HASH, "sniff_payloads": _SNIFF, "file_names": _NAMES, "html_links": _HTML_LINKS, "html_settled": _SETTLED, "html_text": _HTML_TEXT, "url_parts_pages": _URL, "host_suffix": _SUFFIX,
     "unwrap_links": _UNWRAP, "emails_documents": _EMAILS, "observable_dedup": _dedup_sql(_INJECTED), "place_cap": _dedup_sql(_CAPPED), "mime_parts": _MIME, "attachments": _ATTACHMENTS,
     "message_nesting": _NESTING, "headers_map": _HEADERS, "addresses": _ADDRESSES, "received_hops": _RECEIVED, "auth_results": _AUTH, "message_links": _LINKS, "message_bodies": _BODIES,
     "artifacts": _ARTIFACTS, "flags_rollup": _FLAGS, "charset_ladder": _CHARSET, "dissect_json": _JSON,

@@ -171,6 +171,53 @@ FROM part
 """
 
 
+# -- the grammar -----------------------------------------------------------------------
+
+#: A text for each row of ``part``, and what it mentions, in order: value, type, what was written
+#: (null: the value), subtype, defanged, occurrences. What stands in braces is of the row.
+CASES = (
+    "(see https://h{n}.example.org/p_(x)?q=1). u{n}@mail.example.com, www.w{n}.example.net/a; b{n}.example.net/path! 203.0.113.{byte}. 2001:DB8::{byte} {md5} {sha} report{n}.pdf t{n}.example.net "
+    "hxxps://d{n}[.]example[.]org/x v{n}(at)example[.]com mailto:a{n}@example.net,c{n}@example.net http://bücher.example.org/{n} http://[2001:db8:1::7]:8080/{n} <u{n}@mail.example.com> 300.1.1.1",
+)
+MENTIONED = (
+    ("https://h{n}.example.org/p_(x)?q=1", "url", None, None, False, 1), ("h{n}.example.org", "domain", "https://h{n}.example.org/p_(x)?q=1", None, False, 1),
+    ("u{n}@mail.example.com", "email", None, None, False, 2), ("mail.example.com", "domain", "u{n}@mail.example.com", None, False, 2),
+    ("www.w{n}.example.net/a", "url", None, None, False, 1), ("www.w{n}.example.net", "domain", "www.w{n}.example.net/a", None, False, 1),
+    ("b{n}.example.net/path", "url", None, None, False, 1), ("b{n}.example.net", "domain", "b{n}.example.net/path", None, False, 1),
+    ("203.0.113.{byte}", "ip", None, "ipv4", False, 1), ("2001:db8::{byte}", "ip", "2001:DB8::{byte}", "ipv6", False, 1),
+    ("{low}", "hash", "{md5}", "md5", False, 1), ("{sha}", "hash", None, "sha256", False, 1), ("report{n}.pdf", "filename", None, None, False, 1), ("t{n}.example.net", "domain", None, None, False, 1),
+    ("https://d{n}.example.org/x", "url", "hxxps://d{n}[.]example[.]org/x", None, True, 1), ("d{n}.example.org", "domain", "hxxps://d{n}[.]example[.]org/x", None, True, 1),
+    ("v{n}@example.com", "email", "v{n}(at)example[.]com", None, True, 1), ("example.com", "domain", "v{n}(at)example[.]com", None, True, 1),
+    ("mailto:a{n}@example.net", "url", None, None, False, 1), ("a{n}@example.net", "email", "mailto:a{n}@example.net", None, False, 1), ("example.net", "domain", "mailto:a{n}@example.net", None, False, 2),
+    ("c{n}@example.net", "email", None, None, False, 1),
+    ("http://xn--bcher-kva.example.org/{n}", "url", "http://bücher.example.org/{n}", None, False, 1), ("xn--bcher-kva.example.org", "domain", "http://bücher.example.org/{n}", None, False, 1),
+    ("http://[2001:db8:1::7]:8080/{n}", "url", None, None, False, 1), ("2001:db8:1::7", "ip", "http://[2001:db8:1::7]:8080/{n}", "ipv6", False, 1),
+)
+
+
+def grammar_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every kind of mention in one text: found, typed by the registries, deduplicated, in order."""
+    n = F.col("p_partkey").cast("string")
+    values = {"n": n, "byte": (F.col("p_partkey") % 250 + 1).cast("string"), "md5": F.upper(F.md5(n.cast("binary"))), "sha": F.sha2(n.cast("binary"), 256)}
+    texts = table(spark, sf_dir, "part").select("p_partkey", F.decode(filled(CASES, values), "UTF-8").alias("t"))
+    typed = written(typed_mentions(text_mentions(texts, "p_partkey", "t"), R.for_config(EngineConfig())), "typed")
+    o = observables(within_places(typed, EngineConfig().max_observable_places))
+    return o.select(F.col("msg_key").cast("long").alias("p_partkey"), "ordinal", "value", "type", "value_raw", "subtype", "defanged", "occurrences", F.size("sources").alias("n_sources"))
+
+
+def _mentioned_sql() -> str:
+    fill = {"n": "p_partkey", "byte": "(p_partkey % 250 + 1)", "md5": "upper(md5(p_partkey::VARCHAR))", "low": "md5(p_partkey::VARCHAR)", "sha": "sha256(p_partkey::VARCHAR)"}
+    said = lambda x: "NULL" if x is None else f"'{x}'"
+    rows = [
+        f"{{'ordinal': {k}, 'value': {filled_sql((value,), fill)}, 'type': '{kind}', 'raw': {filled_sql((raw or value,), fill)}, 'subtype': {said(subtype)}, 'defanged': {str(defanged).lower()}, 'n': {n}}}"
+        for k, (value, kind, raw, subtype, defanged, n) in enumerate(MENTIONED)
+    ]
+    return f"""
+SELECT p_partkey::BIGINT AS p_partkey, m.ordinal::INT AS ordinal, m.value AS value, m.type AS type, m.raw AS value_raw, m.subtype AS subtype, m.defanged AS defanged, m.n::BIGINT AS occurrences, 1 AS n_sources
+FROM (SELECT p_partkey, unnest([{", ".join(rows)}]) AS m FROM part)
+"""
+
+
 # -- HTML, SQL functions, streams ------------------------------------------------------
 
 def html_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,9 +270,9 @@ _STREAMED = "SELECT 'p' || p_partkey AS msg_key, 0 AS message_index, 'subject' A
 
 QUERIES = {
     f.__name__: f
-    for f in (form_intake, render_payloads, tool_answers, tool_artifacts, artifact_lookup, truncated_places, run_counts, html_resources, sql_functions, stream_dissect)
+    for f in (grammar_cases, form_intake, render_payloads, tool_answers, tool_artifacts, artifact_lookup, truncated_places, run_counts, html_resources, sql_functions, stream_dissect)
 }
 ORACLES: dict[str, str] = {
-    "form_intake": _FORMS, "render_payloads": _PAYLOADS, "tool_answers": _ANSWERS, "tool_artifacts": _TOOL_ARTIFACTS, "artifact_lookup": _LOOKUP, "truncated_places": _TRUNCATED, "run_counts": _COUNTS,
+    "grammar_cases": _mentioned_sql(), "form_intake": _FORMS, "render_payloads": _PAYLOADS, "tool_answers": _ANSWERS, "tool_artifacts": _TOOL_ARTIFACTS, "artifact_lookup": _LOOKUP, "truncated_places": _TRUNCATED, "run_counts": _COUNTS,
     "html_resources": _RESOURCES, "sql_functions": _FUNCTIONS, "stream_dissect": _STREAMED,
 }

@@ -168,3 +168,28 @@ def test_flags_of_places_and_runs(spark):
     assert sorted(r.flags for r in A.flags(d, R.load(), EngineConfig(max_observable_places=4)).collect()) == [[], ["truncated"]]
     assert {tuple(r.flags) for r in A.flags(d, R.load()).collect()} == {()}
     assert A.all_observables(d, R.load(), EngineConfig(max_observable_places=4)).count() == 4
+
+
+def plain_observables(text, registry):
+    """What a text mentions, gathered in one loop."""
+    from millrace.functions.grammar import mentions
+
+    found = {}
+    for m in mentions(text or ""):
+        typed = [(m.kind, m.value)] if m.kind not in ("token", "host") else []
+        known = m.host is not None and registry.public_suffix(m.host) is not None
+        is_file = m.kind == "token" and "." in m.value and m.value.rsplit(".", 1)[-1].lower() in registry.extensions
+        typed += [("domain", m.host)] * known + [("filename", m.value)] * is_file
+        for kind, value in typed:
+            o = found.setdefault((value, kind), [m.raw, m.subtype, m.defanged, known and is_file and m.kind == "token", 0])
+            o[-1] += 1
+    return [(n, value, kind, *o) for n, ((value, kind), o) in enumerate(found.items())]
+
+
+@pytest.mark.parametrize("name, key, texts", [("observables_documents", "doc_id", "documents"), ("observables_pages", "page_id", None)])
+def test_observables_against_a_loop(spark, sf, name, key, texts):
+    r = R.load()
+    rows = spark.read.parquet(f"{sf}/documents.parquet") if texts else queries.html_text(spark, sf)
+    want = sorted(((getattr(x, key), *o) for x in rows.collect() for o in plain_observables(x.text, r)), key=str)
+    got = QUERIES[name](spark, sf).select(key, "ordinal", "value", "type", "value_raw", "subtype", "defanged", "ambiguous", "occurrences")
+    assert sorted(map(tuple, got.collect()), key=str) == want and len(want) > 5
