@@ -2,6 +2,14 @@
 
 Each stage reads what its predecessor wrote and returns a DataFrame; ``run`` writes each
 to the shared folder and reads it again.
+
+Defined results, stage by stage: quality rules reject null, empty and short texts, so no later
+stage of ``run`` meets them, but each stage takes them if it is given them: toxicity scores them
+by its bias, the Jaccard join keeps every row without words, the mix deals them as rows without
+tokens, BPE gives them no ids. Ties and repeated rows: one row of a class of copies stays, that
+with the least id (null ids last, then the least digest); the mix may repeat what stays. Null ids
+and null sources are values like others; extra columns, whatever their names, pass through all
+stages but the last, which returns ``doc_id`` and the digests. Empty tables give empty tables.
 """
 
 from __future__ import annotations

@@ -218,6 +218,28 @@ def test_pipeline(spark, sf):
     assert corpus_pipeline.run(spark, sf).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
 
+def test_pipeline_of_odd_rows(spark, odd_docs, no_docs, tmp_path):
+    """Each stage takes nulls, empty and long texts, repeated rows, clashing names and an empty table."""
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(1, 0, 1), (2, 0, 0), (6, 1, 0), (7, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    clashing = odd_docs.withColumnsRenamed({"n_chars": "_h", "rep": "row"}).withColumn("_score", odd_docs.doc_id).withColumn("mark", odd_docs.lang).withColumn("n_tokens", odd_docs.doc_id)
+    for docs in (clashing, clashing.where("doc_id is null"), clashing.limit(0), no_docs):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            rows = out.collect()
+            if name == "bpe":
+                assert len(rows) == docs.count() and out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            else:
+                assert out.columns == docs.columns and len(rows) <= 2 * docs.count(), name
+                assert set(map(str, rows)) <= set(map(str, docs.collect())), name
+        left = docs
+        for name, stage in corpus_pipeline.STAGES:
+            left = stage(spark, left, str(tmp_path))
+        left.collect()
+
+
 def quality_then_all(spark, sf):
     import corpus_pipeline
 
