@@ -436,6 +436,23 @@ def observables_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _observed(S.html_texts(table(spark, sf_dir, "pages"), "page_id", "html"), "page_id", "text")
 
 
+def _observed_sql(key: str, source: str) -> str:
+    """What the tables' texts mention: addresses with their domains, IPv4 addresses, SHA-1 digests."""
+    return rf"""
+WITH t AS ({source}),
+a AS (SELECT k, regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9_+-]+(?:\.[A-Za-z0-9_+-]+)*@(?:[A-Za-z0-9-]+\.)+[A-Za-z0-9]+|\b\d{{1,3}}(?:\.\d{{1,3}}){{3}}\b|\b[0-9a-fA-F]{{40}}\b') AS found FROM t),
+m AS (SELECT k, unnest(range(1, len(found) + 1)) AS i, unnest(found) AS raw FROM a),
+o AS (
+  SELECT k, i, 0 AS fan, CASE WHEN contains(raw, '@') THEN split_part(raw, '@', 1) || '@' || lower(split_part(raw, '@', 2)) ELSE lower(raw) END AS value,
+    CASE WHEN contains(raw, '@') THEN 'email' WHEN contains(raw, '.') THEN 'ip' ELSE 'hash' END AS type, raw,
+    CASE WHEN contains(raw, '@') THEN NULL WHEN contains(raw, '.') THEN 'ipv4' ELSE 'sha1' END AS subtype
+  FROM m WHERE contains(raw, '@') OR NOT contains(raw, '.') OR list_max([x::INT FOR x IN string_split(raw, '.')]) <= 255
+  UNION ALL SELECT k, i, 1, lower(split_part(raw, '@', 2)), 'domain', raw, NULL FROM m WHERE contains(raw, '@')),
+g AS (SELECT k, value, type, min(i * 2 + fan) AS first, arg_min(raw, i) AS value_raw, any_value(subtype) AS subtype, count(*) AS occurrences FROM o GROUP BY k, value, type)
+SELECT k AS {key}, value, type, (row_number() OVER (PARTITION BY k ORDER BY first) - 1)::INT AS ordinal, value_raw, subtype, false AS defanged, false AS ambiguous, occurrences FROM g
+"""
+
+
 def emails_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observables_documents(spark, sf_dir).where("type = 'email'").select("doc_id", "value", "occurrences")
 
@@ -517,7 +534,9 @@ QUERIES = {
     )
 }
 ORACLES: dict[str, str] = {
-    "top_domains": _TOP, "hash_documents": _HASH, "sniff_payloads": _SNIFF, "file_names": _NAMES, "html_links": _HTML_LINKS, "html_settled": _SETTLED, "html_text": _HTML_TEXT, "url_parts_pages": _URL, "host_suffix": _SUFFIX,
+    "top_domains": _TOP, "hash_documents": _HASH, "sniff_payloads": _SNIFF, "file_names": _NAMES, "html_links": _HTML_LINKS, "html_settled": _SETTLED,
+    "observables_documents": _observed_sql("doc_id", "SELECT doc_id AS k, text FROM documents"),
+    "observables_conversations": _observed_sql("turn_id", "SELECT conv_id * 100000 + turn AS k, text FROM conversations"), "html_text": _HTML_TEXT, "url_parts_pages": _URL, "host_suffix": _SUFFIX,
     "unwrap_links": _UNWRAP, "emails_documents": _EMAILS, "observable_dedup": _dedup_sql(_INJECTED), "place_cap": _dedup_sql(_CAPPED), "mime_parts": _MIME, "attachments": _ATTACHMENTS,
     "message_nesting": _NESTING, "headers_map": _HEADERS, "addresses": _ADDRESSES, "received_hops": _RECEIVED, "auth_results": _AUTH, "message_links": _LINKS, "message_bodies": _BODIES,
     "artifacts": _ARTIFACTS, "flags_rollup": _FLAGS, "charset_ladder": _CHARSET, "dissect_json": _JSON,
