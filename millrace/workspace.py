@@ -25,7 +25,7 @@ _SHIPPED: set[str] = set()
 #: Bytes of a batch that goes to Python, where the session names none; Spark's own bound is 64 MB.
 BATCH_BYTES = 8 << 20
 #: Bytes of an input, as Spark estimates them, up to which its rows are dealt out before long work on each.
-SMALL_BYTES = 64 << 20
+SMALL_BYTES = 24 << 20
 
 
 def ship(spark: SparkSession) -> None:
