@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from millrace.llm.grouping import blocks, forest, grouped
 from millrace.llm.text import free_names, pieces
 from millrace.plans.components import connected_components
-from millrace.workspace import Written, mapped, partitions, table
+from millrace.workspace import Written, mapped, partitions, spread, table
 
 WORDS, THRESHOLD = 5, 0.8
 #: Minima of a label beyond its root's; of 16 bits each.
@@ -355,7 +355,7 @@ def _classes(docs: DataFrame, key: str, text: str, threshold: float) -> tuple[Da
     """(id, mark, some, rep) of every row, and (rep, mult, class_id, n_links) of every class."""
     spark, roots = docs.sparkSession, prefix_depth(threshold)
     d = _marked(docs, key, text)
-    signed = Written(mapped(d, _sign(roots), "id long, mark binary, code binary, some boolean, size long, roots array<long>, tails array<long>, bits binary").withColumn("rep", F.xxhash64("code")), "signed").df
+    signed = Written(mapped(spread(d), _sign(roots), "id long, mark binary, code binary, some boolean, size long, roots array<long>, tails array<long>, bits binary").withColumn("rep", F.xxhash64("code")), "signed").df
     # Of a class's rows that with the least id, and of those with the least text, is its text.
     chosen = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("at")
     whole = signed.where("some").groupBy("rep", "code").agg(chosen, F.count("*").alias("mult"), *(F.first(c).alias(c) for c in ("size", "roots", "tails", "bits")))

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.text import SPACE, WORD
-from millrace.workspace import Written, partitions, table
+from millrace.workspace import Written, partitions, spread, table
 
 MAX_PASSES, BLOCK_TOKENS, SEED, STEPS = 1.25, 100_000, 17, 60
 #: Rows in a bin of a permutation, about; copies of one row that one task makes.
@@ -102,7 +102,7 @@ def _order(seed: int, number: Column, digest: Column) -> Column:
 
 def _dealt(docs: DataFrame, key: str, text: str, source: str, carry: Sequence[str], keep: bool) -> DataFrame:
     """(_d, _s, _n, _m, row if ``keep``): distinct rows, tokenised, with how often they occur."""
-    rows = docs.select(
+    rows = spread(docs).select(
         F.struct(*carry).alias("row"), row_digest(docs, text, [key, source, *carry]).alias("_d"), F.col(source).cast("string").alias("_s"), token_count(F.col(text)).alias("_n")
     )
     found = [F.first("_s").alias("_s"), F.first("_n").alias("_n"), F.count("*").alias("_m")]

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.text import WORD
-from millrace.workspace import table
+from millrace.workspace import spread, table
 
 SYMBOLS = "#*$%&|<>"
 #: Frequent short words of English, French, German and Spanish.
@@ -105,12 +105,13 @@ def metrics(text: Column, rules=THRESHOLDS, stop_words: Sequence[str] = STOP_WOR
 
 def quality_metrics(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",), rules=THRESHOLDS, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
     """``keep`` columns, then the fields of :func:`metrics`."""
+    docs = spread(docs.select(*dict.fromkeys([*keep, text])))
     return docs.select(*keep, metrics(F.col(text), rules, stop_words).alias("_m")).select(*keep, "_m.*")
 
 
 def keep_good(docs: DataFrame, text: str = "text", rules=THRESHOLDS) -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns."""
-    return docs.where(metrics(F.col(text), rules)["kept"])
+    return spread(docs).where(metrics(F.col(text), rules)["kept"])
 
 
 COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]

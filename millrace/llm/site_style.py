@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.text import pieces, strings
-from millrace.workspace import Written, mapped, table
+from millrace.workspace import Written, mapped, spread, table
 
 GAMMA, LEAST, LEAST_CONTENT, MIN_PAGES = 0.9, 0.3, 0.4, 2
 #: As in browsers, elements below so many open ones stand beside each other there; they keep branches of their own.
@@ -298,7 +298,7 @@ def parse_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html:
                     names=["page_id", "url", "host", "texts", "digest", "ranks", "nodes", "branches", "up", "facts"],
                 )
 
-    return mapped(pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias(html)), run, PARSED)
+    return mapped(spread(pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias(html))), run, PARSED)
 
 
 def _say(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

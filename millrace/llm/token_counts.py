@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.text import pieces
-from millrace.workspace import mapped, table
+from millrace.workspace import mapped, spread, table
 
 DEFAULT = "piece_bpe_32k.model"
 MARK, UNKNOWN, LONG = "▁", 10.0, 256
@@ -155,7 +155,7 @@ def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
                 tokens = pa.array([sum(map(known.__getitem__, ws)) for ws in lists], pa.int64())
                 yield pa.RecordBatch.from_arrays([piece.column(0), words, tokens], names=schema.names)
 
-    return mapped(docs.select(F.col(key), F.col(text).cast("string").cast("binary").alias("_text")), run, schema)
+    return mapped(spread(docs.select(F.col(key), F.col(text).cast("string").cast("binary").alias("_text"))), run, schema)
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

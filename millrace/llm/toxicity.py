@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.text import bucket_of, free_names, pieces, strings
-from millrace.workspace import Written, give_back, mapped, table
+from millrace.workspace import Written, give_back, mapped, spread, table
 
 BITS = 20
 SAMPLE, FACTORS = 10_000, 8
@@ -242,7 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 def score_documents(docs: DataFrame, scorer: Scorer, key: str = "doc_id", text: str = "text", whole_rows: bool = False) -> DataFrame:
     """``key`` and score; with ``whole_rows`` all columns of ``docs`` and ``_score``."""
-    docs = docs if whole_rows else docs.select(key, text)
+    docs = spread(docs if whole_rows else docs.select(key, text))
     name = free_names(docs.columns, "score")[0] if whole_rows else "score"
     from pyspark.sql.types import StructType
 

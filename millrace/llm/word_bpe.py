@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.text import pieces, strings
-from millrace.workspace import mapped, table
+from millrace.workspace import mapped, spread, table
 
 DEFAULT = "word_bpe_49k.json"
 #: Fixed value: the pre-tokenizer's pattern in the vocabulary file.
@@ -244,7 +244,7 @@ def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", p
                     cols += [pa.array(out[3], pa.list_(pa.int64())), pa.array(out[4], pa.string())]
                 yield pa.RecordBatch.from_arrays([piece.column(0), *cols], names=schema.names)
 
-    return mapped(docs.select(F.col(key), F.col(text)), run, schema)
+    return mapped(spread(docs.select(F.col(key), F.col(text))), run, schema)
 
 
 COLUMNS = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
