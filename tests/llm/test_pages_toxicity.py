@@ -176,6 +176,30 @@ def test_machine_learns_a_pair():
     assert max(z[:3]) < -0.8 < 0 < z[3] and (m.v[0] @ m.v[1]) > 0.1
 
 
+def test_scores_against_all_pairs():
+    """Logits are the bias, the terms' weights, and the product of every two terms' vectors."""
+    rng = np.random.default_rng(5)
+    m = toxicity.FactorizationMachine(40, 3)
+    m.b, m.w, m.v = -0.7, rng.normal(size=40).astype(np.float32), rng.normal(size=(40, 3)).astype(np.float32)
+    rows = [np.flatnonzero(rng.random(40) < share) for share in (0, 0.1, 0.5, 1, 0, 0.3)]
+    got = m.logits(np.concatenate(rows), np.repeat(np.arange(6), [len(r) for r in rows]), 6)
+    want = [m.b + m.w[r].sum() + sum(float(m.v[i] @ m.v[j]) for k, i in enumerate(r) for j in r[k + 1 :]) for r in rows]
+    assert got == pytest.approx(want, abs=1e-4)
+
+
+def test_weights_alone_miss_a_pair():
+    """The same texts, with pair vectors and without: two words that tell only by being there both, or neither."""
+    rng = np.random.default_rng(1)
+    rows = [np.sort(np.concatenate([np.flatnonzero(rng.random(2) < 0.5), rng.choice(np.arange(2, 30), 5, False)])) for _ in range(2000)]
+    y = np.array([(0 in r) == (1 in r) for r in rows], float)
+    right = {}
+    for factors in (8, 0):
+        m = toxicity.FactorizationMachine(30, factors).fit(rows, y, epochs=200)
+        z = m.logits(np.concatenate(rows), np.repeat(np.arange(2000), [len(r) for r in rows]), 2000)
+        right[factors] = np.mean((z > 0) == (y > 0))
+    assert right[8] > 0.95 and right[0] < 0.7
+
+
 def test_fit_learns_a_pair_of_neutral_words(spark):
     """Each word is in half of the toxic texts and in half of the clean ones."""
     rng = np.random.default_rng(3)
