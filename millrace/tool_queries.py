@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.config import EngineConfig
@@ -218,6 +218,126 @@ FROM (SELECT p_partkey, unnest([{", ".join(rows)}]) AS m FROM part)
 """
 
 
+# -- limits, and forms that are hard to read --------------------------------------------
+
+def _message(spark: SparkSession, sf_dir: str, content: Column, config: EngineConfig = EngineConfig(), fields: tuple[str, ...] = D.FIELDS) -> DataFrame:
+    """A message of text for each row of ``part``, dissected."""
+    return D.dissect(table(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey").alias("msg_key"), F.encode(content, "UTF-8").alias("content")), config, fields)
+
+
+def _choice(*of: str) -> Column:
+    """One of the texts for each row, by its key; ``{n}`` is the key."""
+    k, n = F.col("p_partkey") % len(of), F.col("p_partkey").cast("string")
+    return F.get(F.array(*(F.replace(F.lit(x), F.lit("{n}"), n) for x in of)), k.cast("int"))
+
+
+def part_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of one to six parts in a container, read with a limit of four."""
+    k = (F.col("p_partkey") % 6 + 1).cast("int")
+    content = F.concat(F.lit("Content-Type: multipart/mixed; boundary=B\r\n\r\n"), F.array_join(F.array_repeat(F.lit("--B\r\n\r\nx\r\n"), k), ""), F.lit("--B--\r\n"))
+    d = _message(spark, sf_dir, content, EngineConfig(max_mime_parts=4))
+    return d.select("msg_key", F.size(F.col("messages")[0]["parts"]).cast("long").alias("n_parts"), F.array_join("flags", ",").alias("flags"))
+
+
+_PART_LIMITS = "SELECT 'p' || p_partkey AS msg_key, least(p_partkey % 6 + 2, 4)::BIGINT AS n_parts, CASE WHEN p_partkey % 6 + 2 > 4 THEN 'truncated' ELSE '' END AS flags FROM part"
+
+
+def nesting_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages nested up to three deep, read with a limit of one: what is deeper is left and flagged."""
+    k = (F.col("p_partkey") % 4).cast("int")
+    content = F.concat(F.array_join(F.array_repeat(F.lit("Content-Type: message/rfc822\r\n\r\n"), k), ""), F.lit("Subject: last\r\n\r\nx"))
+    d = _message(spark, sf_dir, content, EngineConfig(max_nesting_depth=1))
+    return d.select("msg_key", F.size("messages").cast("long").alias("n_messages"), F.array_join("flags", ",").alias("flags"))
+
+
+_NESTING_LIMITS = "SELECT 'p' || p_partkey AS msg_key, least(p_partkey % 4 + 1, 2)::BIGINT AS n_messages, CASE WHEN p_partkey % 4 > 1 THEN 'truncated' ELSE '' END AS flags FROM part"
+
+
+def size_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An input past its limit is refused; a part past its own keeps digests and loses its bytes."""
+    content = F.concat(F.lit("Content-Type: application/pdf\r\n\r\n"), F.expr("repeat('y', int(p_partkey % 3 * 50))"))
+    d = _message(spark, sf_dir, content, EngineConfig(max_message_bytes=100, max_attachment_bytes=20))
+    part = F.get(F.get("messages", F.lit(0))["parts"], F.lit(0))
+    return d.select("msg_key", "ok", "error.code", part["size"].alias("size"), part["md5"].alias("md5"), part["payload"].isNotNull().alias("has_bytes"), F.array_join("flags", ",").alias("flags"))
+
+
+_SIZE_LIMITS = """
+SELECT 'p' || p_partkey AS msg_key, k < 2 AS ok, CASE WHEN k = 2 THEN 'TOO_LARGE' END AS code, CASE WHEN k < 2 THEN k * 50 END::BIGINT AS size, CASE WHEN k < 2 THEN md5(repeat('y', k * 50)) END AS md5,
+  k = 0 AS has_bytes, CASE WHEN k = 1 THEN 'truncated' ELSE '' END AS flags
+FROM (SELECT p_partkey, (p_partkey % 3)::INT AS k FROM part)
+"""
+
+
+def link_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One to four links and pictures, read with a limit of two each."""
+    k = (F.col("p_partkey") % 4 + 1).cast("int")
+    content = F.concat(F.lit("Content-Type: text/html\r\n\r\n"), F.array_join(F.array_repeat(F.lit("<a href=/x>l</a><img src=/y>"), k), ""))
+    d = _message(spark, sf_dir, content, EngineConfig(max_links=2, max_resources=2), ("events", "parts"))
+    n = lambda kind: F.size(F.filter(F.col("messages")[0]["events"], lambda e: e["kind"] == kind)).cast("long")
+    return d.select("msg_key", n("anchor").alias("n_links"), n("resource").alias("n_resources"), F.array_join("flags", ",").alias("flags"))
+
+
+_LINK_LIMITS = """
+SELECT 'p' || p_partkey AS msg_key, least(p_partkey % 4 + 1, 2)::BIGINT AS n_links, least(p_partkey % 4 + 1, 2)::BIGINT AS n_resources, CASE WHEN p_partkey % 4 > 1 THEN 'truncated' ELSE '' END AS flags FROM part
+"""
+
+
+def header_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folded value, an unknown charset, an address inside quotes, a value past its limit, bytes that are no text."""
+    head = _choice(
+        "Subject: one\r\n two {n}\r\n\r\n", "Subject: =?x-none?q?a{n}?=\r\n\r\n", 'From: "Bob <bob{n}@example.net>"\r\nSubject: s\r\n\r\n', "Subject: " + "z" * 65_537 + "\r\n\r\n", "Subject: s\r\nTo: " + "a@b.c, " * 2000 + "\r\n\r\n"
+    )
+    d = _message(spark, sf_dir, head, fields=("headers", "addresses"))
+    m = F.col("messages")[0]
+    subject = F.get(F.filter(m["headers"], lambda h: h["name"] == "subject"), F.lit(0))["value"]
+    address = F.get(m["addresses"], F.lit(0))
+    return d.select(
+        "msg_key", F.length(subject).cast("long").alias("n"), F.when(F.col("msg_key").isNotNull() & (F.length(subject) < 99) & ~F.array_contains("flags", "encoding_fallback"), subject).alias("subject"),
+        address["header"].alias("header"), address["display_name"].alias("display_name"), address["address"].alias("address"), F.array_join("flags", ",").alias("flags"),
+    )
+
+
+_HEADER_FORMS = """
+SELECT 'p' || p_partkey AS msg_key, CASE k WHEN 0 THEN 8 + length(p_partkey::VARCHAR) WHEN 1 THEN 1 + length(p_partkey::VARCHAR) WHEN 3 THEN 65537 ELSE 1 END::BIGINT AS n,
+  CASE k WHEN 0 THEN 'one two ' || p_partkey WHEN 2 THEN 's' WHEN 4 THEN 's' END AS subject, CASE k WHEN 2 THEN 'from' WHEN 4 THEN 'to' END AS header, CASE WHEN k = 2 THEN 'Bob' END AS display_name,
+  CASE WHEN k = 2 THEN 'bob' || p_partkey || '@example.net' END AS address, CASE k WHEN 1 THEN 'encoding_fallback' WHEN 3 THEN 'truncated' WHEN 4 THEN 'truncated' ELSE '' END AS flags
+FROM (SELECT p_partkey, p_partkey % 5 AS k FROM part)
+"""
+
+
+def name_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A part's name in five forms."""
+    head = _choice(
+        'Content-Disposition: attachment; filename="a{n};b.pdf"', "Content-Disposition: attachment; filename*=utf-8''%C3%A9{n}.txt", "Content-Disposition: attachment; filename=plain{n}.txt; filename*=x-none''%E9.txt",
+        "Content-Disposition: attachment; filename*0=a; filename*1={n}.txt", "Content-Type: application/pdf; name==?utf-8?q?=C3=A9{n}?=",
+    )
+    d = _message(spark, sf_dir, F.concat(head, F.lit("\r\n\r\nx")), fields=("parts",))
+    return d.select("msg_key", F.col("messages")[0]["parts"][0]["filename"].alias("filename"), F.array_join("flags", ",").alias("flags"))
+
+
+_NAME_FORMS = """
+SELECT 'p' || p_partkey AS msg_key, CASE k WHEN 0 THEN 'a' || p_partkey || ';b.pdf' WHEN 1 THEN 'é' || p_partkey || '.txt' WHEN 2 THEN 'plain' || p_partkey || '.txt' WHEN 3 THEN 'a' || p_partkey || '.txt' ELSE 'é' || p_partkey END AS filename,
+  CASE WHEN k = 2 THEN 'encoding_fallback' ELSE '' END AS flags
+FROM (SELECT p_partkey, p_partkey % 5 AS k FROM part)
+"""
+
+
+def transfer_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies in five transfer encodings, sound, damaged and unknown."""
+    coded = F.base64(F.encode(F.concat(F.lit("b64 "), F.col("p_partkey").cast("string")), "UTF-8"))
+    heads = _choice("quoted-printable", "base64", "base64", "base64", "x-unknown")
+    bodies = F.get(F.array(_choice("a=3D{n}=\r\nz"), coded, F.concat(F.lit("****"), coded), F.lit("QUJDR"), _choice("raw {n}")), (F.col("p_partkey") % 5).cast("int"))
+    d = _message(spark, sf_dir, F.concat(F.lit("Subject: x\r\nContent-Type: text/plain\r\nContent-Transfer-Encoding: "), heads, F.lit("\r\n\r\n"), bodies), fields=("parts",))
+    part = F.get(F.get("messages", F.lit(0))["parts"], F.lit(0))
+    return d.select("msg_key", part["text"].alias("text"), part["sha1"].alias("sha1"), F.array_join("flags", ",").alias("flags"))
+
+
+_TRANSFER_FORMS = """
+SELECT 'p' || p_partkey AS msg_key, text, sha1(text) AS sha1, CASE k WHEN 2 THEN 'malformed_mime' WHEN 3 THEN 'attachment_unreadable' WHEN 4 THEN 'malformed_mime' ELSE '' END AS flags
+FROM (SELECT p_partkey, p_partkey % 5 AS k, CASE p_partkey % 5 WHEN 0 THEN 'a=' || p_partkey || 'z' WHEN 1 THEN 'b64 ' || p_partkey WHEN 2 THEN 'b64 ' || p_partkey WHEN 4 THEN 'raw ' || p_partkey END AS text FROM part)
+"""
+
+
 # -- HTML, SQL functions, streams ------------------------------------------------------
 
 def html_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,9 +390,10 @@ _STREAMED = "SELECT 'p' || p_partkey AS msg_key, 0 AS message_index, 'subject' A
 
 QUERIES = {
     f.__name__: f
-    for f in (grammar_cases, form_intake, render_payloads, tool_answers, tool_artifacts, artifact_lookup, truncated_places, run_counts, html_resources, sql_functions, stream_dissect)
+    for f in (part_limits, nesting_limits, size_limits, link_limits, header_forms, name_forms, transfer_forms, grammar_cases, form_intake, render_payloads, tool_answers, tool_artifacts, artifact_lookup, truncated_places, run_counts, html_resources, sql_functions, stream_dissect)
 }
 ORACLES: dict[str, str] = {
-    "grammar_cases": _mentioned_sql(), "form_intake": _FORMS, "render_payloads": _PAYLOADS, "tool_answers": _ANSWERS, "tool_artifacts": _TOOL_ARTIFACTS, "artifact_lookup": _LOOKUP, "truncated_places": _TRUNCATED, "run_counts": _COUNTS,
+    "part_limits": _PART_LIMITS, "nesting_limits": _NESTING_LIMITS, "size_limits": _SIZE_LIMITS, "link_limits": _LINK_LIMITS, "header_forms": _HEADER_FORMS, "name_forms": _NAME_FORMS,
+    "transfer_forms": _TRANSFER_FORMS, "grammar_cases": _mentioned_sql(), "form_intake": _FORMS, "render_payloads": _PAYLOADS, "tool_answers": _ANSWERS, "tool_artifacts": _TOOL_ARTIFACTS, "artifact_lookup": _LOOKUP, "truncated_places": _TRUNCATED, "run_counts": _COUNTS,
     "html_resources": _RESOURCES, "sql_functions": _FUNCTIONS, "stream_dissect": _STREAMED,
 }
