@@ -10,9 +10,10 @@ seen are excluded from T and Q; below order 0 the bytes left are equally likely.
 probability thus depends on the last ORDER + 1 bytes alone and is worked out once for
 each distinct n-gram.
 
-Texts are dealt to blocks by hash, and blocks to tasks by number. Each block is counted alone and hands on its distinct
-words and n-grams with their counts: that, not the tokens, is what is shuffled. Totals
-and probabilities go back to the blocks that asked, and each block scores its texts
+Texts are dealt to blocks by a hash of id and text, and blocks to tasks by number; rows that
+are equal in both are one block's work. Each block is counted alone and hands on its
+distinct words and n-grams with their counts: that, not the tokens, is what is shuffled.
+Totals and probabilities go back to the blocks that asked, and each block scores its texts
 against tables of its own vocabulary. The tables are as large as the corpus makes them
 and are held on the executors only.
 

@@ -36,8 +36,6 @@ def strings(batch: pa.RecordBatch, column: str) -> list[str]:
     return pc.fill_null(batch.column(batch.schema.get_field_index(column)), "").to_pylist()
 
 
-
-
 def free_names(taken: Sequence[str], *names: str) -> list[str]:
     """Column names like these that are not taken, in any case of letters."""
     low, out = {t.lower() for t in taken}, []
