@@ -45,7 +45,7 @@ def _small_star(edges: DataFrame, ready: Ready) -> DataFrame:
 
 def _round(at: Written) -> Written:
     """Both stars of a small graph: one written table."""
-    after = Written(_small_star(_large_star(at.df, F.broadcast), F.broadcast), "edges")
+    after = Written(_small_star(_large_star(at.df, F.broadcast), F.broadcast), "edges", few=True)
     at.drop()
     return after
 
@@ -56,10 +56,10 @@ def _long_round(at: Written) -> Written:
         held: list[Written] = []
 
         def ready(least: DataFrame) -> DataFrame:
-            held.append(Written(least, "least"))
+            held.append(Written(least, "least", few=True))
             return held[-1].df
 
-        after = Written(star(at.df, ready), "edges")
+        after = Written(star(at.df, ready), "edges", few=True)
         for table in (*held, at):
             table.drop()
         at = after
@@ -73,6 +73,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     at = Written(
         edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(),
         "edges",
+        few=True,
     )
     said = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     now = said(at.df)

@@ -69,8 +69,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Written:
-    """A table written to the shared folder; ``drop`` removes its files. With ``few``, for a
-    small result of many tasks, several of them write to one file."""
+    """A table written to the shared folder; ``drop`` removes its files. With ``few``, for what
+    comes out of a shuffle as short rows, partitions are written one after another by two tasks
+    for every slot: many partitions of little else make many small files."""
 
     def __init__(self, df: DataFrame, name: str, few: bool = False):
         if few:
