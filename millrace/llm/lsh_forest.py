@@ -366,9 +366,9 @@ def _classes(docs: DataFrame, key: str, text: str, threshold: float) -> tuple[Da
     groups = connected_components(edges.where(F.col("u").isNotNull() & (F.col("level") >= _matched(edges))).select("u", "v"))
     asked = groups.join(whole.select("rep", "id", "mark", "mult", "size"), F.col("node") == F.col("rep"))
     sizes = asked.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
-    asked = asked.join(Written(sizes, "sizes").df, "component")
+    asked = asked.join(Written(sizes, "sizes", few=True).df, "component")
     asked = asked.select("rep", F.col("id").alias("_id"), F.col("mark").alias("_mark"), "mult", F.col("component").alias("group"), "blocks", F.pmod(F.xxhash64("rep", F.lit("block")), F.col("blocks")).alias("b"))
-    found = d.join(_few(Written(asked, "asked").df), F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
+    found = d.join(_few(Written(asked, "asked", few=True).df), F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
     # Repeated rows have one text: it is taken once.
     texts = found.groupBy("rep", "mult", "group", "blocks", "b").agg(F.first("text").alias("text"))
     sets = mapped(texts, _sets, "rep long, mult long, group long, blocks long, b long, set array<long>")
@@ -383,9 +383,9 @@ def _classes(docs: DataFrame, key: str, text: str, threshold: float) -> tuple[Da
     parts = connected_components(found.where("v is not null").select("u", "v")).withColumnRenamed("node", "rep")
     member = whole.select("rep", "id", "mark", "mult").join(links, "rep", "left").join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     # Written before its join: a key is split only where both sides come straight from a shuffle.
-    least = Written(member.groupBy("component").agg(F.min("id").alias("class_id")), "least").df
+    least = Written(member.groupBy("component").agg(F.min("id").alias("class_id")), "least", few=True).df
     member = member.join(least, "component").select("rep", "component", "mult", "id", "mark", "class_id", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"))
-    return signed.select("id", "mark", "some", "rep"), Written(member, "members").df
+    return signed.select("id", "mark", "some", "rep"), Written(member, "members", few=True).df
 
 
 def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -408,7 +408,7 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", t
     own = (F.col("rep") == F.col("_rep")) & F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))
     rows = rows.join(chosen, own, "left").withColumn("stays", F.col("_rep").isNotNull())
     out_id, out_mark, stays = free_names(docs.columns, "out_id", "out_mark", "stays")
-    out = Written(rows.where("not stays or n > 1").select(F.col("id").alias(out_id), F.col("mark").alias(out_mark), F.col("stays").alias(stays)), "dropped").df
+    out = Written(rows.where("not stays or n > 1").select(F.col("id").alias(out_id), F.col("mark").alias(out_mark), F.col("stays").alias(stays)), "dropped", few=True).df
     mark = F.unhex(F.md5(F.col(text).cast("string").cast("binary")))
     d = docs.join(_few(out), F.col(key).cast("long").eqNullSafe(F.col(out_id)) & (mark == F.col(out_mark)), "left")
     once = d.where(F.col(stays).isNull()).select(*docs.columns)

@@ -82,7 +82,7 @@ def _split(rows: DataFrame, radius: float, level: int) -> DataFrame:
     """``rows`` with their cells split around pivots. A cell's pivots go once to each block of its rows."""
     spark = rows.sparkSession
     large = rows.where("home").groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > (AGAIN if level else 1))
-    large = Written(large.withColumn("blocks", F.ceil(F.col("n") / AGAIN).cast("long")), "large").df
+    large = Written(large.withColumn("blocks", F.ceil(F.col("n") / AGAIN).cast("long")), "large", few=True).df
     split = rows.join(large, "cell")
     # Drawn by hash, as many as the cell is to have and two more, on average.
     wanted = F.least(F.lit(PIVOTS), F.ceil(F.col("n") / CELL)) + 2
@@ -143,7 +143,7 @@ def _jobs(rows: DataFrame) -> DataFrame:
     size = rows.groupBy("cell").agg(F.sum(F.col("home").cast("long")).alias("h"), F.sum((~F.col("home")).cast("long")).alias("c"), F.max(F.size("unit")).alias("dim"))
     block = F.greatest(F.lit(16), F.floor(F.lit(BLOCK_NUMBERS) / F.col("dim")))
     size = size.where("h > 0").select("cell", F.ceil(F.col("h") / block).cast("long").alias("hb"), F.ceil(F.col("c") / (block * COPIES)).cast("long").alias("cp"))
-    d = rows.join(Written(size, "sizes").df, "cell").withColumn("x", F.pmod(F.xxhash64("rep", F.lit("block")), F.when(F.col("home"), F.col("hb")).otherwise(F.col("cp"))))
+    d = rows.join(Written(size, "sizes", few=True).df, "cell").withColumn("x", F.pmod(F.xxhash64("rep", F.lit("block")), F.when(F.col("home"), F.col("hb")).otherwise(F.col("cp"))))
     upto = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0).cast("long"), F.col(c) - 1)).otherwise(F.array().cast("array<long>"))
     pair = lambda a, b: (F.greatest(a, b) * (F.greatest(a, b) + 1) / 2).cast("long") + F.least(a, b)
     copied = lambda a, j: pair(F.col("hb"), F.lit(0)) + a * F.col("cp") + j
@@ -208,7 +208,7 @@ def range_join(df: DataFrame, key: str = "vec_id", vector: str = "embedding", la
     member = whole.select("rep", "id", "mult").join(links, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     member = member.withColumn("component", F.coalesce("component", "rep"))
     # Written before its join: a key is split only where both sides come straight from a shuffle.
-    least_id = Written(member.groupBy("component").agg(F.min("id").alias("component_id")), "least").df
+    least_id = Written(member.groupBy("component").agg(F.min("id").alias("component_id")), "least", few=True).df
     member = member.join(least_id, "component").select("rep", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), "component_id")
     linked = good.select("id", F.xxhash64("code").alias("rep")).join(member, "rep").select("id", "n_links", "component_id")
     alone = _alone(df, key, vector, label)

@@ -119,7 +119,7 @@ def _shares(dealt: DataFrame, budget: float | None, max_passes: float | None, en
     bins = counted.select(F.col("source").alias("_s4"), F.ceil(F.col("distinct") / BIN_ROWS).cast("long").alias("_bins"))
     shares = source_weights(counted.select("source", "tokens", "rows"), budget, max_passes, entropy)
     shares = shares.join(bins, F.col("source").eqNullSafe(F.col("_s4"))).where("budget > 0")
-    return Written(shares.select(F.col("source").alias("_s2"), "tokens", "budget", "weight", "_bins"), "shares").df
+    return Written(shares.select(F.col("source").alias("_s2"), "tokens", "budget", "weight", "_bins"), "shares", few=True).df
 
 
 def _in_bins(placed: DataFrame, number: Column, seed: int) -> DataFrame:
@@ -191,7 +191,7 @@ def select_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
     ends = starts.groupBy("_s3", "_p3").agg(F.max(F.struct("_b3", "_start")).alias("e")).select("_s3", "_p3", "e._b3", "e._start")
     within = _placed(binned, ends).withColumn("_q", _within(F.col("_rest"))).where("_q > 0")
     cut = within.groupBy("_s", "_last").agg(F.max(F.struct("_h", "_d", "_q", "_m")).alias("c"))
-    cut = Written(cut.select(F.col("_s").alias("_s6"), "_last", F.col("c._h").alias("_ch"), F.col("c._d").alias("_cd"), F.col("c._q").alias("_cq"), F.col("c._m").alias("_cm")), "cut").df
+    cut = Written(cut.select(F.col("_s").alias("_s6"), "_last", F.col("c._h").alias("_ch"), F.col("c._d").alias("_cd"), F.col("c._q").alias("_cq"), F.col("c._m").alias("_cm")), "cut", few=True).df
     rows = docs.select(F.struct(*docs.columns).alias("row"), row_digest(docs, text, [key, source, *docs.columns]).alias("_d"), F.col(source).cast("string").alias("_s"))
     rows = rows.join(_few(cut), F.col("_s").eqNullSafe(F.col("_s6"))).withColumn("_h", _order(seed, F.col("_last"), F.col("_d")))
     at = F.col("_d") == F.col("_cd")

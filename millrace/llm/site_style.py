@@ -396,7 +396,7 @@ def style_tree(parsed: DataFrame) -> DataFrame:
 def once(parsed: DataFrame) -> DataFrame:
     """One row of those of a host with the same text. Only texts that more rows have are joined."""
     copied = parsed.where("host is not null").groupBy("host", "digest").agg(F.count("*").alias("n"), F.min("row").alias("first")).where("n > 1").drop("n")
-    copied = Written(copied, "copied").df
+    copied = Written(copied, "copied", few=True).df
     small = F.broadcast(copied) if copied.count() <= BROADCAST_ROWS else copied
     return parsed.join(small, ["host", "digest"], "left").where("first is null or first = row").drop("first")
 
@@ -411,7 +411,7 @@ def verdicts(tree: DataFrame) -> DataFrame:
 def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, text, n_chars, n_removed (blocks that the tree takes) of every row: blocks joined by newline."""
     parsed = Written(parse_pages(pages, key, url, html).withColumn("row", F.monotonically_increasing_id()), "pages").df
-    said = Written(verdicts(style_tree(once(parsed))), "verdicts").df
+    said = Written(verdicts(style_tree(once(parsed))), "verdicts", few=True).df
     of = lambda noise: F.collect_list(F.when(F.col("noise") == noise, F.col("branch")))
     if said.count() <= BROADCAST_ROWS:
         per_host = said.groupBy("host").agg(of(True).alias("noise"), of(False).alias("important"))
