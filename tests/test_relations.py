@@ -193,3 +193,15 @@ def test_observables_against_a_loop(spark, sf, name, key, texts):
     want = sorted(((getattr(x, key), *o) for x in rows.collect() for o in plain_observables(x.text, r)), key=str)
     got = QUERIES[name](spark, sf).select(key, "ordinal", "value", "type", "value_raw", "subtype", "defanged", "ambiguous", "occurrences")
     assert sorted(map(tuple, got.collect()), key=str) == want and len(want) > 5
+
+
+@pytest.mark.parametrize("name", ["top_domains", "host_suffix", "grammar_cases", "observables_documents", "tool_answers", "truncated_places", "dissect_json"])
+def test_a_machine_without_lists_answers_alike(spark, sf, duck, same_rows, monkeypatch, name):
+    R.load.cache_clear()
+    monkeypatch.setattr(R, "_from_class_path", lambda: None)
+    monkeypatch.setattr(R, "_from_jars", lambda: None)
+    monkeypatch.setattr(R, "MIME_TYPES", "/nowhere/mime.types")
+    try:
+        same_rows(QUERIES[name](spark, sf).toPandas(), duck.sql(ORACLES[name]).df())
+    finally:
+        R.load.cache_clear()
