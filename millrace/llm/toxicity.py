@@ -43,7 +43,9 @@ LEAST_ROWS = 3
 #: Words whose terms a task remembers.
 KNOWN_WORDS = 200_000
 #: L2: of a linear weight with evidence; of one without, and of pair vectors, in terms of a mean text.
-SURE, NEUTRAL, PAIR = 1.0, 0.5, 3.0
+SURE, NEUTRAL, PAIR = 1.0, 0.5, 1.0
+#: Share of the weights' rate at which pair vectors learn: early steps are as large as the rate, and a text has many pairs.
+CARE = 0.2
 #: Evidence of a bucket: deviations of its log odds from none, the log odds, sampled rows.
 LEAST_Z, LEAST_ODDS, LEAST_DOCS = 3.0, 1.5, 3
 THRESHOLD = 0.3
@@ -136,7 +138,7 @@ class FactorizationMachine:
                     g = alone + l2 * p if f == 0 else of_terms(e * total[f - 1]) + (PAIR * size.mean() - alone) * p
                     m[f] += 0.1 * (g - m[f])
                     s[f] += 0.01 * (g * g - s[f])
-                    p -= rate * (m[f] / (1 - 0.9**t)) / (np.sqrt(s[f] / (1 - 0.99**t)) + 1e-3)
+                    p -= (rate if f == 0 else rate * CARE) * (m[f] / (1 - 0.9**t)) / (np.sqrt(s[f] / (1 - 0.99**t)) + 1e-3)
 
                 list(pool.map(step, range(factors + 1)))
                 g = float(e.sum())
