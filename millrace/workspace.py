@@ -70,12 +70,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 class Written:
     """A table written to the shared folder; ``drop`` removes its files. With ``few``, for what
-    comes out of a shuffle as short rows, partitions are written one after another by two tasks
-    for every slot: many partitions of little else make many small files."""
+    comes out of a shuffle as short rows, a task writes several partitions into one file: many
+    partitions of little else make many small files."""
 
     def __init__(self, df: DataFrame, name: str, few: bool = False):
         if few:
-            df = df.coalesce(2 * slots(df.sparkSession))
+            df = df.coalesce(max(2 * slots(df.sparkSession), partitions(df.sparkSession) // 4))
         spark = df.sparkSession
         self.spark = spark
         self.path = f"{shared_dir(spark)}/millrace/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
