@@ -219,6 +219,14 @@ def test_held_out(spark):
     assert np.mean([s < toxicity.THRESHOLD for s in clean]) > 0.95
 
 
+def test_held_out_of_the_larger_table(spark):
+    d = "/root/testdata/sf0.1"
+    rows = toxicity.op5_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").collect()
+    found, false = ([r.predicted for r in rows if r.toxic == t] for t in (1, 0))
+    print("held out: found", sum(found), "of", len(found), "false", sum(false), "of", len(false))
+    assert np.mean(found) > 0.9 and np.mean(false) < 0.005
+
+
 def test_toxicity_of_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (6, 0), (7, None), (999, 1), (None, 1)], "doc_id long, toxic int")
     for docs, lab in ((odd_docs, labels), (odd_docs, labels.limit(0)), (no_docs, labels), (odd_docs, labels.where("toxic = 0"))):
