@@ -287,18 +287,18 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(threshold: float):
-    """Links and edges of two blocks of a group (sides 0 and 1; or one, side 0)."""
+    """Links and edges of two blocks of a group (sides 0 and 1), or of one with itself (side 2)."""
 
     def one(g: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
         side, rep, mult, sets = g["side"], g["rep"], g["mult"], g["set"]
+        i, j = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        if not (len(i) and len(j)):  # one of the blocks holds nothing
+            return None
         size = np.array([len(s) for s in sets])
         row = np.repeat(np.arange(len(sets)), size)
         _, col, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         shared = df[col] > 1
         row, (_, col) = row[shared], np.unique(col[shared], return_inverse=True)
-        i, j = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        if not len(j):
-            j = i
         both = np.zeros((len(i), len(j)), np.float32)
         order = np.argsort(col, kind="stable")
         row, col = row[order], col[order]
@@ -314,7 +314,7 @@ def _verify(threshold: float):
         if not linked.any():
             return None
         ids, n = rep[i], linked @ mult[j]
-        if j is not i:
+        if side[0] != 2:
             ids, n = np.concatenate([ids, rep[j]]), np.concatenate([n, mult[i] @ linked])
         some = np.flatnonzero(n)
         return ids[some], n[some], forest(linked, rep[i], rep[j])
@@ -376,7 +376,7 @@ def _classes(docs: DataFrame, key: str, text: str, threshold: float) -> tuple[Da
     low, high = F.least("b", "o"), F.greatest("b", "o")
     # A group's jobs go to partitions one after another.
     at = F.pmod(F.xxhash64("group") + (high * (high + 1) / 2).cast("long") + low, F.lit(partitions(spark))).cast("int")
-    jobs = jobs.select(at.alias("at"), F.xxhash64("group", low, high).alias("job"), (F.col("b") > F.col("o")).cast("int").alias("side"), "rep", "mult", "set")
+    jobs = jobs.select(at.alias("at"), F.xxhash64("group", low, high).alias("job"), F.when(F.col("b") == F.col("o"), 2).otherwise((F.col("b") > F.col("o")).cast("int")).alias("side"), "rep", "mult", "set")
     jobs = jobs.repartitionById(partitions(spark), "at").drop("at").sortWithinPartitions("job")
     found = Written(mapped(jobs, _verify(threshold), "u long, v long, n long"), "found").df
     links = found.where("n is not null").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n"))

@@ -127,7 +127,7 @@ def copies():
     return [(k, t) for k, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("block, shingles, screened", [(1024, 1 << 19, 2048), (8, 1 << 19, 5), (1024, 900, 3)])
+@pytest.mark.parametrize("block, shingles, screened", [(1024, 1 << 19, 2048), (8, 1 << 19, 5), (1024, 900, 3), (1024, 50, 2048)])
 def test_near_copies(spark, copies, monkeypatch, block, shingles, screened):
     monkeypatch.setattr(lsh_forest, "BLOCK", block)
     monkeypatch.setattr(lsh_forest, "BLOCK_SHINGLES", shingles)
