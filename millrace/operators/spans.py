@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from millrace.functions.decoding import writable
+from millrace.functions.grammar import plain_addresses
 from millrace.functions.html import read_html
 from millrace.functions.urls import UnwrapRule, unwrap, url_parts
 from millrace.workspace import mapped
@@ -55,6 +57,12 @@ def html_texts(df: DataFrame, key: str, html: str) -> DataFrame:
     return exploded(df, key, html, "text string", lambda h: ((_t(read_html(h)[1]),),))
 
 
+def address_counts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, value, occurrences) of the plain addresses of each key's texts, as they are written."""
+    found = exploded(df, key, text, "value string, occurrences long", lambda t: Counter(plain_addresses(t)).items())
+    return found.groupBy(key, "value").agg(F.sum("occurrences").alias("occurrences"))
+
+
 def url_table(df: DataFrame, key: str, href: str) -> DataFrame:
     """(key, href, scheme, host, port, userinfo, path, query, fragment, host_idn, host_punycode)."""
     fields = "href string, scheme string, host string, port int, userinfo string, path string, query string, fragment string, host_idn string, host_punycode string"

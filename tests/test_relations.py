@@ -207,6 +207,15 @@ def test_a_machine_without_lists_answers_alike(spark, sf, duck, same_rows, monke
         R.load.cache_clear()
 
 
+def test_addresses_are_counted_as_their_sql_does(spark, duck, same_rows, tmp_path):
+    texts = ["u-v@W.Org x+y@w.ORG, w.ORG@w.org", "http://a@b.com/ mailto:q@w.org?cc=q@w.org", "v@w.org-x v@w.org_x v@w.org", "..a@b.c .a@b.c a..b@c.d a.@b.c", "one[at]w.org", "(é_@w.org)", "a@b.c_d@e.f@g.h", "", None]
+    rows = [*enumerate(texts), (0, "v@W.Org"), (None, "v@w.org")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duck.cursor()
+    con.sql(f"CREATE TEMP VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    same_rows(QUERIES["emails_documents"](spark, str(tmp_path)).toPandas(), con.sql(ORACLES["emails_documents"]).df())
+
+
 def test_observables_of_a_table_are_not_capped(spark, duck, same_rows, tmp_path):
     places = EngineConfig().max_observable_places
     texts = [" ".join(f"u{k}@w.example.com" for k in range(places + 7)), "x," * 140_000 + "far@end.example.com near@end.example.com", None]
