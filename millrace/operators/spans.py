@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from millrace.functions.decoding import writable
 from millrace.functions.grammar import plain_addresses
-from millrace.functions.html import read_html
+from millrace.functions.html import read_html, tags_removed
 from millrace.functions.urls import UnwrapRule, unwrap, url_parts
 from millrace.workspace import mapped
 
@@ -57,6 +57,12 @@ def html_texts(df: DataFrame, key: str, html: str) -> DataFrame:
     return exploded(df, key, html, "text string", lambda h: ((_t(read_html(h)[1]),),))
 
 
+def plain_texts(df: DataFrame, key: str, html: str) -> DataFrame:
+    """(key, text) of every row by plain replacements; null gives an empty text."""
+    d = df.select(F.col(key), F.coalesce(F.col(html), F.lit("")).alias(html))
+    return exploded(d, key, html, "text string", lambda h: ((tags_removed(h),),))
+
+
 def address_counts(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, value, occurrences) of the plain addresses of each key's texts, as they are written."""
     found = exploded(df, key, text, "value string, occurrences long", lambda t: Counter(plain_addresses(t)).items())

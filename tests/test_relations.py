@@ -207,6 +207,16 @@ def test_a_machine_without_lists_answers_alike(spark, sf, duck, same_rows, monke
         R.load.cache_clear()
 
 
+def test_page_texts_are_what_their_sql_gives(spark, duck, same_rows, tmp_path):
+    parts = "<p>|</P>|<br|<br/>|<td x>|<TH>|<b>|<!--|-->|<!-->|<script>|</script>|<SCRIPT>|<style a>|</style>|<pre\n>|<li a>|<|>|</|&amp;|&amp|&copy;|&copy|&quot;|&middot;|&lt;|&#38;|&|;|\n|\r\n| |\t|\f|\xa0|x|yz|\u00e9|<\u017fection>|<lin\u212a>|<bloc\u212aquote>|<d\u0130alog>|<d\u0131v>|<a href='x>y'>".split("|")
+    rng = random.Random(9)
+    pages = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(3000)] + ["the&&amp</p>", "", None]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duck.cursor()
+    con.sql(f"CREATE TEMP VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    same_rows(QUERIES["html_text"](spark, str(tmp_path)).toPandas(), con.sql(ORACLES["html_text"]).df())
+
+
 def test_addresses_are_counted_as_their_sql_does(spark, duck, same_rows, tmp_path):
     texts = ["u-v@W.Org x+y@w.ORG, w.ORG@w.org", "http://a@b.com/ mailto:q@w.org?cc=q@w.org", "v@w.org-x v@w.org_x v@w.org", "..a@b.c .a@b.c a..b@c.d a.@b.c", "one[at]w.org", "(é_@w.org)", "a@b.c_d@e.f@g.h", "", None]
     rows = [*enumerate(texts), (0, "v@W.Org"), (None, "v@w.org")]

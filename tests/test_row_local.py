@@ -193,3 +193,11 @@ def test_mutations_never_raise():
                     raw[at:at] = rng.choice([b"\r\n", b"\n", b"--BB\r\n", b"--BB--\r\n", b"=?x?q?", b"\xff\xfe"])
             row = dissect_bytes(bytes(raw), EngineConfig())
             assert row["ok"] or row["error"]["code"] in ("UNPARSABLE", "TOO_LARGE"), row["error"]
+
+
+@pytest.mark.parametrize("unit", ["<", "<br", "<p ", "<td", "<!--", "<!-->", "<script>", "<style", "<!--<style>", "&amp", " \n", "\t", ">"])
+def test_tags_are_removed_in_linear_time(unit):
+    began = time.time()
+    for end in ("", ">", "<br>", "-->"):
+        html.tags_removed(unit * (300_000 // len(unit)) + end)
+    assert time.time() - began < 5
